@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, media, mixing, quality_rules, secret_scan, simhash
+from needledrop.llm import bpe, media, mixing, pii, quality_rules, secret_scan, simhash
 from needledrop.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digested(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"), ["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -51,10 +55,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op4_mixing": op4_mixing,
         "op5_simhash": op5_simhash,
+        "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_media": op9_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op7_pii": pii.ORACLE}
