@@ -62,11 +62,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
     return df.mapInArrow(run, kind)
 
 
-def held_out(doc_id: F.Column, modulus: int) -> F.Column:
-    """crc32 of the id as text, modulo ``modulus``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+def remainder(doc_id: F.Column, modulus: int) -> F.Column:
+    """crc32 of the id as text (a null id: empty), modulo ``modulus``."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Hint a broadcast of ``df``, of which ``rows`` have been counted, if they are at most ``most``; else a shuffle."""
     return F.broadcast(df) if rows <= most else df
+
+
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, chosen by a hash of ``key``: the same ones each time."""
+    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, media, mixing, pii, quality_rules, secret_scan, simhash
+from needledrop.llm import bpe, media, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity
 from needledrop.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans").withColumnRenamed("shown", "spans")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digested(pii.find(table(spark, sf_dir, "documents")))
 
@@ -53,8 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_secrets": op2_secrets,
+        "op3_quality": op3_quality,
         "op4_mixing": op4_mixing,
         "op5_simhash": op5_simhash,
+        "op6_toxicity": op6_toxicity,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_media": op9_media,
