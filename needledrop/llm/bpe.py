@@ -311,26 +311,28 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", key: str = "doc_id"
     return map_rows(df.select(F.col(key), F.col(ids)), make, schema)
 
 
-def round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode, decode what was encoded, and digest both as they stream."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256[, ids]): encode, decode what was encoded, and digest both as they stream."""
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
     def make():
         table = loaded(vocabulary)
         encoder, decoder = Encoder(table), Decoder(table, joined=True)
         shown = [str(i) for i in range(max(table.surface) + 1)]
 
-        def one(t: str) -> tuple[int, str, str]:
-            n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+        def one(t: str) -> tuple:
+            n, ids_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
             for ids in encoder.pieces(t):
                 if ids:
                     ids_hash.update(((" " if n else "") + " ".join(map(shown.__getitem__, ids))).encode())
                     text_hash.update(decoder.feed(ids).encode())
                     n += len(ids)
+                    if with_ids:
+                        kept += ids
             text_hash.update(decoder.finish().encode())
-            return n, ids_hash.hexdigest(), text_hash.hexdigest()
+            return (n, ids_hash.hexdigest(), text_hash.hexdigest(), *([kept] if with_ids else []))
 
-        return lambda k, texts: [k, *map(list, zip(*(one(t or "") for t in texts), strict=True))]
+        return lambda k, texts: [k, *(map(list, zip(*(one(t or "") for t in texts), strict=True)) if texts else columns)]
 
     schema = StructType(
         [
@@ -339,5 +341,7 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str = "d
             StructField("ids_sha256", StringType()),
             StructField("decoded_sha256", StringType()),
         ]
+        + [StructField("ids", ArrayType(IntegerType()))] * with_ids
     )
+    columns = [[]] * (len(schema) - 1)
     return map_rows(df.select(F.col(key), F.col(text)), make, schema)

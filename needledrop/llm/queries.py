@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, media, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity
+from needledrop.llm import bpe, language_id, media, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity
 from needledrop.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_media": op9_media,
+        "op10_language": op10_language,
     }
 
 

@@ -15,13 +15,15 @@ Defined results: null and empty texts have no spans; offsets are code points, en
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import map_rows
+from needledrop.llm.common import SLICE_ROWS, map_rows
 
 
 @dataclass(frozen=True)
@@ -369,7 +371,12 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     """``df`` with the secrets in ``text`` replaced; all other columns and rows stay as they are."""
     at = df.columns.index(text)
 
-    def make():
-        return lambda *cols: [*cols[:at], redacted(cols[at], rules), *cols[at + 1 :]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                columns = list(part.columns)
+                columns[at] = pa.array(redacted(columns[at].to_pylist(), rules), type=columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return map_rows(df, make, df.schema)
+    return df.mapInArrow(run, df.schema)

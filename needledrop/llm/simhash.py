@@ -266,12 +266,23 @@ def classes(docs: DataFrame, cap: int = KEY_CAP) -> DataFrame:
     """(doc_id, fp, component_id) of every row; see the module for nulls, empty texts and repeated rows."""
     prints = written(fingerprints(docs), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(edges(firsts.select("fp"), cap))
-    joined = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("label", "fp").alias("label"), "first"
-    )
-    least = joined.where("label <> fp or first is not null").groupBy("label").agg(F.min("first").alias("component_id"))
-    # A component of one fingerprint needs no join; the rest are few beside the corpus.
-    linked_only = labels.withColumnRenamed("node", "fp").join(least, "label").select("fp", F.col("component_id").alias("linked"))
-    ids = firsts.join(linked_only, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
+    labels = components(edges(firsts.select("fp"), cap)).withColumnRenamed("node", "fp")
+    # Only components of two or more fingerprints need another id; they are few beside the corpus.
+    linked = firsts.join(labels, "fp")
+    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    linked = linked.join(least, "label").select("fp", F.col("component_id").alias("linked"))
+    ids = written(firsts.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id")), "component-ids")
     return prints.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, cap: int = KEY_CAP) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that of the least id (null last), the first if it repeats."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
+    texts = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    prints = written(fingerprints(texts, key="uid"), "fingerprints").join(texts.drop("text"), "uid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    firsts = written(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
+    labels = components(edges(firsts.select("fp"), cap)).withColumnRenamed("node", "fp")
+    group = F.coalesce("label", "fp").alias("group")
+    kept = firsts.join(labels, "fp", "left").groupBy(group).agg(F.min("first").alias("first")).select("first.uid")
+    return rows.join(kept, "uid", "left_semi").select("row.*")
