@@ -13,8 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that are unified or dropped.
-DASHES, SPACES = "[‐-―−]", "[   -   　]"
-INVISIBLE = "[​-‏  ﻿�]"
+DASHES = "[\N{HYPHEN}-\N{HORIZONTAL BAR}\N{MINUS SIGN}]"
+SPACES = "[\N{NO-BREAK SPACE}\N{OGHAM SPACE MARK}\N{EN QUAD}-\N{HAIR SPACE}\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}]"
+INVISIBLE = "[\N{ZERO WIDTH SPACE}-\N{RIGHT-TO-LEFT MARK}\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}\N{ZERO WIDTH NO-BREAK SPACE}\N{REPLACEMENT CHARACTER}]"
 SINGLE_QUOTES = "‘’‛′ʹʻʼʽʾʿ`´"
 DOUBLE_QUOTES = "“”″«»"
 #: Words of a video page's badge; a badge has one of the first at least.

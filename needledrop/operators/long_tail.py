@@ -16,7 +16,8 @@ from needledrop.rules import Rules
 GARBLED = r"[^\p{L}\p{N}\s'&.,\-]"
 #: Names that stand for no artist, and spaces and invisible characters that a tag shouldn't hold.
 GENERIC = r"(?i)^(?:unknown artist|unknown|various artists|artista desconocido|va|vv\.?aa\.?|desconocido)$"
-ODD_SPACES, UNSEEN = "[   -   　]", "[​-‏﻿]"
+ODD_SPACES = "[\N{NO-BREAK SPACE}\N{EN QUAD}-\N{HAIR SPACE}\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}]"
+UNSEEN = "[\N{ZERO WIDTH SPACE}-\N{RIGHT-TO-LEFT MARK}\N{ZERO WIDTH NO-BREAK SPACE}]"
 EXAMPLES, EMPTY_ROWS = 8, 40
 
 
@@ -60,7 +61,7 @@ def untidy(index: Index) -> DataFrame:
             f"double spaces in the {f}": v.rlike(r"\s{2,}"),
             f"unusual (non-breaking) spaces in the {f}": v.rlike(ODD_SPACES),
             f"invisible characters in the {f}": v.rlike(UNSEEN),
-            f"unreadable characters in the {f}": v.contains("�"),
+            f"unreadable characters in the {f}": v.contains("\N{REPLACEMENT CHARACTER}"),
         }
         if f == "artist":
             tests["generic artist name"] = v.rlike(GENERIC)

@@ -32,7 +32,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 30, 20_000
 
 
 def header_key(value: str) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFD", value) if not "̀" <= c <= "ͯ").lower()
+    bare = "".join(c for c in unicodedata.normalize("NFD", value) if not 0x300 <= ord(c) <= 0x36F).lower()
     return re.sub(r"[\W_]+", " ", bare).strip()
 
 
@@ -98,7 +98,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[D
     if not head:
         empty = spark.createDataFrame([], "artist string, album string, album_id string, title string, ts_ms bigint, source string")
         return as_plays(empty, [F.col("title")]), ["The file is empty."]
-    sample = "\n".join(head).removeprefix("﻿")
+    sample = "\n".join(head).removeprefix("\N{ZERO WIDTH NO-BREAK SPACE}")
     delimiter = delimiter_of(sample)
     rows = list(csv.reader(io.StringIO(sample), delimiter=delimiter))
     headers, body, warnings = rows[0], rows[1:], []
@@ -117,7 +117,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[D
     options = {"sep": delimiter, "quote": '"', "escape": '"', "header": has_header, "multiLine": multi_line, "mode": "PERMISSIVE"}
     raw = spark.read.schema(schema).options(**options).csv(path).withColumn("pos", F.monotonically_increasing_id())
     if not has_header:
-        raw = raw.withColumn("c0", F.regexp_replace("c0", "^﻿", ""))
+        raw = raw.withColumn("c0", F.regexp_replace("c0", "^\N{ZERO WIDTH NO-BREAK SPACE}", ""))
     field = lambda i: text.normalise(F.col(f"c{i}")) if i >= 0 else F.lit("")
     plays = raw.select(
         field(at["artist"]).alias("artist"),
