@@ -75,3 +75,21 @@ def few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
 def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of ``df``, chosen by a hash of ``key``: the same ones each time."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+
+
+def spans_sql(kinds: list[tuple[str, str, str]]) -> str:
+    """DuckDB SQL of (doc_id, place, kind, start, stop) for (name, expression, condition on the match m and the gap before it).
+
+    A text is split by the expression; the lengths of gaps and matches give the places.
+    """
+    each = []
+    for n, (name, pattern, condition) in enumerate(kinds):
+        p = "'" + pattern.replace("'", "''") + "'"
+        each.append(f"""
+  SELECT doc_id, {n} AS place, '{name}' AS kind, start, start + len(m) AS stop FROM (
+    SELECT doc_id, gaps[i] AS gap, matches[i] AS m,
+           (list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda g: len(g))), 0))::BIGINT AS start
+    FROM (SELECT doc_id, gaps, matches, unnest(range(1, len(matches) + 1)) AS i FROM (
+      SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS matches FROM texts)))
+  WHERE {condition}""")
+    return " UNION ALL ".join(each)

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from needledrop.llm.common import spans_sql
+
 LEAST, NEAR = 0.6, 40
 
 
@@ -176,21 +178,12 @@ def _sql() -> str:
         "iban": f"CASE WHEN len(m) BETWEEN 15 AND 34 THEN {left_over} = 1 ELSE false END",
         "ssn": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND regexp_matches(lower(right(gap, 40)), 'ssn|social|security')",
     }
-    each = []
-    for n, k in enumerate(KINDS):
-        each.append(f"""
-  SELECT doc_id, {n} AS place, '{k.name}' AS kind, start, start + len(m) AS stop FROM (
-    SELECT doc_id, gaps[i] AS gap, matches[i] AS m,
-           (list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda g: len(g))), 0))::BIGINT AS start
-    FROM (SELECT doc_id, gaps, matches, unnest(range(1, len(matches) + 1)) AS i FROM (
-      SELECT doc_id, string_split_regex(t, '{k.plain}') AS gaps, regexp_extract_all(t, '{k.plain}') AS matches FROM texts)))
-  WHERE {checks[k.name]}""")
     shown = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start)"
     base = [k for k in KINDS if k.base]
     counts = ", ".join(f"(count(*) FILTER (WHERE kind = '{k.name}'))::BIGINT AS n_{k.name}" for k in base)
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({' UNION ALL '.join(each)})
+spans AS ({spans_sql([(k.name, k.plain, checks[k.name]) for k in KINDS])})
 SELECT d.doc_id, {counts},
        sha256(coalesce({shown} FILTER (WHERE place < {len(base)}), '')) AS base_sha256, coalesce({shown}, '') AS spans
 FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id

@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op7_pii": pii.ORACLE}
+    return {"op2_secrets": secret_scan.ORACLE, "op4_mixing": mixing.ORACLE, "op7_pii": pii.ORACLE}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import SLICE_ROWS, map_rows
+from needledrop.llm.common import SLICE_ROWS, map_rows, spans_sql
 
 
 @dataclass(frozen=True)
@@ -380,3 +380,30 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return df.mapInArrow(run, df.schema)
+
+
+def _sql() -> str:
+    """The rows of the query in DuckDB SQL, by each rule's own expression."""
+    either = lambda head: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in head)
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = []
+    for r in RULES:
+        head, names = r.head, "(pass(word|wd)|secret|token|api_?key)"
+        if r.nocase_head:
+            head = either(names) + head.removeprefix(names)
+        head = head.replace("(", "(?:")
+        measured = f"regexp_extract(m, {quote(head + '(' + r.tail + ')')}, 1)" if r.of == "tail" else "m"
+        # a lower bound of a repetition is checked as a length, so that shorter runs are matched and dropped alike
+        kinds.append((r.kind, head + r.tail.replace("{16,}", "+"), f"len({measured}) >= {r.least}"))
+    shown = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)"
+    base = [r.kind for r in RULES if r.base]
+    counts = ", ".join(f"(count(*) FILTER (WHERE kind = '{k}'))::BIGINT AS n_{k}" for k in base)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({spans_sql(kinds)})
+SELECT d.doc_id, {counts}, sha256(coalesce({shown} FILTER (WHERE place < {len(base)}), '')) AS base_sha256, coalesce({shown}, '') AS spans
+FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
+ORACLE = _sql()
