@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that are unified or dropped.
@@ -68,10 +68,15 @@ def fold_quotes(c: Column) -> Column:
     return F.translate(c, SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
 
 
+def folded(c: Column) -> Column:
+    """The comparison key of a text in normal form, or of a piece of one."""
+    lowered = F.translate(F.lower(strip_accents(c)), SINGLE_QUOTES, " " * len(SINGLE_QUOTES))
+    return F.trim(_replace(lowered, r"[^\p{L}\p{N}]+", " "))
+
+
 def key(c: Column) -> Column:
     """The comparison key: no accents, lower case, letters and digits with single spaces."""
-    lowered = F.translate(F.lower(strip_accents(normalise(c))), SINGLE_QUOTES, " " * len(SINGLE_QUOTES))
-    return F.trim(_replace(lowered, r"[^\p{L}\p{N}]+", " "))
+    return folded(normalise(c))
 
 
 def strip_featuring(c: Column) -> Column:
@@ -98,6 +103,20 @@ def loose_key(c: Column) -> Column:
     return F.when(loose == "", key(c)).otherwise(loose)
 
 
+def with_track_key(df: DataFrame, title: str = "title", name: str = "track_key") -> DataFrame:
+    """``df`` with the loose key of a title, as ``loose_key`` has it, computed in steps that share their results.
+
+    Every step is a projection of its own, so that no expression is evaluated twice for a row; this is for tables of plays.
+    """
+    own = df.withColumn("_n", normalise(F.col(title))).withColumn("_flat", _replace(F.col("_n"), BRACKETS, " "))
+    own = own.withColumn("_tail", F.regexp_extract("_flat", TAIL, 1))
+    plain = (F.col("_tail") == "") | (folded(F.col("_tail")) == "")
+    own = own.withColumn("_base", F.when(plain, F.col("_flat")).otherwise(_replace(F.col("_flat"), TAIL)))
+    own = own.withColumn("_loose", folded(strip_featuring(_replace(F.trim("_base"), r"\s+", " "))))
+    loose = F.when(F.col("_loose") == "", folded(F.col("_n"))).otherwise(F.col("_loose"))
+    return own.withColumn(name, loose).drop("_n", "_flat", "_tail", "_base", "_loose")
+
+
 def is_badge(q: Column) -> Column:
     """Whether a qualifier's key is nothing but a video page's badge."""
     core, words = "|".join(BADGE_CORE), "|".join(BADGE_CORE + BADGE_MORE)

@@ -85,7 +85,7 @@ def parse_date(c: Column) -> Column:
 
 def as_plays(df: DataFrame, order: list[Column]) -> DataFrame:
     """The play schema from (artist, album, album_id, title, ts_ms, source); ``order`` breaks ties of time."""
-    placed = numbered(df.withColumn("track_key", text.loose_key(F.col("title"))), [F.col("ts_ms").asc_nulls_last(), *order])
+    placed = text.with_track_key(numbered(df, [F.col("ts_ms").asc_nulls_last(), *order]))
     return placed.select("i", "part", "artist", "album", "album_id", "title", "ts_ms", "source", "track_key")
 
 

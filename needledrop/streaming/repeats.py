@@ -16,6 +16,6 @@ def repeat_sessions(plays: DataFrame, rules: Rules = Rules(), late: str = "10 mi
     A play exactly at the window's end still belongs to it, as in the batch.
     """
     gap = f"{rules.repeat_window_ms + 1} milliseconds"
-    keyed = plays.withColumn("track_key", text.loose_key(F.col("title"))).withWatermark("ts", late)
+    keyed = text.with_track_key(plays).withWatermark("ts", late)
     sessions = keyed.groupBy(F.session_window("ts", gap).alias("w"), "artist", "track_key").agg(F.count("*").alias("plays"))
     return sessions.where("plays > 1").select("artist", "track_key", F.col("w.start").alias("start"), "plays")
