@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from needledrop.functions import text as T
+from needledrop.labels import TYPES
 from needledrop.operators.long_tail import ODD_SPACES, UNSEEN
 from needledrop.sources.orders_log import DUCKDB
 
@@ -101,17 +102,14 @@ inside AS (
 SHARED = """
 {name}_shared AS (
   SELECT p.x, p.y, count(*) AS shared FROM {name} p JOIN tracks a ON a.artist = p.x JOIN tracks b ON b.artist = p.y AND a.track_key = b.track_key GROUP BY p.x, p.y)"""
-#: As-of joins instead of the query's bins.
 MIX = """
 {name}_sides AS (
   SELECT p.x, p.y, CASE WHEN b.dated < a.dated THEN p.y ELSE p.x END AS few, CASE WHEN b.dated < a.dated THEN p.x ELSE p.y END AS many
   FROM {name} p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y),
-{name}_left AS (SELECT s.x, s.y, s.many, w.ts_ms, w.i FROM {name}_sides s JOIN whole w ON w.artist = s.few WHERE w.ts_ms IS NOT NULL),
-{name}_times AS (SELECT DISTINCT artist, ts_ms FROM whole WHERE ts_ms IS NOT NULL),
-{name}_under AS (SELECT l.*, t.ts_ms AS under FROM {name}_left l ASOF LEFT JOIN {name}_times t ON l.many = t.artist AND l.ts_ms >= t.ts_ms),
-{name}_near AS (SELECT l.*, t.ts_ms AS above FROM {name}_under l ASOF LEFT JOIN {name}_times t ON l.many = t.artist AND l.ts_ms <= t.ts_ms),
+{name}_times AS (SELECT artist, ts_ms, unnest([ts_ms // 600000 - 1, ts_ms // 600000, ts_ms // 600000 + 1]) AS slot FROM (SELECT DISTINCT artist, ts_ms FROM whole WHERE ts_ms IS NOT NULL)),
 {name}_mix AS (
-  SELECT x, y, count(*) FILTER (WHERE coalesce(ts_ms - under <= 600000, false) OR coalesce(above - ts_ms <= 600000, false)) AS mix FROM {name}_near GROUP BY x, y)"""
+  SELECT s.x, s.y, count(DISTINCT w.i) AS mix FROM {name}_sides s JOIN whole w ON w.artist = s.few
+  JOIN {name}_times t ON t.artist = s.many AND t.slot = w.ts_ms // 600000 AND abs(t.ts_ms - w.ts_ms) <= 600000 GROUP BY s.x, s.y)"""
 MERGE = f"""
 merge_all AS (SELECT x, y, 'identical' AS relation FROM same UNION ALL SELECT x, y, 'containment' FROM inside),
 {SHARED.format(name='merge_all')},
@@ -215,6 +213,18 @@ def log_points(x: str, times: int, most: int) -> str:
     return f"least({most}.0::DOUBLE, log10(1 + {x}) * {times}.0::DOUBLE)"
 
 
+
+def album_variants(more: str = "") -> str:
+    spelled = f"lower(strip_accents(translate(album, {q(T.SINGLE_QUOTES + T.DOUBLE_QUOTES)}, {q(chr(39) * len(T.SINGLE_QUOTES) + chr(34) * len(T.DOUBLE_QUOTES))})))"
+    return select(f"""
+SELECT {more}CASE WHEN capitals THEN 'case_only' ELSE 'name_variants' END AS subtype, current, kept AS proposed, impact,
+  {points(f"CASE WHEN capitals THEN 44 + {log_points('impact', 6, 8)} ELSE 74 + {log_points('impact', 8, 10)} END")} AS points
+FROM (SELECT g.capitals, g.kept, g.seen, string_agg(a.album, '  /  ' ORDER BY a.n DESC, a.seen) AS current, sum(a.n)::BIGINT AS impact FROM (
+    SELECT artist, album_key, count(DISTINCT lower(album)) = 1 AS capitals, arg_max(album, (n, -seen)) AS kept, min(seen) AS seen FROM albums GROUP BY artist, album_key
+    HAVING count(*) > 1 AND count(DISTINCT {spelled}) = 1) g
+  JOIN albums a ON a.artist = g.artist AND a.album_key = g.album_key AND a.album <> g.kept GROUP BY g.artist, g.album_key, g.capitals, g.kept, g.seen)""")
+
+
 _RAW_TITLES = "SELECT title, {} FROM spelled"
 STRIPPED_ROMAN = rf"array_to_string(list_filter(string_split(regexp_replace(track_key, '[0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '^(?:{T.ROMAN})$')), ' ')"
 ORACLES = {
@@ -306,13 +316,7 @@ FROM on_albums WHERE missing > 0""", TRACKED),
     "e_album_clash": select(f"""
 SELECT 'clash' AS subtype, title AS current, album AS proposed, impact, {points(f"CASE WHEN after_title THEN least({{0}}, 44.0::DOUBLE) ELSE {{0}} END".format('(48 + ' + log_points('impact', 6, 10) + ')'))} AS points
 FROM (SELECT *, n - album_n - missing AS impact FROM on_albums WHERE albums > 1) WHERE impact >= 3""", TRACKED),
-    "e_album_name_variants": select(f"""
-SELECT CASE WHEN capitals THEN 'case_only' ELSE 'name_variants' END AS subtype, current, kept AS proposed, impact,
-  {points(f"CASE WHEN capitals THEN 44 + {log_points('impact', 6, 8)} ELSE 74 + {log_points('impact', 8, 10)} END")} AS points
-FROM (SELECT g.capitals, g.kept, string_agg(a.album, '  /  ' ORDER BY a.n DESC, a.seen) AS current, sum(a.n)::BIGINT AS impact FROM (
-    SELECT artist, album_key, count(DISTINCT lower(album)) = 1 AS capitals, arg_max(album, (n, -seen)) AS kept FROM albums GROUP BY artist, album_key
-    HAVING count(*) > 1 AND count(DISTINCT lower(strip_accents(translate(album, {q(T.SINGLE_QUOTES + T.DOUBLE_QUOTES)}, {q("'" * len(T.SINGLE_QUOTES) + '"' * len(T.DOUBLE_QUOTES))})))) = 1) g
-  JOIN albums a ON a.artist = g.artist AND a.album_key = g.album_key AND a.album <> g.kept GROUP BY g.artist, g.album_key, g.capitals, g.kept)"""),
+    "e_album_name_variants": album_variants(),
     "e_duplicate_plays": select(f"SELECT '' AS subtype, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
     "e_longtail_typo": select(f"""
 SELECT 'possible_typo' AS subtype, x AS current, y AS proposed, n AS impact,
@@ -328,3 +332,40 @@ WHERE (apart <= 2 OR inner_name) AND (shared > 0 OR garbled)""", NEAREST, SHARED
     "e_rare_artists": select("SELECT artist, n, first AS first_ms, last AS last_ms FROM artists WHERE n <= 2"),
     "f_meta": select(f"SELECT count(*) AS plays, count(ts_ms) AS dated, min(ts_ms) AS from_ms, max(ts_ms) AS to_ms, (SELECT count(*) FROM artists) AS artists, (SELECT count(*) FROM (SELECT DISTINCT artist, track_key FROM plays)) AS tracks, (SELECT count(DISTINCT {key('album')}) FROM plays WHERE album <> '') AS albums FROM plays"),
 }
+
+
+def _summary() -> str:
+    """The report's summary from the detectors' SQL: what joined names cover is left out, as are album spellings past the cap."""
+    kinds = {
+        "combined_artists": ["e_combined_artists"], "title_variants": ["e_title_variants", "e_platform_badges", "e_title_typos"], "artist_in_title": ["e_artist_in_title"],
+        "albums": ["e_album_missing", "e_album_clash"], "duplicate_scrobbles": ["e_duplicate_plays"], "long_tail": ["e_longtail_typo"],
+    }
+    columns = "subtype, current, proposed, points, impact"
+    parts = [f"SELECT '{kind}' AS type, {columns} FROM ({ORACLES[n]})" for kind, names in kinds.items() for n in names]
+    parts.append(f"SELECT 'albums', {columns} FROM (SELECT * FROM ({album_variants('seen, ')}) ORDER BY impact DESC, seen LIMIT 60)")
+    pairs = " UNION ALL ".join(f"SELECT {columns} FROM ({ORACLES[n]})" for n in ("e_duplicate_artists", "e_similar_names"))
+    messy = "problem <> 'scrobbles with no album'"
+    notes = [
+        f"SELECT 'long_tail', 'hygiene', '', '', 70, n FROM (SELECT sum(n)::BIGINT AS n FROM ({ORACLES['e_hygiene']}) WHERE {messy}) WHERE n > 0",
+        f"SELECT 'long_tail', 'empty', '', '', 45, 0 FROM ({ORACLES['e_hygiene']}) WHERE NOT {messy}",
+        f"SELECT 'long_tail', 'rare_artists', '', '', 0, 0 FROM (SELECT count(*) AS n FROM ({ORACLES['e_rare_artists']})) WHERE n > 0",
+    ]
+    order = ", ".join(f"'{t}'" for t in TYPES)
+    labels = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in TYPES.items())
+    return f"""
+WITH others AS ({' UNION ALL '.join(parts)}),
+absorbed AS (SELECT DISTINCT unnest(string_split(current, '  /  ')) AS name, proposed FROM others WHERE type = 'combined_artists'),
+pairs AS (SELECT row_number() OVER () AS id, * FROM ({pairs})),
+named AS (SELECT id, proposed, unnest(string_split(current, '  /  ')) AS name FROM pairs),
+open AS (SELECT DISTINCT n.id FROM named n LEFT JOIN absorbed a ON a.name = n.name AND a.proposed = n.proposed WHERE a.name IS NULL),
+listed AS (
+  SELECT * FROM (SELECT * FROM others UNION ALL SELECT 'duplicate_artists', {columns} FROM pairs WHERE id IN (SELECT id FROM open)) WHERE points >= 40
+  UNION ALL {' UNION ALL '.join(notes)})
+SELECT type, CASE type {labels} END AS label, count(*) AS findings, sum(impact)::BIGINT AS impact, count(*) FILTER (WHERE points >= 60) AS high,
+       count(*) FILTER (WHERE points >= 40 AND points < 60) AS medium, count(*) FILTER (WHERE points < 40) AS low,
+       count(*) FILTER (WHERE subtype NOT IN ('similar_names', 'case_only', 'version_marker', 'different_qualifiers', 'clash', 'hygiene', 'empty', 'rare_artists')) AS actionable
+FROM listed GROUP BY type ORDER BY list_position([{order}], type)
+"""
+
+
+ORACLES["f_summary_by_type"] = _summary()
