@@ -229,7 +229,9 @@ def dealt(keyed: DataFrame) -> DataFrame:
 
 def edges(distinct: DataFrame, cap: int = KEY_CAP) -> DataFrame:
     """(a, b), a > b as unsigned: enough links among distinct fingerprints to connect all that are connected."""
-    first = written(edges_in_keys(dealt(keys(distinct)), cap, True).distinct(), "simhash-edges")
+    # every fingerprint becomes as many rows as there are patterns, so they are dealt out anew rather than left in few tasks
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = written(edges_in_keys(dealt(keys(distinct.repartition(n, "fp"))), cap, True).distinct(), "simhash-edges")
     crowded = first.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     found = first.where("not crowded").select("a", "b")
     if crowded.isEmpty():
