@@ -7,8 +7,12 @@ Each (lang, source) with at least ``LEAST`` usable documents has its own estimat
 a smaller language takes that of all documents. An estimate starts from medians and median deviations, keeps the ``SHARE``
 of documents nearest to its centre, takes their mean and covariance, measures Mahalanobis distances from those, and
 repeats (concentration steps). Groups are only ever aggregated (sums, covariances, quantile sketches), so their size
-doesn't matter. Distances are scaled so that their median is that of a chi-squared variable; a document beyond ``LIMIT``
-goes, as does one that fails the fixed limits.
+doesn't matter.
+
+A group's own distances say where its cut lies: the median of their logarithms and ``MULTIPLE`` deviations, the deviation
+from the quartile above. Both are taken of the documents inside the cut, starting from a cut that the nearest third alone
+gives, until the cut stays. On chi-squared distances that is close to the 0.999 quantile, which is the least cut, so clean
+statistics with longer tails get a wider one. A document beyond the cut goes, as does one that fails the fixed limits.
 
 Defined results: a null or empty text has no words and fails; null languages and sources are values of their own; a
 document is judged by its own row, so repeated rows get the same verdict; the documents that fail the fixed limits have
@@ -27,10 +31,15 @@ from needledrop.llm.common import WORD, few, written
 SYMBOLS = "#*$%&|<>"
 #: Documents that a group needs for an estimate of its own; the share of it that an estimate rests on; its steps.
 LEAST, SHARE, STEPS = 200, 0.75, 4
-#: The statistics of the vector, each with the least standard deviation that a group is given.
-FLOORS = {"symbols": 0.25, "capitals": 0.25, "marks": 0.25, "word_length": 0.06, "repeats": 0.5}
-#: The median of a chi-squared variable with as many degrees of freedom, and the squared distance from which a document goes.
-CHI2_MEDIAN, LIMIT = 4.3515, 150.0
+#: The statistics of the vector, each with the least standard deviation that a group is given: small enough that the worst
+#: value of one statistic that the fixed limits allow lies beyond the cut by itself.
+FLOORS = {"symbols": 0.25, "capitals": 0.1, "marks": 0.25, "word_length": 0.03, "repeats": 0.05, "lines": 0.1}
+#: Median and 0.999 quantile of a chi-squared variable with as many degrees of freedom.
+CHI2_MEDIAN, CHI2_FAR = 5.3481, 22.4577
+#: Deviations of the log distances from their median to the cut; how often a cut is taken anew at most.
+MULTIPLE, CUTS = 2.5, 10
+#: Added to squared distances before their logarithm is taken.
+LITTLE = 1e-3
 #: Accuracy of the quantile sketches: an error of 1/2,000 of the rows.
 ACCURACY = 2000
 
@@ -71,7 +80,7 @@ def repeat_words(windows: Column) -> Column:
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_letters, n_marks and base_failed."""
+    """``df`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_marks and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of_words(words: Column) -> Column:
@@ -93,6 +102,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
                 "n_words": F.col("_words.n_words"),
                 "word_chars": F.length(bare).cast("long"),
                 "n_symbols": (F.length(t) - without(SYMBOLS)).cast("long"),
+                "n_lines": F.size(lines).cast("long"),
                 "n_dup_lines": distinct.cast("long"),
                 "n_repeat_words": F.col("_words.n_repeat_words"),
                 "n_capitals": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))).cast("long"),
@@ -105,14 +115,18 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vector() -> dict[str, Column]:
-    """The transformed statistics: logarithms of rates, with a constant that makes low rates alike whatever the length."""
+    """The transformed statistics: logarithms of rates, with a constant that makes low rates alike whatever the length.
+
+    What repeats within a text is a plain share: a little of it is common, and most of a text is far from that.
+    """
     rate = lambda n, of, least: F.log(F.col(n) / (F.col(of) + 1.0) + least)
     return {
         "symbols": rate("n_symbols", "word_chars", 0.003),
         "capitals": rate("n_capitals", "word_chars", 0.01),
         "marks": rate("n_marks", "word_chars", 0.003),
         "word_length": F.log((F.col("word_chars") + 1.0) / (F.col("n_words") + 1.0)),
-        "repeats": rate("n_repeat_words", "n_words", 0.1),
+        "repeats": F.col("n_repeat_words") / (F.col("n_words") + 1.0),
+        "lines": F.col("n_dup_lines") / (F.col("n_lines") + 1.0),
     }
 
 
@@ -197,10 +211,13 @@ def beside(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return rows.join(other, same[0] & same[1] & same[2]).drop(*(f"_{k}" for k in KEY))
 
 
-def estimates(members: DataFrame, n: int) -> DataFrame:
-    """(lang, source, level, m_*, l_i_j, middle): each group's minimum-covariance-determinant estimate."""
+def quantile(c: str | Column, q: float) -> Column:
+    return F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
+
+
+def concentrated(members: DataFrame, n: int) -> DataFrame:
+    """(lang, source, level, m_*, l_i_j): each group's minimum-covariance-determinant estimate."""
     names = list(FLOORS)
-    quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
     medians = written(members.groupBy(*KEY).agg(*(quantile(x, 0.5).alias(f"m_{x}") for x in names)), "quality-medians")
     near = beside(members, medians, n)
     spread = near.groupBy(*KEY).agg(*(F.first(f"m_{x}").alias(f"m_{x}") for x in names), *(quantile(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"c_{x}") for x in names))
@@ -214,8 +231,35 @@ def estimates(members: DataFrame, n: int) -> DataFrame:
         inside = beside(members, fit, n).where(squared(names) <= F.col("edge"))
         moments = inside.groupBy(*KEY).agg(*(F.avg(x).alias(f"m_{x}") for x in names), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs))
         fit = written(factor(moments), "quality-fit")
-    middle = beside(members, fit, n).withColumn("d", squared(names)).groupBy(*KEY).agg(quantile("d", 0.5).alias("middle"))
-    return written(beside(fit, middle, n), "quality-estimates")
+    return fit
+
+
+def cut(middle: Column, deviation: Column) -> Column:
+    """The log distance of the cut from the median and the deviation of log distances."""
+    least = F.log(F.lit(CHI2_FAR)) + F.greatest(F.lit(0.0), middle - F.log(F.lit(CHI2_MEDIAN)))
+    return F.greatest(middle + MULTIPLE * deviation, least)
+
+
+def cuts(far: DataFrame, n: int) -> DataFrame:
+    """(lang, source, level, cut) from the members' log distances ``far`` (lang, source, level, u)."""
+    start = far.groupBy(*KEY).agg(quantile("u", 1 / 6).alias("low"), quantile("u", 1 / 3).alias("high"))
+    found = written(start.select(*KEY, cut(F.col("high"), (F.col("high") - F.col("low")) / 0.5367).alias("cut")), "quality-cuts")
+    for _ in range(CUTS):
+        inside = beside(far, found, n).where("u <= cut").groupBy(*KEY)
+        middle = inside.agg(quantile("u", 0.5).alias("middle"), quantile("u", 0.75).alias("upper"), F.first("cut").alias("was"))
+        at = cut(F.col("middle"), (F.col("upper") - F.col("middle")) / 0.6745)
+        after = written(middle.select(*KEY, at.alias("cut"), "was"), "quality-cuts")
+        found = after.drop("was")
+        if after.where("abs(cut - was) > 0.01").isEmpty():
+            break
+    return found
+
+
+def estimates(members: DataFrame, n: int) -> DataFrame:
+    """(lang, source, level, m_*, l_i_j, cut): each group's estimate and the log distance from which its documents go."""
+    fit = concentrated(members, n)
+    far = written(beside(members, fit, n).select(*KEY, F.log(squared(list(FLOORS)) + LITTLE).alias("u")), "quality-distances")
+    return written(beside(fit, cuts(far, n), n), "quality-estimates")
 
 
 def judged(df: DataFrame, carry: list[str]) -> DataFrame:
@@ -238,9 +282,8 @@ def judged(df: DataFrame, carry: list[str]) -> DataFrame:
     )
     own = few(beside(of_pair, fits, n).drop(*KEY), n)
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    scaled = squared(list(FLOORS)) * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(1.0))
-    out = stats.join(own, same, "left").withColumn("distance", scaled)
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > LIMIT, F.lit(False))
+    out = stats.join(own, same, "left").withColumn("distance", squared(list(FLOORS)))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.log(F.col("distance") + LITTLE) > F.col("cut"), F.lit(False))
     return out.withColumn("kept", kept).select(*stats.columns, "distance", "kept")
 
 
