@@ -4,10 +4,11 @@ Everything is DataFrame expressions. A document's statistics come from its row a
 are hashed to 64 bits inside the row, and repeated windows are found by sorting them there, so no word is ever shuffled.
 
 Each (lang, source) with at least ``LEAST`` usable documents has its own estimate; a smaller one takes its language's, and
-a smaller language takes that of all documents. An estimate starts from medians and median deviations, keeps the ``SHARE``
-of documents nearest to its centre, takes their mean and covariance, measures Mahalanobis distances from those, and
-repeats (concentration steps). Groups are only ever aggregated (sums, covariances, quantile sketches), so their size
-doesn't matter.
+a smaller language takes that of all documents. An estimate starts from medians and median deviations, keeps the half of
+the documents nearest to its centre, takes their mean and covariance, measures Mahalanobis distances from those, and
+repeats (concentration steps) until the covariance's determinant stops falling. Documents that tie at the edge of the half
+stay out, so a block of copies can't enter there. Groups are only ever aggregated (sums, covariances, quantile sketches),
+so their size doesn't matter.
 
 A group's own distances say where its cut lies: the median of their logarithms and ``MULTIPLE`` deviations, the deviation
 from the quartile above. Both are taken of the documents inside the cut, starting from a cut that the nearest third alone
@@ -29,8 +30,12 @@ from pyspark.sql import functions as F
 from needledrop.llm.common import WORD, few, written
 
 SYMBOLS = "#*$%&|<>"
-#: Documents that a group needs for an estimate of its own; the share of it that an estimate rests on; its steps.
-LEAST, SHARE, STEPS = 200, 0.75, 4
+#: Documents that a group needs for an estimate of its own; the share of it that an estimate rests on.
+LEAST, SHARE = 200, 0.5
+#: If the distances from this quantile to the edge are all equal, what ties at the edge is most of the half, and stays in.
+TIED = 0.1
+#: The fall of the logarithm of the covariance's determinant below which a group's steps end.
+FALL = 0.01
 #: The statistics of the vector, each with the least standard deviation that a group is given: small enough that the worst
 #: value of one statistic that the fixed limits allow lies beyond the cut by itself.
 FLOORS = {"symbols": 0.25, "capitals": 0.1, "marks": 0.25, "word_length": 0.03, "repeats": 0.05, "lines": 0.1}
@@ -204,11 +209,11 @@ def squared(names: list[str]) -> Column:
 KEY = ("lang", "source", "level")
 
 
-def beside(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+def beside(rows: DataFrame, groups: DataFrame, n: int, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their group."""
     other = few(groups.withColumnsRenamed({k: f"_{k}" for k in KEY}), n)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
-    return rows.join(other, same[0] & same[1] & same[2]).drop(*(f"_{k}" for k in KEY))
+    return rows.join(other, same[0] & same[1] & same[2], how).drop(*(f"_{k}" for k in KEY))
 
 
 def quantile(c: str | Column, q: float) -> Column:
@@ -216,21 +221,31 @@ def quantile(c: str | Column, q: float) -> Column:
 
 
 def concentrated(members: DataFrame, n: int) -> DataFrame:
-    """(lang, source, level, m_*, l_i_j): each group's minimum-covariance-determinant estimate."""
+    """(lang, source, level, m_*, l_i_j): each group's minimum-covariance-determinant estimate.
+
+    Only groups whose determinant fell in the last step take another one. The floors bound it from below, so all come to an end.
+    """
     names = list(FLOORS)
     medians = written(members.groupBy(*KEY).agg(*(quantile(x, 0.5).alias(f"m_{x}") for x in names)), "quality-medians")
     near = beside(members, medians, n)
     spread = near.groupBy(*KEY).agg(*(F.first(f"m_{x}").alias(f"m_{x}") for x in names), *(quantile(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"c_{x}") for x in names))
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     first = spread.select(*KEY, *(f"m_{x}" for x in names), *((F.pow(1.4826 * F.col(f"c_{names[i]}"), 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs))
-    fit = written(factor(first), "quality-fit")
-    for _ in range(STEPS):
-        far = beside(members, fit, n).withColumn("d", squared(names))
-        edge = far.groupBy(*KEY).agg(quantile("d", SHARE).alias("edge"))
-        fit = written(beside(fit, edge, n), "quality-edge")
-        inside = beside(members, fit, n).where(squared(names) <= F.col("edge"))
+    never = F.lit(float("inf"))
+    fit = written(factor(first).withColumns({"det": never, "fell": F.lit(True)}), "quality-fit")
+    own = [c for c in fit.columns if c not in (*KEY, "fell")]
+    while True:
+        far = beside(members, fit.where("fell"), n).withColumn("d", squared(names)).select(*KEY, *names, "d")
+        edge = far.groupBy(*KEY).agg(quantile("d", SHARE).alias("edge"), quantile("d", TIED).alias("low"))
+        inside = beside(far, edge, n).where("d < edge or low = edge")
         moments = inside.groupBy(*KEY).agg(*(F.avg(x).alias(f"m_{x}") for x in names), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs))
-        fit = written(factor(moments), "quality-fit")
+        det = sum((F.log(f"l_{i}_{i}") for i in range(len(names))), F.lit(0.0)) * 2
+        step = factor(moments).withColumn("det", det).withColumnsRenamed({c: f"new_{c}" for c in own})
+        both = beside(fit.drop("fell"), step, n, "left").withColumn("fell", F.coalesce(F.col("new_det") < F.col("det") - FALL, F.lit(False)))
+        fit = written(both.select(*KEY, *(F.when(F.col("fell"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in own), "fell"), "quality-fit")
+        if fit.where("fell").isEmpty():
+            break
+    fit = fit.drop("det", "fell")
     return fit
 
 

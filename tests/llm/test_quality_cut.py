@@ -50,3 +50,11 @@ def test_symbols_beyond_a_wide_clean_spread(spark):
     clean = [prose(200, symbols=0.006 * 2.718 ** R.gauss(0, 0.5)) for _ in range(500)]
     got = left(spark, clean, [prose(200, symbols=0.1) for _ in range(25)], [prose(200, symbols=0.5) for _ in range(25)])
     assert got[0] >= 0.98 and got[1:] == [0, 0]
+
+
+def test_a_third_of_copies_goes(spark):
+    """A third of a group are copies of one junk page: they must not become the estimate."""
+    clean = [prose() for _ in range(300)]
+    for junk in ([prose(symbols=0.2)] * 150, [prose(symbols=0.2).upper() + f" {i}" for i in range(150)]):
+        got = left(spark, clean, junk)
+        assert got[0] >= 0.98 and got[1] == 0
