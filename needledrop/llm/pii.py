@@ -1,4 +1,4 @@
-"""Personal data: expressions propose spans, checksums confirm them, and context words before a span adjust its score.
+"""Personal data: expressions propose spans, checksums confirm them, and context words around a span adjust its score.
 
 Only DataFrame expressions. A kind's matches and the gaps between them come from splitting a text by the kind's expression;
 their lengths give the spans, so a text is never cut by position. The expressions are written with possessive repeats and
@@ -6,7 +6,10 @@ look-behinds that start a match only where a run of its characters starts (or wh
 match but keeps the search linear in very long words and digit runs.
 
 The base kinds (email, ip, card, phone) are always returned once their checks pass; further kinds only from a score of
-``LEAST`` on. Defined results: a null or empty text has no spans; offsets are code points, end exclusive; matches of a kind
+``LEAST`` on. Context is the ``NEAR`` characters before a span, and for the further kinds also those after it, with other
+matches of the kind left out: so a word counts for each number of a list. Account numbers may be in groups of four; of a
+grouped match, the longest leading part that passes mod 97 is the span. ``SQL`` knows neither: it sees the gap before a span
+only, and unbroken account numbers, so it lacks the spans that need more. Defined results: a null or empty text has no spans; offsets are code points, end exclusive; matches of a kind
 don't overlap, and one that fails its check is dropped without another try.
 """
 
@@ -37,6 +40,8 @@ class Kind:
     base: bool = True
     #: A text without this has no match.
     needs: str = ""
+    #: The part of a match, from its start, that is the span (null: none); the whole match if not given.
+    part: Callable[[Column], Column] | None = None
 
 
 def digits(x: Column) -> Column:
@@ -58,6 +63,20 @@ def mod97(x: Column) -> Column:
     return F.aggregate(F.split(F.concat(F.substr(x, F.lit(5)), F.substring(x, 1, 4)), ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)))
 
 
+def account(x: Column) -> Column:
+    return F.length(x).between(15, 34) & (mod97(x) == 1)
+
+
+def account_part(x: Column) -> Column:
+    """The longest run of groups from the start that is an account number: an upper-case word may follow it."""
+
+    def longest(groups: Column) -> Column:
+        up_to = F.transform(F.sequence(F.lit(1), F.least(F.size(groups), F.lit(9))), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return F.get(F.reverse(F.filter(up_to, lambda p: account(F.replace(p, F.lit(" "), F.lit(""))))), F.lit(0))
+
+    return F.when(x.contains(" "), longest(F.split(x, " "))).when(account(x), x)
+
+
 KINDS = (
     Kind(
         "email",
@@ -100,13 +119,14 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"[A-Z]{2}[0-9]{2}[A-Z0-9]++",
+        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]++|(?:\x20[A-Z0-9]{4}(?![A-Z0-9]))++(?:\x20[A-Z0-9]{1,3}(?![A-Z0-9]))?+)",
         r"[A-Z]{2}[0-9]{2}[A-Z0-9]+",
-        lambda x: F.length(x).between(15, 34) & (mod97(x) == 1),
+        lambda x: account_part(x).isNotNull(),
         0.8,
         0.95,
         "iban|account|bank",
         base=False,
+        part=account_part,
     ),
     Kind(
         "ssn",
@@ -125,23 +145,30 @@ SPAN = "array<struct<kind: string, start: bigint, end: bigint, score: double>>"
 
 def spans(text: Column, kind: Kind) -> Column:
     """The spans of one kind in a text that isn't null."""
+    gaps = F.split(text, kind.pattern, -1)
+    if kind.base:
+        after = F.transform(gaps, lambda g: F.lit(""))
+    else:  # a gap between two matches has a character at least, so so many gaps are enough
+        after = F.transform(gaps, lambda g, i: F.array_join(F.transform(F.slice(gaps, i + 2, F.lit(NEAR)), lambda x: F.left(x, F.lit(NEAR))), " "))
     pieces = F.arrays_zip(
-        F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match")
+        gaps.alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"), after.alias("after")
     )
     none = F.array().cast(SPAN)
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before"), none.alias("found"))
 
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["gap"])
         end = start + F.coalesce(F.length(piece["match"]), F.lit(0))
-        near = F.lower(F.right(piece["gap"], F.lit(NEAR))).rlike(kind.words)
+        before = F.right(F.concat(state["before"], piece["gap"]), F.lit(NEAR))
+        near = F.lower(before).rlike(kind.words) | F.lower(F.left(piece["after"], F.lit(NEAR))).rlike(kind.words)
         score = F.when(near, kind.in_context).otherwise(kind.score)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+        stop = start + F.length(kind.part(piece["match"])) if kind.part else end
+        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), stop.alias("end"), score.alias("score"))
         good = piece["match"].isNotNull() & kind.check(piece["match"])
         if not kind.base:
             good = good & (score >= LEAST)
         found = F.when(F.coalesce(good, F.lit(False)), F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.cast("bigint").alias("at"), found.cast(SPAN).alias("found"))
+        return F.struct(end.cast("bigint").alias("at"), before.alias("before"), found.cast(SPAN).alias("found"))
 
     found = F.aggregate(pieces, begin, step, lambda s: s["found"])
     return F.when(text.contains(kind.needs), found).otherwise(none) if kind.needs else found
