@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from needledrop.plans.index import Index
 from needledrop.plans.report import Audit
-from needledrop.plans.storage import written
+from needledrop.plans.storage import scratch, written
 from needledrop.rules import Rules
 from needledrop.sinks.render import markdown
 from needledrop.sinks.tables import write_csv, write_json
@@ -23,13 +23,14 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--canonical", default="score", choices=("score", "recent", "frequent"))
     given = p.parse_args(args)
     spark = SparkSession.builder.appName("needledrop").getOrCreate()
-    plays, warnings = read_csv(spark, given.input)
-    audit = Audit(Index(written(plays, "plays")), Rules().override(minimum_confidence=given.minimum_confidence, canonical=given.canonical))
-    write_json(audit.findings, f"{given.output}/findings")
-    write_csv(audit.findings, f"{given.output}/actions")
-    report = markdown(audit) + "".join(f"\nWarning: {w}\n" for w in warnings)
-    spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(f"{given.output}/report")
-    print(report.split("\n## ")[0])
+    with scratch(spark):
+        plays, warnings = read_csv(spark, given.input)
+        audit = Audit(Index(written(plays, "plays")), Rules().override(minimum_confidence=given.minimum_confidence, canonical=given.canonical))
+        write_json(audit.findings, f"{given.output}/findings")
+        write_csv(audit.findings, f"{given.output}/actions")
+        report = markdown(audit) + "".join(f"\nWarning: {w}\n" for w in warnings)
+        spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(f"{given.output}/report")
+        print(report.split("\n## ")[0])
 
 
 if __name__ == "__main__":

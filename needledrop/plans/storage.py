@@ -4,39 +4,86 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _known: dict[tuple[str, str], DataFrame] = {}
+_open: list[str] = []
 #: Rows that a counted side may have to be broadcast.
 BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset (as in tests)."""
+    """The open run's folder, else ``spark.checkpoint.dir``; where that is unset, one of our own, on a local master only."""
+    if _open:
+        return _open[-1]
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="needledrop-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's readers see them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """One folder for all that is written inside, removed at the end: results that are read later must be saved before."""
+    folder, before = f"{shared_dir(spark)}/needledrop-run-{uuid.uuid4().hex}", set(_known)
+    _open.append(folder)
+    try:
+        yield folder
+    finally:
+        _open.remove(folder)
+        for at in set(_known) - before:
+            del _known[at]
+        path, fs = _path(spark, folder)
+        fs.delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/needledrop-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """The sizes and times of the files at some paths: another one if a table has changed."""
+    found = []
+    for p in paths:
+        path, fs = _path(spark, p)
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return ",".join(sorted(found))
+
+
 def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``make`` gives, written the first time this application asks for ``name``."""
+    """The table ``make`` gives, written the first time this application asks for ``name``.
+
+    The caller puts into ``name`` what the table depends on (``stamp`` for files).
+    """
     at = spark.sparkContext.applicationId, name
     if at not in _known:
         _known[at] = written(make(), "once")
     return _known[at]
 
 
+def forget() -> None:
+    """Make ``once`` compute anew from here on."""
+    _known.clear()
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a written table if it has at most ``most`` rows; else leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 from needledrop.functions import text
 from needledrop.operators import albums, artists, long_tail, pairs, repeats, titles
 from needledrop.operators.findings import canonical_score
+from needledrop.plans import storage
 from needledrop.plans.index import Index
 from needledrop.plans.report import Audit
 from needledrop.rules import Rules
 from needledrop.sinks.tables import actions, profile_urls
-from needledrop.sources.orders_log import orders_log
-from needledrop.sources.plays import FIELDS  # noqa: F401
+from needledrop.sources.orders_log import orders_log, version
 
 RULES = Rules()
 _audits: dict[tuple[str, str], Audit] = {}
 
 
+def forget() -> None:
+    """Compute everything anew from here on."""
+    _audits.clear()
+    storage.forget()
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
     return audit_of(spark, sf_dir).index
 
 
 def audit_of(spark: SparkSession, sf_dir: str) -> Audit:
-    """The audit of a folder; what it has written is used again within the application."""
-    at = spark.sparkContext.applicationId, sf_dir
+    """The audit of a folder; what it has written is used again within the application while the folder's files stay."""
+    at = spark.sparkContext.applicationId, version(spark, sf_dir)
     if at not in _audits:
-        _audits[at] = Audit(Index(orders_log(spark, sf_dir), sf_dir), RULES)
+        _audits[at] = Audit(Index(orders_log(spark, sf_dir), at[1]), RULES)
     return _audits[at]
 
 

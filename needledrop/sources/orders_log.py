@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.plans.storage import once
+from needledrop.plans.storage import once, stamp
 from needledrop.sources.plays import from_columns
 
 DIRTY = r"""
@@ -59,4 +59,9 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         dirty = spark.sql(query, **tables)
         return from_columns(dirty, "artist", "title", "album", "ts_ms", "orders", [F.col(k) for k in ("k1", "k2", "k3", "k4")])
 
-    return once(spark, f"orders_log:{sf_dir}", make)
+    return once(spark, f"orders_log:{version(spark, sf_dir)}", make)
+
+
+def version(spark: SparkSession, sf_dir: str) -> str:
+    """What tells this log from one of other tables."""
+    return stamp(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")))
