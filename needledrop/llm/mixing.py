@@ -3,16 +3,19 @@
 Sizes (words) are summed by source and hash bucket. In each source the buckets' running sums show the bucket in which its
 budget is reached; only that boundary bucket is refined, by the next bits of the hash, until one hash value is left. A
 document is then taken if its hash is below its source's threshold: nothing is sorted, and reruns agree because the hash
-is a digest of the document itself. What a threshold leaves of a budget is the budget of a nested threshold over the
-documents that aren't taken and are no longer than it, so a long document at the threshold costs little.
+is a digest of the document itself. Rows with the same id and text have the same hash; if they are the boundary, a second
+hash, of the row's place in its written table, is refined in the same way, so as many of them are taken as fit. Which ones
+makes no difference. What a threshold leaves of a budget is the budget of a nested threshold over the documents that aren't
+taken and are no longer than it, so a long document at the threshold costs little; what is left after ``ROUNDS`` of them goes
+to the one document that is nearest to it in size, if that brings the source nearer to its target.
 
 Sources in code point order (null last) weigh ``WEIGHTS`` in turn and share the sum of all sizes; a target stops at
 ``MOST`` times its source's size, and the excess is shared again by weight. A target above the source's size takes every
-document ``floor(target / size)`` times and the rest by threshold. The document at the threshold goes in if that brings
-the source nearer to its target.
+document ``floor(target / size)`` times and the rest by threshold.
 
-Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own; rows with the
-same id and text have the same hash, so they are taken or left together; an empty table gives an empty result.
+Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own; of rows with the
+same id and text, how many are taken is defined, but not which; columns besides id, text and source play no part, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,10 +43,14 @@ def digest(key: str = "doc_id", text: str = "text") -> F.Column:
     return F.conv(F.substring(F.md5(both.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def measured(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return df.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), digest(key, text).alias("h")
-    )
+def measured(df: DataFrame, carry: list[str], text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """(row, source, size, h, u) of every row, written, so that ``u``, a hash of the row's place, stays as it is.
+
+    ``row`` holds the columns ``carry``.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - HASH_BITS)
+    row = F.struct(*carry).alias("row")
+    return written(df.select(row, F.col(source).alias("source"), n_words(text).alias("size"), digest(key, text).alias("h"), place.alias("u")), "sizes")
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
@@ -78,10 +85,11 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return sources.withColumn("target", target), n
 
 
-def cut(rows: DataFrame, state: DataFrame, n: int, nearest: bool) -> DataFrame:
-    """(place, cut, left) for each source of ``state`` (place, left) that has ``rows`` (place, h, size), by its budget ``left``.
+def boundary(rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """(place, at, left, many) for each source of ``state`` (place, left) that has ``rows`` (place, h, size).
 
-    The rows whose hash is below ``cut`` fit in the budget; ``nearest`` adds those at the threshold if that comes nearer.
+    The rows whose hash is below ``at`` fit in the budget and leave ``left`` of it; ``many`` rows have that hash. Where all fit,
+    ``at`` is above every hash.
     """
     state, done, shift = state.withColumn("prefix", F.lit(0).cast("long")), None, HASH_BITS
     while shift:
@@ -90,22 +98,22 @@ def cut(rows: DataFrame, state: DataFrame, n: int, nearest: bool) -> DataFrame:
         sums = (
             rows.join(own, (F.col("place") == F.col("of")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")))
             .groupBy("place", F.shiftright("h", shift).alias("bucket"))
-            .agg(F.sum("size").alias("s"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("left").alias("left"))
+            .agg(F.sum("size").alias("s"), F.count("*").alias("many"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("left").alias("left"))
         )
         running = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         before = (F.col("left") - F.col("sum") + F.col("s")).alias("left")
-        over = F.when(F.col("sum") > F.col("left"), F.struct("bucket", "s", "low", "high", before))
+        over = F.when(F.col("sum") > F.col("left"), F.struct("bucket", "many", "low", "high", before))
         edge = (
             sums.withColumn("sum", F.sum("s").over(running))
             .groupBy("place")
             .agg(F.min(over).alias("e"), F.max("sum").alias("all"), F.first("left").alias("left"))
         )
         edge = written(edge, "boundary")
-        add = F.lit(nearest) & (F.col("e.s") - F.col("e.left") < F.col("e.left"))
         found = edge.where("e is null or e.low = e.high").select(
             "place",
-            F.when(F.col("e").isNull(), 1 << HASH_BITS).otherwise(F.col("e.low") + add.cast("long")).alias("cut"),
-            F.when(F.col("e").isNull(), F.col("left") - F.col("all")).when(add, 0.0).otherwise(F.col("e.left")).alias("left"),
+            F.coalesce("e.low", F.lit(1 << HASH_BITS)).alias("at"),
+            F.coalesce("e.left", F.col("left") - F.col("all")).alias("left"),
+            F.coalesce("e.many", F.lit(0)).alias("many"),
         )
         done = found if done is None else done.unionByName(found)
         state = edge.where("e.low < e.high").select("place", "e.left", F.col("e.bucket").alias("prefix"))
@@ -114,65 +122,94 @@ def cut(rows: DataFrame, state: DataFrame, n: int, nearest: bool) -> DataFrame:
     return done
 
 
+def cut(rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """(place, cut, among, left) for each source of ``state`` (place, left) that has ``rows`` (place, h, u, size).
+
+    Rows with a hash below ``cut`` fit in the budget, as do those at ``cut`` whose second hash is below ``among``.
+    """
+    first = written(boundary(rows.drop("u"), state, n).withColumnRenamed("at", "cut"), "boundary")
+    shared = first.where("many > 1")
+    if shared.isEmpty():
+        return first.select("place", "cut", F.lit(0).cast("long").alias("among"), "left")
+    at = few(shared.select(F.col("place").alias("of"), "cut"), n)
+    equal = rows.join(at, (F.col("place") == F.col("of")) & (F.col("h") == F.col("cut"))).select("place", F.col("u").alias("h"), "size")
+    second = boundary(equal, shared.select("place", "left"), n).select("place", F.col("at").alias("among"), F.col("left").alias("rest"))
+    both = first.join(few(second, n), "place", "left")
+    return both.select("place", "cut", F.coalesce("among", F.lit(0).cast("long")).alias("among"), F.coalesce("rest", "left").alias("left"))
+
+
 def below(rounds: int) -> F.Column:
     """Whether one of the first thresholds takes a row, beside the plan's columns."""
     out = F.lit(False)
     for k in range(rounds):
-        out = out | ((F.col("size") <= F.col(f"limit_{k}")) & (F.col("h") < F.col(f"cut_{k}")))
+        under = (F.col("h") < F.col(f"cut_{k}")) | ((F.col("h") == F.col(f"cut_{k}")) & (F.col("u") < F.col(f"among_{k}")))
+        out = out | ((F.col("size") <= F.col(f"limit_{k}")) & under)
     return out
 
 
 def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, int]:
-    """(source, place, weight, source_size, target, copies, limit_k, cut_k) of every source, and how many there are.
+    """(source, place, weight, source_size, target, copies, limit_k, cut_k, among_k, one_h, one_u) of every source, and how many.
 
-    A document is taken ``copies`` times, and once more if for some k it is at most ``limit_k`` long and its hash is below
-    ``cut_k``.
+    A document is taken ``copies`` times, and once more if for some k it is at most ``limit_k`` long and its hashes are below
+    ``cut_k`` and ``among_k``, or if its hashes are ``one_h`` and ``one_u``.
     """
     sources, n = targets(rows, weights, most)
     times = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)))
     plan = sources.withColumn("copies", F.coalesce(times, F.lit(0)).cast("long"))
     plan = plan.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
     plan = written(plan.withColumn("limit_0", F.col("source_size")), "targets")
-    for k in range(ROUNDS):
+
+    def still_open(rounds: int) -> DataFrame:
         own = few(plan.withColumnRenamed("source", "of"), n)
-        open_rows = rows.where("size > 0").join(own, F.col("source").eqNullSafe(F.col("of")))
-        open_rows = open_rows.where(~below(k) & (F.col("size") <= F.col(f"limit_{k}"))).select("place", "h", "size")
-        found = cut(open_rows, plan.select("place", "left"), n, k == ROUNDS - 1).withColumnsRenamed({"cut": f"cut_{k}", "left": "rest"})
+        return rows.where("size > 0").join(own, F.col("source").eqNullSafe(F.col("of"))).where(~below(rounds))
+
+    for k in range(ROUNDS):
+        fit = still_open(k).where(F.col("size") <= F.col(f"limit_{k}")).select("place", "h", "u", "size")
+        found = cut(fit, plan.select("place", "left"), n).withColumnsRenamed({"cut": f"cut_{k}", "among": f"among_{k}", "left": "rest"})
         plan = plan.join(few(found, n), "place", "left").withColumn("left", F.coalesce("rest", "left")).drop("rest")
-        plan = plan.withColumn(f"cut_{k}", F.coalesce(f"cut_{k}", F.lit(0).cast("long")))
+        plan = plan.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in (f"cut_{k}", f"among_{k}")})
         plan = written(plan.withColumn(f"limit_{k + 1}", F.floor("left")), "thresholds")
-    return plan, n
+    # one document more for each source whose rest that makes smaller: the nearest size, then the smaller, then by hash
+    off = F.abs(F.col("size") - F.col("left"))
+    nearest = written(still_open(ROUNDS).groupBy("place").agg(F.min(F.when(off < F.col("left"), off)).alias("off")), "nearest")
+    own = few(nearest.where("off is not null").withColumnRenamed("place", "_place"), n)
+    ties = still_open(ROUNDS).join(own, (F.col("place") == F.col("_place")) & (off == F.col("off")))
+    one = ties.groupBy("place").agg(F.min(F.struct("size", "h", "u")).alias("one")).select("place", F.col("one.h").alias("one_h"), F.col("one.u").alias("one_u"))
+    return written(plan.join(few(one, n), "place", "left"), "thresholds"), n
 
 
 def copies(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
-    """``rows`` (source, size, h, ...) with the plan's columns and ``times``, how often each row is taken."""
+    """``rows`` (source, size, h, u, ...) with the plan's columns and ``times``, how often each row is taken."""
     own = few(plan.withColumnRenamed("source", "of"), n)
     joined = rows.join(own, F.col("source").eqNullSafe(F.col("of")))
-    return joined.withColumn("times", F.col("copies") + below(ROUNDS).cast("long")).drop("of")
+    alone = F.coalesce((F.col("h") == F.col("one_h")) & (F.col("u") == F.col("one_u")), F.lit(False))
+    return joined.withColumn("times", F.col("copies") + (below(ROUNDS) | alone).cast("long")).drop("of")
 
 
 def mix(df: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row: the words that the mix takes of it, repeats counted."""
-    rows = written(measured(df), "sizes")
-    plan, n = thresholds(rows)
+    rows = measured(df, ["doc_id"])
+    plan, n = thresholds(rows.drop("row"))
     taken = copies(rows, plan, n)
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return taken.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that the mix takes, each as often as it is taken; columns as in ``df``."""
-    rows = df.select(F.struct("*").alias("row"), n_words().alias("size"), digest().alias("h"), "source")
-    plan, n = thresholds(written(rows.select("source", "size", "h"), "sizes"))
+    rows = measured(df, df.columns)
+    plan, n = thresholds(rows.drop("row"))
     taken = copies(rows, plan, n).where("times > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
-#: The same rows in DuckDB SQL: targets by the sources' order of limit over weight, thresholds by a running sum.
+#: The same rows in DuckDB SQL: targets by the sources' order of limit over weight, thresholds by a running sum over rows in the
+#: order of their hash, in which rows with one hash follow each other.
 SQL = r"""
-WITH rows AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 15))::BIGINT AS h
-  FROM documents),
+WITH rows AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) AS place FROM (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 15))::BIGINT AS h
+    FROM documents)),
 sums AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight
@@ -187,42 +224,25 @@ targets AS (
   SELECT source, source_size, least((3 * source_size)::DOUBLE, weight * share) AS target,
          CASE WHEN source_size > 0 THEN floor(least((3 * source_size)::DOUBLE, weight * share) / source_size) ELSE 0 END AS copies
   FROM sums, shared),
-fit AS (
-  SELECT source, target - copies * source_size AS left_0, source_size AS limit_0 FROM targets),
+open_0 AS MATERIALIZED (
+  SELECT r.*, t.target - t.copies * t.source_size AS rest FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source WHERE size > 0),
 {rounds}
+one AS (SELECT * FROM open_{last} WHERE abs(size - rest) < rest QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - rest), size, h, place) = 1)
 SELECT r.doc_id, r.size, t.source_size, t.target,
-       (r.size * (t.copies + coalesce(r.size <= f.limit_0 AND r.h < f.cut_0, false)::INTEGER
-                  + coalesce(r.size <= f.limit_1 AND r.h < f.cut_1 AND NOT (r.h < f.cut_0), false)::INTEGER
-                  + coalesce(r.size <= f.limit_2 AND r.h < f.cut_2 AND NOT (r.h < f.cut_0)
-                             AND NOT (r.size <= f.limit_1 AND r.h < f.cut_1), false)::INTEGER))::BIGINT AS taken
+       (r.size * (t.copies + (r.size > 0 AND (o.place IS NULL OR n.place IS NOT NULL))::INTEGER))::BIGINT AS taken
 FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
-JOIN fit_2 f ON r.source IS NOT DISTINCT FROM f.source
+LEFT JOIN open_{last} o ON r.source IS NOT DISTINCT FROM o.source AND r.place = o.place
+LEFT JOIN one n ON r.source IS NOT DISTINCT FROM n.source AND r.place = n.place
 """
-
-
-def _sql() -> str:
-    """One step of ``SQL`` for each nested threshold."""
-    parts = []
-    for k in range(ROUNDS):
-        old = "fit" if k == 0 else f"fit_{k - 1}"
-        taken = " OR ".join(f"(r.size <= f.limit_{i} AND r.h < f.cut_{i})" for i in range(k)) or "false"
-        near = "CASE WHEN b.s - b.rest < b.rest THEN 1 ELSE 0 END" if k == ROUNDS - 1 else "0"
-        parts.append(f"""
+#: A threshold: the rows that are short enough are summed in order, and those before the first that doesn't fit are taken.
+ROUND = """
 upto_{k} AS (
-  SELECT source, h, s, left_{k}, sum(s) OVER (PARTITION BY source ORDER BY h) AS upto FROM (
-    SELECT r.source, r.h, f.left_{k}, sum(r.size) AS s FROM rows r JOIN {old} f ON r.source IS NOT DISTINCT FROM f.source
-    WHERE r.size > 0 AND r.size <= f.limit_{k} AND NOT ({taken}) GROUP BY ALL)),
-edge_{k} AS (
-  SELECT source, h, s, left_{k} - upto + s AS rest FROM upto_{k} WHERE upto > left_{k}
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY h) = 1),
-all_{k} AS (SELECT source, max(upto) AS total FROM upto_{k} GROUP BY source),
-fit_{k} AS (
-  SELECT f.*, CASE WHEN b.h IS NOT NULL THEN b.h + {near} WHEN a.total IS NOT NULL THEN 1152921504606846976 ELSE 0 END AS cut_{k},
-         coalesce(b.rest, f.left_{k} - coalesce(a.total, 0)) AS left_{k + 1},
-         floor(coalesce(b.rest, f.left_{k} - coalesce(a.total, 0))) AS limit_{k + 1}
-  FROM {old} f LEFT JOIN edge_{k} b ON f.source IS NOT DISTINCT FROM b.source
-  LEFT JOIN all_{k} a ON f.source IS NOT DISTINCT FROM a.source)""")
-    return SQL.replace("{rounds}", ",".join(parts))
-
-
-ORACLE = _sql()
+  SELECT *, sum(CASE WHEN size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) AS upto FROM open_{k}),
+edge_{k} AS MATERIALIZED (
+  SELECT source, min(place) FILTER (WHERE size <= rest AND upto > rest) AS edge FROM upto_{k} GROUP BY source),
+fits_{k} AS MATERIALIZED (
+  SELECT u.*, u.size <= u.rest AND (e.edge IS NULL OR u.place < e.edge) AS taken FROM upto_{k} u JOIN edge_{k} e ON u.source IS NOT DISTINCT FROM e.source),
+left_{k} AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (WHERE taken), 0) AS rest FROM fits_{k} GROUP BY source),
+open_{next} AS MATERIALIZED (
+  SELECT f.doc_id, f.source, f.size, f.h, f.place, l.rest FROM fits_{k} f JOIN left_{k} l ON f.source IS NOT DISTINCT FROM l.source WHERE NOT f.taken),"""
+ORACLE = SQL.replace("{rounds}", "".join(ROUND.replace("{k}", str(k)).replace("{next}", str(k + 1)) for k in range(ROUNDS))).replace("{last}", str(ROUNDS))
