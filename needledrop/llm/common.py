@@ -1,15 +1,15 @@
-"""Shared pieces of the corpus operators: Arrow batch mapping, written intermediate tables."""
+"""Shared pieces of the corpus operators: Arrow batch mapping, bounded samples, spans in SQL."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from needledrop.plans.storage import written  # noqa: F401
+
 #: Words are maximal runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are turned into Python objects at a time.
@@ -20,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="needledrop-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts lineage, survives lost executors and has a known size."""
-    path = f"{shared_dir(df.sparkSession)}/needledrop-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
     """Apply a function of columns, in Arrow batches, without a shuffle.
 
@@ -72,9 +56,33 @@ def few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows of ``df``, chosen by a hash of ``key``: the same ones each time."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+#: Buckets of the histogram that a sample's threshold is read from, and the bits of the hash.
+SAMPLE_BUCKETS, SAMPLE_BITS = 4096, 60
+
+
+def sampled(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most ``most`` different rows of ``df``'s ``columns``, those with the least hashes: the same ones each time.
+
+    A threshold on the hash comes before anything is shuffled, so no task gets more than its share of about four times
+    ``most`` rows; a histogram of those gives the exact threshold. Values that repeat count once.
+    """
+    own = df.select(*columns, F.shiftrightunsigned(F.xxhash64(*columns), 64 - SAMPLE_BITS).alias("_h"))
+    n, full = own.count(), 1 << SAMPLE_BITS
+    limit = full if n <= most else min(full, full // n * 4 * most)
+    while True:
+        width = -(-limit // SAMPLE_BUCKETS)
+        low = own.where(F.col("_h") < limit).distinct()
+        buckets = low.groupBy(F.expr(f"_h div {width}L").alias("b")).count().collect()  # at most SAMPLE_BUCKETS rows
+        if limit == full or sum(r["count"] for r in buckets) >= most:
+            break
+        limit = min(full, 8 * limit)  # values repeat: so many rows hold fewer values
+    left, cut = most, limit
+    for b, k in sorted((r["b"], r["count"]) for r in buckets):
+        if k > left:
+            cut = b * width
+            break
+        left -= k
+    return own.where(F.col("_h") < cut).drop("_h").distinct()
 
 
 def spans_sql(kinds: list[tuple[str, str, str]]) -> str:

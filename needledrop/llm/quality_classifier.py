@@ -6,7 +6,9 @@ threshold of each inner node and of the value of each leaf, so that scoring walk
 one vectorised step a level.
 
 Defined results: a null text is an empty one and is scored by its statistics like any other; a null id counts as an empty
-one for holding out; without labels of both classes every score is the share of class 1 (0.5 without labels).
+one for holding out; without labels of both classes every score is the share of class 1 (0.5 without labels). Repeated rows
+get the same score each; a labelled id with several rows is learned from once, by the text with the least hash, and an id with
+both labels once with each. Other columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from needledrop.llm.common import map_rows, remainder, sampled
 
@@ -119,15 +121,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS) -> Trees:
-    """A model of ``labels`` (doc_id, label), from at most ``most`` of its rows: those whose remainder by 3 isn't 1."""
+    """A model of ``labels`` (doc_id, label), from at most ``most`` of its rows: those whose remainder by 3 isn't 1.
+
+    Rows of ``docs`` are brought down to one for each labelled id, within the tasks that read them first, before they are gathered.
+    """
     own = labels.where((remainder(F.col("doc_id"), 3) != 1) & F.col(label).isNotNull())
-    rows = sampled(own.select("doc_id", F.col(label).cast("int").alias("label")).distinct(), "doc_id", most)
+    rows = sampled(own.select("doc_id", F.col(label).cast("int").alias("label")), most, "doc_id", "label")
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most ``most`` rows
-    schema = StructType([StructField("label", IntegerType()), StructField("x", ArrayType(DoubleType()))])
-    found = map_rows(texts.select("label", "text"), lambda: lambda y, t: [y, [statistics(s) for s in t]], schema)
-    found = found.orderBy("label", "x").toPandas()  # sampled rows only; sorted, so that sums come out the same each time
-    x = np.array(found["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
-    return fit(x, found["label"].to_numpy(np.float64))
+    schema = StructType([docs.schema["doc_id"], StructField("label", IntegerType()), StructField("t", LongType()), StructField("x", ArrayType(DoubleType()))])
+    each = texts.select("doc_id", "label", F.xxhash64("text").alias("t"), "text")
+    found = map_rows(each, lambda: lambda k, y, h, t: [k, y, h, [statistics(s) for s in t]], schema)
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("t", "x")).alias("first")).select("label", "first.x")
+    found = one.toPandas()
+    assert len(found) <= most
+    x, y = np.array(found["x"].tolist(), np.float64).reshape(-1, N_FEATURES), found["label"].to_numpy(np.float64)
+    order = np.lexsort((*x.T, y))  # so that sums come out the same each time
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:

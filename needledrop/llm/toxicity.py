@@ -6,12 +6,15 @@ Where the bracket falls below zero a step goes the other way on it, which keeps
 that the unlabelled text holds. The class prior pi is the share of toxic documents among the labelled rows that may be
 learned from.
 
-Features are hashed; the ``FEATURES`` whose document counts among the positives exceed those among the unlabelled by most
-standard errors are kept. Their counts come from grouped aggregation; positives and unlabelled texts are bounded samples
-chosen by a hash of the id (``POSITIVES``, ``UNLABELLED``).
+Features are hashed; the ``FEATURES`` whose document counts among the positives exceed those among all documents by most
+standard errors are kept. The counts of all documents are summed within tasks, for the features of the positives only, and then
+by grouped aggregation. What the model is fitted on are bounded samples chosen by a hash of the id: ``POSITIVES`` confirmed
+documents and ``UNLABELLED`` others.
 
 Defined results: a null text is an empty one, with a score by its length alone; a null id counts as an empty one for holding
-out and is never sampled; without confirmed documents every score is 0.
+out and is never sampled; without confirmed documents every score is 0. Repeated rows get the same score each; an id with
+several rows is learned from once, by the text with the least hash. Other columns play no part, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from needledrop.llm.common import map_rows, remainder, sampled, written
+from needledrop.llm.common import SLICE_ROWS, map_rows, remainder, sampled, written
 
 POSITIVES, UNLABELLED, FEATURES = 4_000, 8_000, 256
 #: Documents with a feature among the positives, at least.
@@ -42,35 +47,57 @@ def hashes(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(p.encode()) % HASHES for p in parts)
 
 
+class Words:
+    """Texts as rows of counts of some features (a hash and its place each), a batch at a time.
+
+    A word's features are looked up once for each task; words without any are known as such, so that most of a text costs
+    one set operation.
+    """
+
+    def __init__(self, places: dict[int, int]) -> None:
+        self.places, self.with_features, self.without = places, {}, set()
+
+    def of(self, text: str | None) -> tuple[Counter, list[str]]:
+        """A text's words with their counts, and those of them that have features."""
+        counts = Counter(WORD.findall((text or "").lower()))
+        if new := set(counts).difference(self.without).difference(self.with_features):
+            if len(self.with_features) + len(self.without) > CACHE_WORDS:
+                self.with_features.clear()
+                self.without.clear()
+                new = set(counts)
+            for word in new:
+                if at := tuple(self.places[h] for h in hashes(word) if h in self.places):
+                    self.with_features[word] = at
+                else:
+                    self.without.add(word)
+        return counts, sorted(self.with_features.keys() & counts.keys())
+
+
 @dataclass
 class Model:
-    #: The kept features' hashes with their places, the weights by place, the weight of the length and the bias.
+    #: The kept features' hashes with their places; the weights by place, the last one that of the length; the bias.
     places: dict[int, int]
     weights: np.ndarray
-    length: float
     bias: float
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, float]:
-        """The kept features' damped counts, and the damped length."""
-        counts = Counter(WORD.findall((text or "").lower()))
-        out = np.zeros(len(self.places))
-        known = self.words
-        for word, k in counts.items():
-            at = known.get(word)
-            if at is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                at = known[word] = tuple(self.places[h] for h in hashes(word) if h in self.places)
-            for place in at:
-                out[place] += k
-        n = sum(counts.values())
-        return np.log1p(out) * 3 / (n + 20) ** 0.25, np.log(n + 10) / 10
-
-    def score(self, text: str | None) -> float:
-        x, n = self.vector(text)
-        z = float(x @ self.weights + n * self.length + self.bias)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def reader(self) -> Callable[[list[str | None]], np.ndarray]:
+        """A function that gives [text, feature]: damped counts of the kept features, and last the damped length."""
+        words = Words(self.places)
+
+        def vectors(texts: list[str | None]) -> np.ndarray:
+            counts, n = np.zeros((len(texts), len(self.places))), np.zeros(len(texts))
+            for i, text in enumerate(texts):
+                own, found = words.of(text)
+                n[i] = own.total()
+                for word in found:
+                    for place in words.with_features[word]:
+                        counts[i, place] += own[word]
+            return np.column_stack((np.log1p(counts) * 3 / (n[:, None] + 20) ** 0.25, np.log(n + 10) / 10))
+
+        return vectors
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(x @ self.weights + self.bias)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -97,49 +124,75 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
+def document_counts(docs: DataFrame, places: dict[int, int], text: str = "text") -> np.ndarray:
+    """In how many of all documents each feature occurs: counted within tasks, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Words(places), np.zeros(len(places), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
+                    found = words.of(t)[1]
+                    total[list({p for w in found for p in words.with_features[w]})] += 1
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"place": at.astype(np.int32), "n": total[at]})
+
+    sums = docs.select(text).mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(places))  # at most HASHES rows
+    out[sums["place"].to_numpy(int)] = sums["n"].to_numpy(float)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from the rows of ``labels`` (doc_id, label) whose remainder by 5 isn't 0; None without a toxic one."""
     own = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     prior = own.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
-    toxic = sampled(own.where(F.col(label) == 1).select("doc_id").distinct(), "doc_id", POSITIVES)
-    others = docs.where((remainder(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = toxic.withColumn("toxic", F.lit(True)).unionByName(sampled(others, "doc_id", UNLABELLED).withColumn("toxic", F.lit(False)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most POSITIVES + UNLABELLED ids
-
-    def found(flags, texts):
-        words = [set(WORD.findall((t or "").lower())) for t in texts]
-        return [flags, [sorted({h for w in x for h in hashes(w)}) for x in words], texts]
-
-    schema = StructType([StructField("toxic", BooleanType()), StructField("h", ArrayType(IntegerType())), texts.schema["text"]])
-    sample = written(map_rows(texts.select("toxic", "text"), lambda: found, schema), "toxicity-sample")
-    n_toxic, n = sample.agg(F.count_if("toxic"), F.count("*")).first()
+    toxic = sampled(own.where(F.col(label) == 1), positives, "doc_id")
+    others = sampled(docs.where((remainder(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull()), unlabelled, "doc_id")
+    chosen = toxic.withColumn("toxic", F.lit(True)).unionByName(others.withColumn("toxic", F.lit(False)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``positives`` and ``unlabelled`` ids
+    hashed = texts.select("doc_id", "toxic", F.struct(F.xxhash64("text").alias("t"), "text").alias("own"))
+    sample = written(hashed.groupBy("doc_id", "toxic").agg(F.min("own").alias("own")).select("toxic", "own.text"), "toxicity-sample")
+
+    def found(texts):
+        return [[sorted({h for w in set(WORD.findall((t or "").lower())) for h in hashes(w)}) for t in texts]]
+
+    n_toxic = sample.where("toxic").count()
     if not n_toxic:
         return None
-    m = max(n - n_toxic, 1)
-    counts = sample.select("toxic", F.explode("h").alias("h")).groupBy("h").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u"))
-    more = (F.col("p") / n_toxic - F.col("u") / m) / F.sqrt((F.col("u") + 1) / m / n_toxic)
-    best = counts.where(F.col("p") >= LEAST_DOCS).orderBy(more.desc(), "h").limit(FEATURES).collect()
-    model = Model({r["h"]: i for i, r in enumerate(best)}, np.zeros(len(best)), 0.0, 0.0)
-
-    def vectors(flags, texts):
-        both = [model.vector(t) for t in texts]
-        return [flags, [[*x.tolist(), n] for x, n in both]]
+    each = map_rows(sample.where("toxic").select("text"), lambda: found, StructType([StructField("h", ArrayType(IntegerType()))]))
+    counts = each.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("p")).where(F.col("p") >= LEAST_DOCS).orderBy("h").toPandas()
+    hashed, p = counts["h"].tolist(), counts["p"].to_numpy(float)  # at most HASHES rows
+    m = max(docs.count(), 1)
+    u = document_counts(docs, {h: i for i, h in enumerate(hashed)})
+    more = (p / n_toxic - u / m) / np.sqrt((u + 1) / m / n_toxic)
+    best = np.lexsort((hashed, -more))[:FEATURES] if hashed else []
+    model = Model({hashed[i]: k for k, i in enumerate(best)}, np.zeros(len(best) + 1), 0.0)
+
+    def make():
+        read = model.reader()
+        return lambda flags, texts: [flags, read(texts).tolist()]
 
     schema = StructType([StructField("toxic", BooleanType()), StructField("x", ArrayType(DoubleType()))])
-    rows = map_rows(sample.select("toxic", "text"), lambda: vectors, schema).orderBy("toxic", "x").toPandas()  # bounded
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(best) + 1)
-    flags = rows["toxic"].to_numpy(bool)
-    weights, bias = fit(x[flags], x[~flags] if (~flags).any() else np.zeros((1, x.shape[1])), min(max(prior, 1e-3), 0.5))
-    return Model(model.places, weights[:-1], float(weights[-1]), bias)
+    rows = map_rows(sample.select("toxic", "text"), make, schema).toPandas()  # at most ``positives`` and ``unlabelled`` rows
+    assert len(rows) <= positives + unlabelled
+    x, flags = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(best) + 1), rows["toxic"].to_numpy(bool)
+    order = np.lexsort((*x.T, flags))  # so that sums come out the same each time
+    x, flags = x[order], flags[order]
+    model.weights, model.bias = fit(x[flags], x[~flags] if (~flags).any() else np.zeros((1, x.shape[1])), min(max(prior, 1e-3), 0.5))
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row."""
 
-    def rows(k, texts):
-        return [k, [model.score(t) if model else 0.0 for t in texts]]
+    def make():
+        if model is None:
+            return lambda k, texts: [k, [0.0] * len(texts)]
+        read = model.reader()
+        return lambda k, texts: [k, model.scores(read(texts)).tolist()]
 
-    return map_rows(docs.select(F.col(key), F.col(text)), lambda: rows, StructType([docs.schema[key], StructField("score", DoubleType())]))
+    return map_rows(docs.select(F.col(key), F.col(text)), make, StructType([docs.schema[key], StructField("score", DoubleType())]))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
