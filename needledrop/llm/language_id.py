@@ -9,10 +9,13 @@ Three kinds of evidence are added as logarithms, each page for itself:
 
 The trigram model is fitted on at most ``MOST_ROWS`` rows with a known language, chosen by a hash of the id; the sums for
 hosts, suffixes and declared languages cover all pages. Hosts are only aggregated and joined, so a hot one can be split.
+A page is read by one forward scan that remembers which closing tags no longer follow, so odd markup can't make it slow.
 
 Defined results: a null or empty page has no text evidence and takes its prior's language; a missing declaration is no
 evidence; a null or odd address has the empty host and suffix; a tie goes to the first language in code point order;
-without labelled texts the language is null.
+without labelled texts the language is null. Repeated pages, with the same id or not, are pages each: they count for their
+host's prior and get a row each. A document id that repeats in the sample is learned from once for each language, by the text
+with the least hash. Other columns play no part, whatever their names; an empty table of pages gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ import html
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,15 +40,52 @@ TEMPER, STRENGTH = 0.2, 5.0
 #: Part of the declarations that are taken to be right before any is seen, and how many pages that belief counts for.
 TRUST, TRUST_PAGES = 0.9, 10.0
 WORD = re.compile(r"[^\W\d_]+")
-DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|aside|noscript)\b.*?</\1\s*>|<(div|section|ul)\b[^>]*\bclass\s*=\s*[\"']?(?:ads?|menu|nav|footer|sidebar)\b[^>]*>.*?</\2\s*>")
-TAG, DECLARED = re.compile(r"<[^>]*>"), re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b")
+#: Elements whose content isn't text, and those where it isn't if their class says so.
+DROPPED, BOXES = {"script", "style", "nav", "footer", "aside", "noscript"}, {"div", "section", "ul"}
+NAME, BOX_CLASS = re.compile(r"<([A-Za-z]+)\b"), re.compile(r"(?i)\bclass\s*=\s*[\"']?(?:ads?|menu|nav|footer|sidebar)\b")
+CLOSING = {n: re.compile(rf"(?i)</{n}\s*>") for n in DROPPED | BOXES}
+HTML, LANG = re.compile(r"(?i)<html\b"), re.compile(r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b")
 #: Address suffixes that stand for a language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "it": "it", "nl": "nl", "pt": "pt", "pl": "pl"}
 
 
 def visible(page: str | None) -> str:
-    """The text of a page without scripts, navigation, footers and tags."""
-    return html.unescape(TAG.sub(" ", DROPPED.sub(" ", page or "")))
+    """The text of a page without comments, scripts, navigation, footers and tags, in one forward scan.
+
+    An element or comment that is never closed loses only its tag; what no ``>`` follows is text.
+    """
+    page, at, out, unclosed = page or "", 0, [], set()
+    while (tag := page.find("<", at)) >= 0:
+        out += (page[at:tag], " ")
+        if page.startswith("<!--", tag) and "!--" not in unclosed:
+            at = page.find("-->", tag + 4) + 3
+            if at > 2:
+                continue
+            unclosed.add("!--")
+        end = page.find(">", tag) + 1
+        if not end:
+            at = tag
+            break
+        at, name = end, NAME.match(page, tag, end)
+        kind = name[1].lower() if name else ""
+        if kind not in unclosed and (kind in DROPPED or (kind in BOXES and BOX_CLASS.search(page, tag, end))):
+            if close := CLOSING[kind].search(page, end):
+                at = close.end()
+            else:
+                unclosed.add(kind)
+    out.append(page[at:])
+    return html.unescape("".join(out))
+
+
+def declared_language(page: str | None) -> str | None:
+    """The language that the first ``html`` tag with one declares."""
+    page, at = page or "", 0
+    while at >= 0 and (tag := HTML.search(page, at)):
+        end = page.find(">", tag.end())
+        if found := LANG.search(page, tag.end(), end if end >= 0 else len(page)):
+            return found[1].lower()
+        at = end
+    return None
 
 
 def grams(word: str) -> list[int]:
@@ -57,25 +98,41 @@ class Model:
     languages: list[str]
     #: [language, gram]: the logarithm of the gram's probability.
     logs: np.ndarray
-    words: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def evidence(self, text: str) -> np.ndarray:
-        """Tempered log-likelihoods of a text by language, the best one 0."""
-        out, known = np.zeros(len(self.languages)), self.words
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            v = known.get(word)
-            if v is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                v = known[word] = self.logs[:, grams(word)].sum(axis=1)
-            out += n * v
-        return TEMPER * (out - out.max()) if len(out) else out
+    def reader(self) -> Callable[[str], np.ndarray]:
+        """A function that gives the tempered log-likelihoods of a text by language, the best one 0.
+
+        Words are looked up once for each task; a text is one product of its words' counts and their rows.
+        """
+        n, known, table = len(self.languages), {}, np.zeros((1024, len(self.languages)))
+
+        def evidence(text: str) -> np.ndarray:
+            nonlocal table
+            counts = Counter(WORD.findall(text.lower()))
+            if not (n and counts):
+                return np.zeros(n)
+            if len(known) >= CACHE_WORDS:
+                known.clear()
+            for word in counts:
+                if word not in known:
+                    if len(known) == len(table):
+                        table = np.concatenate((table, np.zeros_like(table)))
+                    table[len(known)] = self.logs[:, grams(word)].sum(axis=1)
+                    known[word] = len(known)
+            rows = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+            out = np.fromiter(counts.values(), np.float64, len(counts)) @ table[rows]
+            return TEMPER * (out - out.max())
+
+        return evidence
 
 
 def learn(docs: DataFrame, most: int = MOST_ROWS) -> Model:
     """Trigram counts by language, from at most ``most`` rows (doc_id, text, lang)."""
-    ids = sampled(docs.where("lang is not null").select("doc_id", "lang").distinct(), "doc_id", most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("lang", "text")  # at most ``most`` ids
+    ids = sampled(docs.where("lang is not null"), most, "doc_id", "lang")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("lang") == F.col("of_lang"))
+    own = docs.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("t"), "text").alias("own"))
+    own = own.join(F.broadcast(ids.toDF("of_id", "of_lang")), same)  # at most ``most`` rows
+    texts = own.groupBy("doc_id", "lang").agg(F.min("own").alias("own")).select("lang", "own.text")
 
     def counted(langs, texts):
         out = []
@@ -102,13 +159,17 @@ def read(pages: DataFrame, model: Model) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     suffix = F.regexp_extract(host, r"\.([^.]+)$", 1)
 
-    def rows(k, hosts, suffixes, pages):
-        declared = [m.group(1).lower() if (m := DECLARED.search(p or "")) else None for p in pages]
-        return [k, hosts, suffixes, declared, [model.evidence(visible(p)).tolist() for p in pages]]
+    def make():
+        evidence = model.reader()
+
+        def rows(k, hosts, suffixes, pages):
+            return [k, hosts, suffixes, [declared_language(p) for p in pages], [evidence(visible(p)).tolist() for p in pages]]
+
+        return rows
 
     names = [StructField(n, StringType()) for n in ("host", "suffix", "declared")]
     schema = StructType([pages.schema["page_id"], *names, StructField("e", ArrayType(DoubleType()))])
-    return map_rows(pages.select("page_id", host.alias("host"), suffix.alias("suffix"), "html"), lambda: rows, schema)
+    return map_rows(pages.select("page_id", host.alias("host"), suffix.alias("suffix"), "html"), make, schema)
 
 
 def sums(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -136,8 +197,7 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     total, *everywhere = rows.agg(F.count("*"), *(F.sum(F.col("p")[i]) for i in range(n))).first()
     above = F.array(*(F.lit(((s or 0.0) + 1.0) / (total + n)) for s in everywhere))
     suffixes = sums(rows, "suffix", n)
-    pairs = F.array(*(F.lit(x) for p in SUFFIX_LANGUAGE.items() for x in p))
-    stands_for = F.get(pairs, F.array_position(pairs, F.col("suffix")).cast("int"))  # a suffix comes before its language
+    stands_for = F.try_element_at(F.create_map(*(F.lit(x) for p in SUFFIX_LANGUAGE.items() for x in p)), F.col("suffix"))
     hinted = F.zip_with(names, above, lambda name, a: F.when(stands_for == name, TRUST).when(stands_for.isNull() | ~F.array_contains(names, stands_for), a).otherwise((1 - TRUST) * a))
     suffixes = written(suffixes.select("suffix", smoothed(F.col("pages"), F.col("sums"), hinted).alias("by_suffix")), "language-suffixes")
     n_suffixes = suffixes.count()
