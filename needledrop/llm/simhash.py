@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import map_rows, written
+from needledrop.llm.common import few, map_rows, written
 
 M, TAU, ZEROS, KEY_CAP, WORDS = 8, 4, 4, 2048, 4
 
@@ -49,17 +49,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp bigint): the fingerprint's bits as a signed long."""
+def fingerprints(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, fp bigint) of every row: the fingerprint's bits as a signed long."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    def make():
-        def rows(ids, texts):
-            return [ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()]
+    def rows(*columns):
+        return [*columns[:-1], np.array([fingerprint(t) for t in columns[-1]], np.uint64).view(np.int64).tolist()]
 
-        return rows
-
-    return map_rows(df.select(F.col(key), F.col(text)), make, StructType([df.schema[key], StructField("fp", LongType())]))
+    own = df.select(*keys, text)
+    return map_rows(own, lambda: rows, StructType([*own.schema.fields[:-1], StructField("fp", LongType())]))
 
 
 def budgets(m: int = M, tau: int = TAU) -> list[int]:
@@ -229,9 +227,10 @@ def dealt(keyed: DataFrame) -> DataFrame:
 
 def edges(distinct: DataFrame, cap: int = KEY_CAP) -> DataFrame:
     """(a, b), a > b as unsigned: enough links among distinct fingerprints to connect all that are connected."""
-    # every fingerprint becomes as many rows as there are patterns, so they are dealt out anew rather than left in few tasks
+    # Every fingerprint becomes as many rows as there are patterns, so they are dealt out anew rather than left in few tasks;
+    # by a hash of their own, as a second dealing by the same column would be left out.
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = written(edges_in_keys(dealt(keys(distinct.repartition(n, "fp"))), cap, True).distinct(), "simhash-edges")
+    first = written(edges_in_keys(dealt(keys(distinct.repartition(n, F.xxhash64("fp")))), cap, True).distinct(), "simhash-edges")
     crowded = first.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     found = first.where("not crowded").select("a", "b")
     if crowded.isEmpty():
@@ -264,27 +263,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def shared(firsts: DataFrame, cap: int) -> tuple[DataFrame, int]:
+    """(fp, first) of the fingerprints that ``firsts`` (fp, first, n) has more than one row of or a link for, and how many.
+
+    ``first`` becomes the least of the whole component. All other fingerprints stand for one row each and need nothing.
+    """
+    firsts = written(firsts, "firsts")
+    labels = components(edges(firsts.select("fp"), cap)).withColumnRenamed("node", "fp")
+    found = firsts.join(labels, "fp", "left").where("n > 1 or label is not null").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    found = written(found, "shared")
+    least = found.groupBy("label").agg(F.min("first").alias("least"))
+    n = found.count()
+    return written(found.join(few(least, n), "label").select("fp", F.col("least").alias("first")), "shared"), n
+
+
 def classes(docs: DataFrame, cap: int = KEY_CAP) -> DataFrame:
     """(doc_id, fp, component_id) of every row; see the module for nulls, empty texts and repeated rows."""
-    prints = written(fingerprints(docs), "fingerprints")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(edges(firsts.select("fp"), cap)).withColumnRenamed("node", "fp")
-    # Only components of two or more fingerprints need another id; they are few beside the corpus.
-    linked = firsts.join(labels, "fp")
-    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "label").select("fp", F.col("component_id").alias("linked"))
-    ids = written(firsts.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id")), "component-ids")
-    return prints.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = written(fingerprints(docs, "doc_id"), "fingerprints")
+    found, n = shared(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), cap)
+    return prints.join(few(found, n), "fp", "left").select("doc_id", "fp", F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, cap: int = KEY_CAP) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of the least id (null last), the first if it repeats."""
     rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
-    texts = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    prints = written(fingerprints(texts, key="uid"), "fingerprints").join(texts.drop("text"), "uid")
+    prints = written(fingerprints(rows.select("uid", "row.doc_id", "row.text"), "uid", "doc_id"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    firsts = written(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
-    labels = components(edges(firsts.select("fp"), cap)).withColumnRenamed("node", "fp")
-    group = F.coalesce("label", "fp").alias("group")
-    kept = firsts.join(labels, "fp", "left").groupBy(group).agg(F.min("first").alias("first")).select("first.uid")
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    found, n = shared(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")), cap)
+    # most rows stay: only those that go are looked up, so the texts aren't dealt out for the others' sake
+    gone = written(prints.join(few(found, n), "fp").where(F.col("uid") != F.col("first.uid")).select("uid"), "gone")
+    return rows.join(few(gone, gone.count()), "uid", "left_anti").select("row.*")
