@@ -6,7 +6,8 @@ reads a word in pieces, emits the tokens that are stable and keeps only the rest
 word. Decoding is an incremental state machine from bytes to text that holds back an unfinished character.
 
 Defined results: a null text is encoded as an empty text (no ids, empty decoded text); strings of special tokens in a
-text become their ids, as the tokenizers library does by default; every other text is encoded whole.
+text become their ids, as the tokenizers library does by default; every other text is encoded whole. Repeated
+rows repeat their result, other columns play no part, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import regex
 from pyspark.sql import DataFrame
@@ -53,7 +55,8 @@ class MergeTable:
         vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        steps = json.dumps(spec["normalizer"])
+        self.lower, self.nfc = "Lowercase" in steps, '"NFC"' in steps
         self.pattern = regex.compile(self._pattern(spec["pre_tokenizer"]))
         symbols = byte_symbols()
         self.inner = [vocab[c] for c in symbols]
@@ -190,6 +193,8 @@ class Encoder:
     def __init__(self, merges: MergeTable) -> None:
         self.merges, self.words = merges, {}
         self.split = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
+        #: What all special tokens begin with: a piece without it holds none.
+        self.mark = commonprefix(list(merges.special))
 
     def word(self, word: str) -> tuple[int, ...]:
         data, t = word.encode(), self.merges
@@ -217,7 +222,8 @@ class Encoder:
         return tuple(i for w in parts for i in known(w) or self.word(w))
 
     def _plain(self, text: str) -> list[int]:
-        text = unicodedata.normalize("NFC", text)
+        if self.merges.nfc:
+            text = unicodedata.normalize("NFC", text)
         if self.merges.lower:
             text = text.replace("Σ", "σ").lower()  # each character by itself: no final sigma
         # str.split() takes four control characters as white space that the vocabulary's pattern doesn't
@@ -230,7 +236,7 @@ class Encoder:
 
     def pieces(self, text: str) -> Iterator[list[int]]:
         for piece in cut(text):
-            if self.split is None or "<|" not in piece:
+            if self.split is None or self.mark not in piece:
                 yield self._plain(piece)
                 continue
             at = 0

@@ -17,7 +17,8 @@ statistics with longer tails get a wider one. A document beyond the cut goes, as
 
 Defined results: a null or empty text has no words and fails; null languages and sources are values of their own; a
 document is judged by its own row, so repeated rows get the same verdict; the documents that fail the fixed limits have
-no part in the estimates; an empty table gives an empty result.
+no part in the estimates; columns besides text, lang and source play no part, whatever their names (``filtered`` carries them
+along); an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Matches are leftmost and longest, without overlap within a kind; a match that fa
 characters are not tried again. Every rule must end in a repeated class (as all of ``RULES`` do), so that the longest match
 from a start is where the automaton stops accepting.
 
-Defined results: null and empty texts have no spans; offsets are code points, end exclusive.
+Defined results: null and empty texts have no spans; offsets are code points, end exclusive. Each row is judged by its own text
+alone: repeated rows repeat their result, other columns play no part, whatever their names (``redact`` carries them along), and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

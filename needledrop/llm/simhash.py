@@ -12,7 +12,8 @@ a second set of patterns over their remaining bits; such a finer key leaves 16 b
 link is lost at any size. Components then come from minimum labels with pointer jumping on a table of edges.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other; repeated
-rows count as one document each; rows with a null id take part, and a component's id is its least id that isn't null.
+rows count as one document each; rows with a null id take part, and a component's id is its least id that isn't null; other columns
+play no part, whatever their names (``deduplicated`` carries them along); an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -143,9 +143,41 @@ def test_media_boxes(spark):
     t = media.probe(data)[0]
     assert (t.codec, len(t.sizes), t.seconds) == ("raw ", 200, 4.0)
     assert [data[a:b] for a, b in t.key_ranges()] == [b"a" * 192] * 13
-    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:300])), (3, None), (4, bytearray())], "doc_id int, media binary")
-    got = media.described(df).orderBy("doc_id").collect()
-    assert [(r["codec"], r["duration_ms"]) for r in got] == [("raw ", 4000), (None, None), (None, None), (None, None)]
+    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:300])), (3, None), (4, bytearray()), (5, bytearray(data[:24]))], "doc_id int, media binary")
+    got = [r["tracks"] for r in media.described(df).orderBy("doc_id").collect()]
+    assert [(x["codec"], x["duration_ms"]) for x in got[0]] == [("raw ", 4000)] and got[1:4] == [None] * 3 and got[4] == []
+
+
+def test_media_of_two_tracks_and_fragments(spark):
+    """A sound track with samples and a picture track whose samples are in a fragment, box by box."""
+    box, full, num = media.box, media.full, lambda *x: b"".join(n.to_bytes(4, "big") for n in x)
+
+    def trak(number, codec, *tables):
+        stbl = box(b"stbl", full(b"stsd", num(1), box(codec, bytes(8))), *tables)
+        mdia = box(b"mdia", full(b"mdhd", num(0, 0, 1000, 0), bytes(4)), box(b"minf", stbl))
+        return box(b"trak", full(b"tkhd", num(0, 0, number, 0, 0)), mdia)
+
+    none = [full(b"stsc", num(0)), full(b"stsz", num(0, 0)), full(b"stco", num(0))]
+    trex = full(b"trex", num(2, 1, 40, 0, 0x10000))
+    start = box(b"ftyp", b"isom" + bytes(4)) + box(b"moov", trak(1, b"mp4a", *none), trak(2, b"avc1", *none), box(b"mvex", trex))
+    sizes = [5, 7, 3, 9]
+
+    def moof(at):
+        tfhd = full(b"tfhd", num(2), flags=0x20000)
+        trun = full(b"trun", num(4, at, 0), *(num(n) for n in sizes), flags=0x205)  # offset, first sample's flags, sizes
+        sound = box(b"traf", full(b"tfhd", num(1, 20, 4, 0), flags=0x20038), full(b"trun", num(2, at + 24), flags=1))
+        return box(b"moof", full(b"mfhd", num(1)), box(b"traf", tfhd, trun), sound)
+
+    data = bytes(range(65, 65 + 24)) + b"abcdefgh"
+    whole = start + moof(len(moof(0)) + 8) + box(b"mdat", data)
+    sound, picture = media.probe(whole)
+    assert (sound.codec, sound.duration, sound.keys.tolist(), media.payload(whole, sound)) == ("mp4a", 40, [True, True], b"abcdefgh")
+    assert (picture.codec, picture.duration, picture.keys.tolist(), media.payload(whole, picture)) == ("avc1", 160, [True, False, False, False], data[:24])
+    df = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(whole[:-9]))], "doc_id int, media binary")
+    got = [r["tracks"] for r in media.described(df).orderBy("doc_id").collect()]
+    at = len(whole) - len(data)
+    assert [(x["codec"], x["n_samples"], [tuple(r) for r in x["key_ranges"]]) for x in got[0]] == [("mp4a", 2, [(at + 24, at + 28), (at + 28, at + 32)]), ("avc1", 4, [(at, at + 5)])]
+    assert got[1] is None
 
 
 def test_empty_tables(spark):
