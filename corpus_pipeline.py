@@ -44,8 +44,7 @@ STAGES = [
     ("mixing", mixing_stage),
     ("bpe", token_stage),
 ]
-#: Fingerprints, covariance estimates and merges are beyond SQL. In the pipeline's test only near-duplicates are compared with a plain
-#: Python version; secrets and tokens are checked for row counts and lengths, quality rules and mixing for their columns.
+#: Fingerprints, covariance estimates and merges are beyond SQL; the pipeline's test compares each stage's rows with plain Python.
 ORACLE_SQL = None
 
 
