@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needledrop.functions import text
+from needledrop.operators.near import own_keys, probed_keys
 from needledrop.plans.index import Index
 from needledrop.plans.storage import small, written
 from needledrop.rules import Rules
@@ -40,20 +41,24 @@ def containment_pairs(artists: DataFrame) -> DataFrame:
 def similar_pairs(artists: DataFrame, rules: Rules) -> DataFrame:
     """(x, y, kind, strength, apart): keys that are nearly equal, or equal but for one abbreviated word; ``x`` is listed first.
 
-    Both share the first letter. Blocks are finer than that without losing a pair: for nearly equal keys a letter and a
-    length (the other key up to the largest distance longer); for abbreviations a letter and a number of words, with one of
-    the words left out.
+    Both share the first letter. Nearly equal keys meet under a segment that they share; how many edits the longer one's
+    length allows decides how many segments there are. Abbreviations meet under a letter and the words with one left out.
     """
     own = artists.where((F.length("key") >= rules.similar_name_length) & (F.size("parts") < 2)).select("artist", "n", "key")
     own = own.withColumn("initial", F.substring("key", 1, 1))
-    near = own.withColumn("size", F.length("key"))
-    longer = near.withColumn("size", F.explode(F.sequence(F.col("size") - rules.similar_name_distance, F.col("size"))))
+    edits = range(1, rules.similar_name_distance + 1)
+    # a little more than what is allowed, in case a product comes out just below a whole number
+    allowed = F.least(F.lit(rules.similar_name_distance), F.floor(F.length("key") * (1 - rules.similar_name_threshold) + 1e-6))
+    put = own.withColumn("near", F.explode(F.flatten(F.array(*(own_keys(F.col("key"), k) for k in edits)))))
+    probes = F.coalesce(*(F.when(allowed == k, probed_keys(F.col("key"), k, k, 0)) for k in edits), F.array())
     d = F.levenshtein(F.col("a.key"), F.col("b.key"), rules.similar_name_distance)
     size = F.greatest(F.length("a.key"), F.length("b.key"))
-    ratio = near.alias("a").join(longer.alias("b"), (F.col("a.initial") == F.col("b.initial")) & (F.col("a.size") == F.col("b.size")))
+    probing = own.withColumn("near", F.explode(probes))
+    ratio = put.alias("a").join(probing.alias("b"), (F.col("a.initial") == F.col("b.initial")) & (F.col("a.near") == F.col("b.near")))
     ratio = ratio.where((F.length("a.key") < F.length("b.key")) | ((F.length("a.key") == F.length("b.key")) & (F.col("a.artist") < F.col("b.artist"))))
     ratio = ratio.withColumn("apart", d).where((F.col("apart") > 0) & (1 - F.col("apart") / size >= rules.similar_name_threshold))
     ratio = ratio.select(F.col("a.artist").alias("x"), F.col("b.artist").alias("y"), F.lit("ratio").alias("kind"), (1 - F.col("apart") / size).alias("strength"), "apart")
+    ratio = ratio.distinct()  # once for each pair, however many segments it shares
 
     split = own.withColumn("w", F.split("key", " "))
     holes = F.transform("w", lambda w, i: F.struct(F.array_join(F.transform("w", lambda v, j: F.when(j == i, "").otherwise(v)), " ").alias("rest"), i.alias("hole")))
@@ -76,16 +81,31 @@ def similar_pairs(artists: DataFrame, rules: Rules) -> DataFrame:
 
 
 def nearest_frequent(artists: DataFrame, rules: Rules) -> DataFrame:
-    """(x, y, apart): for each rare artist ``x`` the frequent one of the same initial nearest to it, listed first on a tie."""
+    """(x, y, apart): for each rare artist ``x`` the frequent one of the same initial nearest to it, listed first on a tie.
+
+    Frequent artists that are near meet it under a segment that they share. All others count as equally far, by the class of
+    their key's length; so of them only the one listed first is looked at, or the second if the first has the same key.
+    """
     rare = artists.where((F.col("n") <= rules.rare_artist_plays) & (F.col("key") != ""))
     often = artists.where((F.col("n") >= rules.frequent_artist_plays) & (F.col("key") != ""))
     at = F.substring("key", 1, 1).alias("initial")
-    a, b = rare.select("artist", "key", at).alias("a"), often.select("artist", "key", "n", at).alias("b")
+    a, b = rare.select("artist", "key", at), often.select("artist", "key", "n", at, (F.length("key") > 10).alias("long"))
     most = rules.typo_distance
-    d = F.when(F.length("b.key") > 10, text.bounded_distance(F.col("a.key"), F.col("b.key"), most + 1)).otherwise(text.bounded_distance(F.col("a.key"), F.col("b.key"), most))
-    pairs = a.join(b, (F.col("a.initial") == F.col("b.initial")) & (F.col("a.artist") != F.col("b.artist")) & (F.col("a.key") != F.col("b.key")))
-    best = F.min_by(F.struct(F.col("b.artist").alias("y"), d.alias("apart")), F.struct(d, -F.col("b.n"), F.col("b.artist")))
-    return pairs.groupBy(F.col("a.artist").alias("x")).agg(best.alias("best")).select("x", "best.*")
+    own = b.withColumn("near", F.explode(own_keys(F.col("key"), most + 1)))
+    probing = a.withColumn("near", F.explode(probed_keys(F.col("key"), most + 1, most + 1, most + 1)))
+    both = lambda j: j.select(F.col("a.artist").alias("x"), F.col("a.key").alias("x_key"), "b.artist", "b.key", "b.n", "b.long")
+    near = both(probing.alias("a").join(own.alias("b"), (F.col("a.initial") == F.col("b.initial")) & (F.col("a.near") == F.col("b.near")))).distinct()
+    first = F.struct((-F.col("n")).alias("less"), "artist", "key", "n")
+    of_key = b.groupBy("initial", "long", "key").agg(F.min(first).alias("first"))
+    second = F.min_by("first", "first")
+    head = of_key.groupBy("initial", "long").agg(F.min("first").alias("head"))
+    rest = of_key.join(head, ["initial", "long"]).where(F.col("key") != F.col("head.key")).groupBy("initial", "long").agg(second.alias("head"))
+    firsts = head.unionByName(rest).select("initial", "long", "head.*").drop("less")
+    far = both(a.alias("a").join(firsts.alias("b"), F.col("a.initial") == F.col("b.initial")))
+    pairs = near.unionByName(far).where((F.col("x") != F.col("artist")) & (F.col("x_key") != F.col("key")))
+    d = F.when(F.col("long"), text.bounded_distance(F.col("x_key"), F.col("key"), most + 1)).otherwise(text.bounded_distance(F.col("x_key"), F.col("key"), most))
+    best = F.min_by(F.struct(F.col("artist").alias("y"), d.alias("apart")), F.struct(d, -F.col("n"), F.col("artist")))
+    return pairs.groupBy("x").agg(best.alias("best")).select("x", "best.*")
 
 
 def shared_tracks(pairs: DataFrame, tracks: DataFrame) -> DataFrame:

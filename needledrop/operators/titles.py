@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needledrop.functions import text
+from needledrop.operators.near import own_keys, probed_keys
 from needledrop.operators.findings import JOINED, finding, log_points, mark, number, preference, quoted, signal, signals, target
 from needledrop.operators.pairs import first_by
 from needledrop.plans.index import Index
@@ -107,18 +108,20 @@ def title_variants(index: Index, rules: Rules) -> DataFrame:
 def title_typos(index: Index, rules: Rules) -> DataFrame:
     """Nearly equal title keys of one artist, of which the rarer one is rare.
 
-    Pairs are blocked by artist, initial and length; only a rare title looks for others, so frequent ones are never paired.
+    Pairs of an artist meet under an initial and a segment that they share; only a rare title looks for others, so frequent ones
+    are never paired.
     """
     t = index.tracks.where((F.length("track_key") >= rules.title_typo_length) & ~F.col("versioned") & ~text.marks_version(F.col("track_key")))
-    t = t.select("artist", "track_key", "n", "title", F.substring("track_key", 1, 1).alias("initial"), F.length("track_key").alias("size"))
+    t = t.select("artist", "track_key", "n", "title", F.substring("track_key", 1, 1).alias("initial"))
     far = rules.title_typo_distance_with_album
-    rare = t.where(F.col("n") <= rules.rare_title_plays).withColumn("size", F.explode(F.sequence(F.col("size") - far, F.col("size") + far)))
-    a, b = rare.alias("a"), t.alias("b")
-    same = (F.col("a.artist") == F.col("b.artist")) & (F.col("a.initial") == F.col("b.initial")) & (F.col("a.size") == F.col("b.size"))
+    rare = t.where(F.col("n") <= rules.rare_title_plays).withColumn("near", F.explode(probed_keys(F.col("track_key"), far, far, far)))
+    a, b = rare.alias("a"), t.withColumn("near", F.explode(own_keys(F.col("track_key"), far))).alias("b")
+    same = (F.col("a.artist") == F.col("b.artist")) & (F.col("a.initial") == F.col("b.initial")) & (F.col("a.near") == F.col("b.near"))
     p = a.join(b, same & (F.col("a.n") < F.col("b.n")))
     p = p.withColumn("apart", F.levenshtein(F.col("a.track_key"), F.col("b.track_key"), far)).where("apart > 0")
     p = p.where(text.without_ordinals(F.col("a.track_key")) != text.without_ordinals(F.col("b.track_key")))
     p = p.select("a.artist", F.col("a.track_key").alias("k"), F.col("b.track_key").alias("m"), F.col("a.n").alias("n"), F.col("a.title").alias("rare"), F.col("b.title").alias("common"), "apart")
+    p = p.distinct()  # once for each pair, however many segments it shares
     albums = index.track_albums.select("artist", "track_key", "album", "seen")
     both = p.select("artist", "k", "m").join(albums.withColumnRenamed("track_key", "k"), ["artist", "k"])
     both = both.join(albums.select("artist", F.col("track_key").alias("m"), "album"), ["artist", "m", "album"])
