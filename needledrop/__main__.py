@@ -10,7 +10,7 @@ from needledrop.plans.index import Index
 from needledrop.plans.report import Audit
 from needledrop.plans.storage import scratch, written
 from needledrop.rules import Rules
-from needledrop.sinks.render import markdown
+from needledrop.sinks.render import head, write_markdown
 from needledrop.sinks.tables import write_csv, write_json
 from needledrop.sources.plays import read_csv
 
@@ -28,9 +28,8 @@ def main(args: list[str] | None = None) -> None:
         audit = Audit(Index(written(plays, "plays")), Rules().override(minimum_confidence=given.minimum_confidence, canonical=given.canonical))
         write_json(audit.findings, f"{given.output}/findings")
         write_csv(audit.findings, f"{given.output}/actions")
-        report = markdown(audit) + "".join(f"\nWarning: {w}\n" for w in warnings)
-        spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(f"{given.output}/report")
-        print(report.split("\n## ")[0])
+        write_markdown(audit, f"{given.output}/report")
+        print(head(audit), *(f"Warning: {w}" for w in warnings), sep="\n")
 
 
 if __name__ == "__main__":

@@ -18,7 +18,7 @@ GARBLED = r"[^\p{L}\p{N}\s'&.,\-]"
 GENERIC = r"(?i)^(?:unknown artist|unknown|various artists|artista desconocido|va|vv\.?aa\.?|desconocido)$"
 ODD_SPACES = "[\N{NO-BREAK SPACE}\N{EN QUAD}-\N{HAIR SPACE}\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}]"
 UNSEEN = "[\N{ZERO WIDTH SPACE}-\N{RIGHT-TO-LEFT MARK}\N{ZERO WIDTH NO-BREAK SPACE}]"
-EXAMPLES, EMPTY_ROWS = 8, 40
+EXAMPLES, EMPTY_ROWS, PARTS = 8, 40, 64
 
 
 def artist_typos(index: Index, rules: Rules) -> DataFrame:
@@ -69,15 +69,19 @@ def untidy(index: Index) -> DataFrame:
         checks.append(F.when(v == "", F.struct(F.lit(f"scrobbles with no {f}").alias("problem"), F.lit("(empty)").alias("value"))))
     found = F.filter(F.array(*checks), lambda x: x.isNotNull())
     each = index.cells.select(F.explode(found).alias("x"), "n", "seen").groupBy("x.problem", "x.value").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    first = each.withColumn("r", F.row_number().over(Window.partitionBy("problem").orderBy("seen", "value")))
-    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= EXAMPLES, F.struct("r", "value")))), lambda e: e["value"])
-    return first.groupBy("problem").agg(F.sum("n").alias("n"), shown.alias("examples"))
+    # the first of each part of a problem's values, then the first of those: no task sorts all values of a problem
+    part = Window.partitionBy("problem", F.pmod(F.xxhash64("value"), F.lit(PARTS))).orderBy("seen", "value")
+    parted = each.withColumn("r", F.row_number().over(part)).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(PARTS)))
+    example = F.when(F.col("r") <= EXAMPLES, F.struct("seen", "value"))
+    sums = parted.groupBy("problem", "part").agg(F.sum("n").alias("n"), F.collect_list(example).alias("first"))
+    shown = F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, EXAMPLES), lambda e: e["value"])
+    return sums.groupBy("problem").agg(F.sum("n").alias("n"), shown.alias("examples"))
 
 
 def empty_albums(index: Index) -> DataFrame:
-    """(artist, title, n): the plays without an album by track, most first, as many as the report shows."""
+    """(artist, title, n, seen): the plays without an album by track, most first, as many as the report shows."""
     t = index.cells.where("album = ''").groupBy("artist", "title").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    return t.orderBy(F.col("n").desc(), "seen").limit(EMPTY_ROWS).select("artist", "title", "n")
+    return t.orderBy(F.col("n").desc(), "seen").limit(EMPTY_ROWS)
 
 
 def rare_artists(index: Index, rules: Rules) -> DataFrame:
@@ -89,25 +93,32 @@ def notes(index: Index, rules: Rules) -> DataFrame:
     """The informational findings: untidy text, missing albums, rare artists; each only if there is any."""
     problems = untidy(index)
     messy = problems.where("problem <> 'scrobbles with no album'").agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "problem", "n"))).alias("all")
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "problem", "n", "examples"))).alias("all")
     ).where("n > 0")  # a few rows: one for each check
     texts = F.transform(F.slice("all", 1, 6), lambda x: F.struct(F.concat(number(x["n"]), F.lit(" × "), x["problem"]).alias("text"), F.lit("medium").alias("level")))
-    items = F.transform("all", lambda x: F.struct(x["problem"].alias("a"), number(x["n"]).alias("b")))
+    shown = lambda x: F.concat(number(x["n"]), F.lit(": "), F.array_join(F.transform(x["examples"], quoted), ", "))
+    items = F.transform("all", lambda x: F.struct(x["problem"].alias("a"), shown(x).alias("b")))
     zero = F.lit(0)
     hygiene = finding(
         messy, 12, "long_tail", "hygiene", "review", title=F.concat(F.lit("Untidy text: "), number(F.col("n")), F.lit(" plays")), points=F.lit(70),
         impact=F.col("n"), current=F.lit("various tags"), proposed=F.lit("(normalise)"), seen=zero, signals=texts, evidence=items, informational=True,
     )
-    none = problems.where("problem = 'scrobbles with no album'")
+    one = F.lit(1).alias("one")
+    table = lambda rows, order, a: rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), *order, a.alias("a"), number(F.col("n")).alias("b")))).alias("rows")).select("rows", one)
+    listed = F.transform("rows", lambda x: F.struct(x["a"], x["b"]))
+    none = problems.where("problem = 'scrobbles with no album'").select("*", one)
+    none = none.join(F.broadcast(table(empty_albums(index), ["seen"], F.concat_ws(" — ", "artist", "title"))), "one")  # one row each
     count = F.concat(number(F.col("n")), F.lit(" scrobbles with no album"))
     empty = finding(
         none, 13, "long_tail", "empty", "review", title=count, points=F.lit(45), impact=zero, current=count, proposed=F.lit("(only if you know which one)"),
-        seen=zero, signals=F.array(signal("info", "A missing album need not be a mistake")), informational=True,
+        seen=zero, signals=F.array(signal("info", "A missing album need not be a mistake")), evidence=listed, informational=True,
     )
-    few = rare_artists(index, rules).agg(F.count("*").alias("n")).where("n > 0")
+    all_rare = rare_artists(index, rules)
+    first = all_rare.orderBy(F.col("n").desc(), "artist").limit(rules.table_rows)
+    few = all_rare.agg(F.count("*").alias("n")).where("n > 0").select("*", one).join(F.broadcast(table(first, ["artist"], F.col("artist"))), "one")
     rare = finding(
         few, 14, "long_tail", "rare_artists", "review", points=zero, impact=zero, seen=zero, informational=True,
         title=F.concat(number(F.col("n")), F.lit(f" artists with {rules.rare_artist_plays} scrobble(s) or fewer")),
-        current=F.concat(number(F.col("n")), F.lit(" artists")), proposed=F.lit("(review by hand)"), signals=F.array(signal("info", "Misspellings often hide here")),
+        current=F.concat(number(F.col("n")), F.lit(" artists")), proposed=F.lit("(review by hand)"), signals=F.array(signal("info", "Misspellings often hide here")), evidence=listed,
     )
     return hygiene.unionByName(empty).unionByName(rare)

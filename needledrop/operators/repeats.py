@@ -11,18 +11,18 @@ from needledrop.rules import Rules
 
 
 def followers(plays: DataFrame) -> DataFrame:
-    """Plays with the play right before each (``p_artist``, ``p_key``, ``p_ts``).
+    """Plays with the play right before each (``p_artist``, ``p_key``, ``p_ts``, ``p_title``).
 
     The play before is found within the range that a row was sorted in; a range's first row takes the last row of the ranges
     before it, of which there is one each.
     """
-    row = F.struct("i", "artist", "track_key", "ts_ms")
+    row = F.struct("i", "artist", "track_key", "ts_ms", "title")
     w = Window.partitionBy("part").orderBy("i")
     ends = plays.groupBy("part").agg(F.max(row).alias("last"))
     before = ends.withColumn("carried", F.lag("last").over(Window.orderBy("part"))).select("part", "carried")
     near = plays.withColumn("near", F.lag(row).over(w)).join(F.broadcast(before), "part")
     p = F.coalesce("near", "carried")
-    return near.withColumns({"p_artist": p["artist"], "p_key": p["track_key"], "p_ts": p["ts_ms"]}).drop("near", "carried")
+    return near.withColumns({"p_artist": p["artist"], "p_key": p["track_key"], "p_ts": p["ts_ms"], "p_title": p["title"]}).drop("near", "carried")
 
 
 def runs(plays: DataFrame, rules: Rules) -> DataFrame:
@@ -34,12 +34,11 @@ def runs(plays: DataFrame, rules: Rules) -> DataFrame:
     again = followers(plays).where(repeat).withColumn("gap", F.col("ts_ms") - F.col("p_ts"))
     island = F.col("i") - F.row_number().over(Window.partitionBy("artist", "track_key").orderBy("i"))
     again = again.withColumn("island", island)
-    g = again.groupBy("artist", "track_key", "island").agg(
-        (F.count("*") + 1).alias("plays"), F.min("gap").alias("gap_ms"), (F.min("i") - 1).alias("start"), F.array_sort(F.collect_list("i")).alias("rows")
-    )
-    # the first play's own title, which may be spelled differently
-    first = plays.select(F.col("i").alias("start"), "title")
-    return g.drop("island").join(first, "start")
+    # the title is the first play's own, which may be spelled differently
+    return again.groupBy("artist", "track_key", "island").agg(
+        (F.count("*") + 1).alias("plays"), F.min("gap").alias("gap_ms"), (F.min("i") - 1).alias("start"),
+        F.array_sort(F.collect_list("i")).alias("rows"), F.min_by("p_title", "i").alias("title"),
+    ).drop("island")
 
 
 def repeated_plays(plays: DataFrame, rules: Rules) -> DataFrame:

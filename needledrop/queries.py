@@ -137,7 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e_duplicate_plays": _duplicate_plays,
         "e_longtail_typo": _findings(lambda ix: long_tail.artist_typos(ix, RULES)),
         "e_hygiene": _of_index(lambda ix: long_tail.untidy(ix).select("problem", "n")),
-        "e_empty_albums": _of_index(long_tail.empty_albums),
+        "e_empty_albums": _of_index(lambda ix: long_tail.empty_albums(ix).drop("seen")),
         "e_rare_artists": _of_index(lambda ix: long_tail.rare_artists(ix, RULES).select("artist", "n", F.col("first").alias("first_ms"), F.col("last").alias("last_ms"))),
         "f_meta": _report(lambda a: a.meta),
         "f_findings": _report(lambda a: a.findings.select(*shown)),

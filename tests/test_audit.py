@@ -192,3 +192,46 @@ def test_urls(spark):
     got = [r[0] for r in df.select(tables.profile_url("https://x.org/user/", F.lit("me"), F.col("t"))).collect()]
     assert got == ["https://x.org/user/me/library/music/" + e for _, e in cases]
     assert [r[0] for r in df.select(tables.profile_url("https://x.org", F.lit(""), F.col("t"))).collect()] == [""] * 3
+
+
+def test_whole_markdown(spark, audit, found, tmp_path):
+    """Every finding is in the report once, in order, each type under one heading, with its evidence."""
+    render.write_markdown(audit, str(tmp_path / "r"))
+    text = "".join(open(f).read() for f in sorted(str(p) for p in (tmp_path / "r" / "findings").glob("part-*.txt")))
+    assert [x[4:] for x in text.split("\n") if x.startswith("### ")] == [f["title"].replace("|", "\\|").replace("\n", " ") for f in sorted(found, key=lambda f: f["place"])]
+    assert text.count("\n## ") + text.startswith("## ") == len({f["type"] for f in found})
+    rare = next(f for f in found if f["subtype"] == "rare_artists")
+    assert rare["evidence"] and all(f"- {e['a']}: {e['b']}" in text for e in rare["evidence"])
+    hygiene = next(f for f in found if f["subtype"] == "hygiene")
+    assert any("“" in e["b"] for e in hygiene["evidence"])
+    head = "".join(open(p).read() for p in (tmp_path / "r" / "head").glob("part-*.txt"))
+    assert head.startswith("# Play log report") and "Left out: " in head
+
+
+def test_json(spark, audit, found, tmp_path):
+    tables.write_json(audit.findings, str(tmp_path / "j"))
+    back = spark.read.json(str(tmp_path / "j"))
+    assert {(r["place"], r["id"], r["proposed"]) for r in back.collect()} == {(f["place"], f["id"], f["proposed"]) for f in found}
+
+
+def test_trimmed(audit):
+    strict = Audit(audit.index, Rules())
+    weak = audit.findings.where("not informational and points < 40").count()
+    assert strict.trimmed["omitted"] == weak and audit.trimmed["omitted"] == 0
+    assert strict.findings.count() == audit.findings.count() - weak
+
+
+def test_command_line_leaves_nothing_behind(spark, tmp_path):
+    from needledrop.__main__ import main
+    from needledrop.plans import storage
+
+    log = tmp_path / "log.csv"
+    log.write_text("artist,title,album,date\n" + "".join(f"{a},Song {i},,2020-01-01 10:{i:02d}\n" for i, a in enumerate(["Nina Simone", "nina simone"] * 6)))
+    before = set(storage._known)
+    with storage.scratch(spark) as folder:
+        pass
+    root = tmp_path.__class__(folder.removeprefix("file://")).parent
+    there = {p.name for p in root.iterdir()} if root.exists() else set()
+    main([str(log), str(tmp_path / "out")])
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"findings", "actions", "report"}
+    assert {p.name for p in root.iterdir()} == there and set(storage._known) == before
