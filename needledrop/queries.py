@@ -21,9 +21,14 @@ RULES = Rules()
 _audits: dict[tuple[str, str], Audit] = {}
 
 
+def forget_reports() -> None:
+    """Compute findings anew from here on; the log and its index stay."""
+    _audits.clear()
+
+
 def forget() -> None:
     """Compute everything anew from here on."""
-    _audits.clear()
+    forget_reports()
     storage.forget()
 
 
