@@ -11,34 +11,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
+def _segment(length: Column, k: int, i: Column) -> tuple[Column, Column]:
     """Where the ``i``th of ``k`` + 1 nearly equal segments of a string begins (from 0), and its length."""
     short = F.floor(length / (k + 1)).cast("int")
     n_short = F.lit(k + 1) - length % (k + 1)
-    return short * i + F.greatest(F.lit(i) - n_short, F.lit(0)), short + (F.lit(i) >= n_short).cast("int")
+    return short * i + F.greatest(i - n_short, F.lit(0)), short + (i >= n_short).cast("int")
 
 
-def _key(k: int, length: Column, i: int, part: Column) -> Column:
-    return F.struct(F.lit(k).alias("k"), length.cast("int").alias("length"), F.lit(i).alias("i"), part.alias("part"))
+def _key(k: int, length: Column, i: Column, part: Column) -> Column:
+    return F.struct(F.lit(k).alias("k"), length.cast("int").alias("length"), i.alias("i"), part.alias("part"))
 
 
 def own_keys(s: Column, k: int) -> Column:
     """The keys that a string is put under, for up to ``k`` edits."""
-    out = []
-    for i in range(k + 1):
+
+    def key(i: Column) -> Column:
         start, width = _segment(F.length(s), k, i)
-        out.append(_key(k, F.length(s), i, F.substr(s, start + 1, width)))
-    return F.array(*out)
+        return _key(k, F.length(s), i, F.substr(s, start + 1, width))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), key)
 
 
 def probed_keys(s: Column, k: int, shorter: int, longer: int) -> Column:
     """The keys of strings within ``k`` edits that are at most so much ``shorter`` or ``longer``."""
-    out = []
-    for by in range(-shorter, longer + 1):
-        length = F.length(s) + by
-        for i in range(k + 1):
-            start, width = _segment(length, k, i)
-            for shift in range(-k, k + 1):
-                inside = (length > 0) & (start + shift >= 0) & (start + shift + width <= F.length(s))
-                out.append(F.when(inside, _key(k, length, i, F.substr(s, start + shift + 1, width))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+
+    def key(at: Column) -> Column:
+        length = F.length(s) + at["by"]
+        start, width = _segment(length, k, at["i"])
+        begin = start + at["shift"]
+        inside = (length > 0) & (begin >= 0) & (begin + width <= F.length(s))
+        return F.when(inside, _key(k, length, at["i"], F.substr(s, begin + 1, width)))
+
+    # every length, segment and shift; one expression for all of them keeps the plan small
+    n, shifts = (shorter + longer + 1) * (k + 1), 2 * k + 1
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(n * shifts - 1)),
+        lambda x: F.struct(
+            (F.floor(x / (shifts * (k + 1))) - shorter).cast("int").alias("by"),
+            (F.floor(x / shifts) % (k + 1)).cast("int").alias("i"),
+            (x % shifts - k).cast("int").alias("shift"),
+        ),
+    )
+    return F.array_distinct(F.array_compact(F.transform(each, key)))
