@@ -44,6 +44,10 @@ def points(x: str) -> str:
     return f"least(greatest(floor({x} + 0.5), 0), 100)::INTEGER"
 
 
+def target(artist: str, track: str = "NULL::VARCHAR", album: str = "NULL::VARCHAR") -> str:
+    return f"struct_pack(artist := {artist}, track := {track}, album := {album})"
+
+
 def strip_badges(x: str) -> str:
     """On a column ``x`` that is in normal form."""
     pattern = r"[(\[]([^)\]]*)[)\]]"
@@ -200,7 +204,7 @@ judged AS (
   FROM described GROUP BY artist, track_key, bucket),
 kept AS (SELECT *, CASE subtype WHEN 'version_marker' THEN plainest ELSE preferred END AS proposed FROM judged),
 varied AS (
-  SELECT k.artist, k.subtype, k.proposed, k.seen, string_agg(v.title, '  /  ' ORDER BY v.seen) AS current, sum(v.n)::BIGINT AS impact
+  SELECT k.artist, k.subtype, k.proposed, k.seen, k.k, list({target('k.artist', 'v.title')} ORDER BY v.seen) AS targets, string_agg(v.title, '  /  ' ORDER BY v.seen) AS current, sum(v.n)::BIGINT AS impact
   FROM kept k JOIN variants v ON v.artist = k.artist AND v.track_key = k.track_key AND v.bucket IS NOT DISTINCT FROM k.bucket AND v.title <> k.proposed
   GROUP BY ALL)"""
 
@@ -214,15 +218,15 @@ def log_points(x: str, times: int, most: int) -> str:
 
 
 
-def album_variants(more: str = "") -> str:
+def album_variants() -> str:
     spelled = f"lower(strip_accents(translate(album, {q(T.SINGLE_QUOTES + T.DOUBLE_QUOTES)}, {q(chr(39) * len(T.SINGLE_QUOTES) + chr(34) * len(T.DOUBLE_QUOTES))})))"
     return select(f"""
-SELECT {more}CASE WHEN capitals THEN 'case_only' ELSE 'name_variants' END AS subtype, current, kept AS proposed, impact,
+SELECT seen, 'Album in ' || forms || ' forms: “' || artist || ' — ' || kept || '”' AS title, '' AS warning, targets, CASE WHEN capitals THEN 'case_only' ELSE 'name_variants' END AS subtype, current, kept AS proposed, impact,
   {points(f"CASE WHEN capitals THEN 44 + {log_points('impact', 6, 8)} ELSE 74 + {log_points('impact', 8, 10)} END")} AS points
-FROM (SELECT g.capitals, g.kept, g.seen, string_agg(a.album, '  /  ' ORDER BY a.n DESC, a.seen) AS current, sum(a.n)::BIGINT AS impact FROM (
-    SELECT artist, album_key, count(DISTINCT lower(album)) = 1 AS capitals, arg_max(album, (n, -seen)) AS kept, min(seen) AS seen FROM albums GROUP BY artist, album_key
+FROM (SELECT g.capitals, g.kept, g.seen, g.artist, g.forms, list({target('g.artist', album='a.album')} ORDER BY a.n DESC, a.seen) AS targets, string_agg(a.album, '  /  ' ORDER BY a.n DESC, a.seen) AS current, sum(a.n)::BIGINT AS impact FROM (
+    SELECT artist, album_key, count(*) AS forms, count(DISTINCT lower(album)) = 1 AS capitals, arg_max(album, (n, -seen)) AS kept, min(seen) AS seen FROM albums GROUP BY artist, album_key
     HAVING count(*) > 1 AND count(DISTINCT {spelled}) = 1) g
-  JOIN albums a ON a.artist = g.artist AND a.album_key = g.album_key AND a.album <> g.kept GROUP BY g.artist, g.album_key, g.capitals, g.kept, g.seen)""")
+  JOIN albums a ON a.artist = g.artist AND a.album_key = g.album_key AND a.album <> g.kept GROUP BY g.artist, g.album_key, g.forms, g.capitals, g.kept, g.seen)""")
 
 
 _RAW_TITLES = "SELECT title, {} FROM spelled"
@@ -252,29 +256,35 @@ ORACLES = {
     "d_nearest_artist": select("SELECT x, y, apart FROM nearest", NEAREST),
     "d_components": select("SELECT node, label FROM labels", IDENTICAL, INSIDE, MERGE, COMPONENTS),
     "e_similar_names": select(f"""
-SELECT CASE WHEN shared > 0 THEN 'similar_with_tracks' ELSE 'similar_names' END AS subtype, CASE WHEN keep_x THEN y ELSE x END AS current, CASE WHEN keep_x THEN x ELSE y END AS proposed,
+SELECT *, -impact AS seen, '“' || current || '” → “' || proposed || '”' || CASE subtype WHEN 'similar_names' THEN '?' ELSE '' END AS title,
+  CASE subtype WHEN 'similar_names' THEN 'Alike names can be different artists, and these share no track.' ELSE '' END AS warning, [{target('current')}] AS targets
+FROM (SELECT CASE WHEN shared > 0 THEN 'similar_with_tracks' ELSE 'similar_names' END AS subtype, CASE WHEN keep_x THEN y ELSE x END AS current, CASE WHEN keep_x THEN x ELSE y END AS proposed,
   {points('''CASE WHEN shared > 0 THEN 18 + 30 * ((shared + 0.5::DOUBLE) / (fewest + 1)) + 12 * (least(shared, 20) / 20) + 12 * (least(mix, 10) / 10) + 12 * strength
     + CASE WHEN renamed THEN 6 ELSE 0 END + CASE WHEN shared = fewest THEN 12 ELSE 0 END
     ELSE 22 + 26 * strength + 10 * (least(mix, 10) / 10) + CASE WHEN renamed THEN 8 ELSE 0 END END''')} AS points,
-  CASE WHEN keep_x THEN y_n ELSE x_n END AS impact
+  CASE WHEN keep_x THEN y_n ELSE x_n END AS impact, CASE WHEN keep_x THEN x_n ELSE y_n END AS other_n
 FROM (SELECT *, {ms_score('x', 'x_n', 'x_last', 'greatest(x_last, y_last)', 'least(x_last, y_last)')} >= {ms_score('y', 'y_n', 'y_last', 'greatest(x_last, y_last)', 'least(x_last, y_last)')} AS keep_x
   FROM (SELECT p.x, p.y, p.strength, coalesce(s.shared, 0) AS shared, coalesce(z.mix, 0) AS mix, a.n AS x_n, b.n AS y_n, a.last AS x_last, b.last AS y_last,
           least(a.n_tracks, b.n_tracks) AS fewest, a.last <= b.first OR b.last <= a.first AS renamed
-        FROM alike p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y LEFT JOIN alike_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN alike_mix z ON z.x = p.x AND z.y = p.y))""",
+        FROM alike p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y LEFT JOIN alike_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN alike_mix z ON z.x = p.x AND z.y = p.y)))""",
         SIMILAR, SHARED.format(name="alike"), MIX.format(name="alike")),
     "e_combined_artists": select(f"""
 SELECT '' AS subtype, array_to_string(list_prepend(x, coalesce(siblings, [])), '  /  ') AS current, y AS proposed,
   {points('''55 + CASE WHEN leads THEN 0 ELSE -8 END + CASE WHEN bases > 1 THEN -6 ELSE 0 END + CASE WHEN n <= 5 THEN 12 ELSE 0 END + CASE WHEN base_n >= 20 THEN 8 ELSE 0 END
     + CASE WHEN near THEN 8 ELSE 0 END + CASE WHEN shared > 0 THEN 12 ELSE 0 END + CASE WHEN siblings IS NOT NULL THEN 4 ELSE 0 END''')} AS points,
-  (n + coalesce(more, 0))::BIGINT AS impact
-FROM (SELECT p.x, p.y, r.n, r.base_n, r.bases, {artist_key('a.parts[1]')} = r.base_key AS leads, coalesce(s.shared, 0) AS shared,
+  (n + coalesce(more, 0))::BIGINT AS impact, -n AS seen, '“' || x || '” → “' || y || '”' AS title,
+  CASE WHEN leads THEN '' ELSE 'The name starts with “' || first_part || '”, which is no artist of its own here: check before renaming.' END AS warning,
+  list_transform(list_prepend(x, coalesce(siblings, [])), lambda v: {target('v')}) AS targets
+FROM (SELECT a.parts[1] AS first_part, p.x, p.y, r.n, r.base_n, r.bases, {artist_key('a.parts[1]')} = r.base_key AS leads, coalesce(s.shared, 0) AS shared,
         abs(coalesce(a.last, 0) - coalesce(b.first, 0)) < 604800000 OR coalesce(z.mix, 0) > 0 AS near, g.siblings, g.more
       FROM pairs_of p JOIN resolved r ON r.artist = p.x JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y
       LEFT JOIN pairs_of_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN pairs_of_mix z ON z.x = p.x AND z.y = p.y
       LEFT JOIN (SELECT c.artist, list(o.artist ORDER BY o.n DESC, o.artist) AS siblings, sum(o.n) AS more FROM artists c JOIN artists o ON o.key = c.key AND o.artist <> c.artist WHERE len(c.parts) > 1 GROUP BY c.artist) g ON g.artist = p.x)""",
         RESOLVE, "pairs_of AS (SELECT artist AS x, base AS y FROM resolved)", SHARED.format(name="pairs_of"), MIX.format(name="pairs_of")),
     "e_duplicate_artists": select(f"""
-SELECT CASE WHEN pairs > 1 THEN 'group' ELSE relation END AS subtype, string_agg(name, '  /  ' ORDER BY n DESC, name) AS current, target AS proposed, {points('points')} AS points, sum(n)::BIGINT AS impact
+SELECT CASE WHEN pairs > 1 THEN 'group' ELSE relation END AS subtype, string_agg(name, '  /  ' ORDER BY n DESC, name) AS current, target AS proposed, {points('points')} AS points, sum(n)::BIGINT AS impact, -sum(n)::BIGINT AS seen,
+  CASE WHEN count(*) = 1 THEN '“' || any_value(name) || '”' ELSE count(*) || ' forms of the same artist' END || ' → “' || target || '”' AS title, '' AS warning,
+  list({target('name')} ORDER BY n DESC, name) AS targets
 FROM (SELECT c.*, m.name, a.n FROM targets c JOIN members m USING (id) JOIN artists a ON a.artist = m.name) WHERE name <> target GROUP BY id, target, pairs, relation, points""",
         IDENTICAL, INSIDE, MERGE, COMPONENTS, RESOLVE, f"""
 at_label AS (SELECT s.*, coalesce(l.label, s.x) AS grp FROM scored s LEFT JOIN labels l ON l.node = s.x),
@@ -290,36 +300,39 @@ targets AS (
   SELECT c.*, CASE WHEN r.base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM members m WHERE m.id = h.id AND m.name = r.base) THEN r.base ELSE h.canonical END AS target
   FROM cases c JOIN chosen h USING (id) LEFT JOIN resolved r ON r.artist = h.canonical)"""),
     "e_title_variants": select(f"""
-SELECT subtype, current, proposed, impact,
+SELECT subtype, current, proposed, impact, seen, '“' || artist || '” — ' || k || ' forms of one title' AS title, targets,
+  CASE WHEN subtype IN ('version_marker', 'different_qualifiers') THEN 'These may be different recordings: compare them before merging.' ELSE '' END AS warning,
   {points("CASE subtype WHEN 'featuring' THEN 55 WHEN 'case_only' THEN 44 WHEN 'qualifier_formatting' THEN 78 WHEN 'formatting' THEN 85 WHEN 'version_marker' THEN 40 WHEN 'one_qualified' THEN 52 ELSE 38 END + " + log_points('impact', 6, 8))} AS points
 FROM varied""", VARIANTS),
     "e_title_typos": select(f"""
-SELECT 'typo' AS subtype, rare AS current, common AS proposed, {points("38 + CASE WHEN apart = 1 THEN 14 ELSE 7 END + CASE WHEN shared THEN 16 ELSE 0 END + CASE WHEN shared AND n = 1 THEN 6 ELSE 0 END")} AS points, n AS impact
-FROM (SELECT a.n, a.title AS rare, b.title AS common, levenshtein(a.track_key, b.track_key) AS apart,
+SELECT 'typo' AS subtype, rare AS current, common AS proposed, -n AS seen, 'Is “' || rare || '” really “' || common || '”?' AS title, '' AS warning, [{target('artist', 'rare')}] AS targets, {points("38 + CASE WHEN apart = 1 THEN 14 ELSE 7 END + CASE WHEN shared THEN 16 ELSE 0 END + CASE WHEN shared AND n = 1 THEN 6 ELSE 0 END")} AS points, n AS impact
+FROM (SELECT a.artist, a.n, a.title AS rare, b.title AS common, levenshtein(a.track_key, b.track_key) AS apart,
         EXISTS (SELECT 1 FROM track_albums p JOIN track_albums r ON r.artist = p.artist AND r.album = p.album WHERE p.artist = a.artist AND p.track_key = a.track_key AND r.track_key = b.track_key) AS shared
       FROM fit a JOIN fit b ON a.artist = b.artist AND left(a.track_key, 1) = left(b.track_key, 1) AND a.n < b.n AND a.n <= 3 AND a.track_key <> b.track_key AND a.stripped <> b.stripped
       WHERE levenshtein(a.track_key, b.track_key) <= 2) WHERE apart <= 1 OR shared""",
         f"fit AS (SELECT *, {STRIPPED_ROMAN} AS stripped FROM tracks WHERE length(track_key) >= 4 AND NOT versioned AND NOT {VERSION.format('track_key')})"),
     "e_platform_badges": select(f"""
-SELECT 'platform_badge' AS subtype, string_agg(g.title, '  /  ' ORDER BY g.n DESC, g.seen) AS current, g.clean AS proposed, sum(g.n)::BIGINT AS impact,
+SELECT 'platform_badge' AS subtype, min(g.seen) AS seen, count(*) || ' video-page form(s) of “' || g.clean || '”' AS title, 'If the video was played on purpose, leave it.' AS warning,
+  list({target('g.artist', 'g.title')} ORDER BY g.n DESC, g.seen) AS targets, string_agg(g.title, '  /  ' ORDER BY g.n DESC, g.seen) AS current, g.clean AS proposed, sum(g.n)::BIGINT AS impact,
   {points(f"55 + {log_points('sum(g.n)', 9, 12)} + CASE WHEN bool_or(p.title IS NOT NULL) THEN 0 ELSE 6 END")} AS points
 FROM (SELECT t.*, {strip_badges('s.nt')} AS clean FROM titles t JOIN spelled s ON s.title = t.title JOIN after r ON r.artist = t.artist AND r.title = t.title WHERE r.rest IS NULL AND t.badge) g
 LEFT JOIN (SELECT t.* FROM titles t JOIN after r ON r.artist = t.artist AND r.title = t.title WHERE r.rest IS NULL AND NOT t.badge) p ON p.artist = g.artist AND p.track_key = g.track_key AND p.title = g.clean
 WHERE g.clean <> '' AND g.clean <> g.title GROUP BY g.artist, g.track_key, g.clean""", REPEATED),
     "e_artist_in_title": select(f"""
-SELECT '' AS subtype, artist || ' — ' || title AS current, CASE WHEN stripped = '' THEN rest ELSE stripped END AS proposed, n AS impact, {points(f"62 + {log_points('n', 12, 20)} + CASE WHEN n > 5 THEN 6 ELSE 0 END")} AS points
-FROM (SELECT p.artist, p.title, r.rest, {strip_badges('r.rest')} AS stripped, count(*) AS n FROM plays p JOIN after r ON r.artist = p.artist AND r.title = p.title WHERE r.rest IS NOT NULL GROUP BY ALL)""", REPEATED),
+SELECT '' AS subtype, seen, 'Title repeats the artist: “' || title || '”' AS title, '' AS warning, [{target('artist', 'title')}] AS targets, artist || ' — ' || title AS current, CASE WHEN stripped = '' THEN rest ELSE stripped END AS proposed, n AS impact, {points(f"62 + {log_points('n', 12, 20)} + CASE WHEN n > 5 THEN 6 ELSE 0 END")} AS points
+FROM (SELECT p.artist, p.title, r.rest, {strip_badges('r.rest')} AS stripped, count(*) AS n, min(p.i) AS seen FROM plays p JOIN after r ON r.artist = p.artist AND r.title = p.title WHERE r.rest IS NOT NULL GROUP BY ALL)""", REPEATED),
     "e_album_missing": select(f"""
-SELECT 'missing' AS subtype, title AS current, album AS proposed, missing AS impact,
+SELECT 'missing' AS subtype, seen, 'No album: “' || artist || ' — ' || title || '”' AS title,
+  CASE WHEN after_title THEN 'An album named after its track is often a wrong tag: check before filling it in.' ELSE '' END AS warning, [{target('artist', 'title')}] AS targets, title AS current, album AS proposed, missing AS impact,
   {points("CASE WHEN after_title THEN 52 ELSE 78 + CASE WHEN missing >= 3 THEN 8 ELSE 0 END + CASE WHEN album_n / (n - missing) >= 0.8::DOUBLE THEN 6 ELSE 0 END END")} AS points
 FROM on_albums WHERE missing > 0""", TRACKED),
     "e_album_clash": select(f"""
-SELECT 'clash' AS subtype, title AS current, album AS proposed, impact, {points(f"CASE WHEN after_title THEN least({{0}}, 44.0::DOUBLE) ELSE {{0}} END".format('(48 + ' + log_points('impact', 6, 10) + ')'))} AS points
+SELECT 'clash' AS subtype, seen, 'Several albums: “' || artist || ' — ' || title || '”' AS title, '' AS warning, [{target('artist', 'title')}] AS targets, title AS current, album AS proposed, impact, {points(f"CASE WHEN after_title THEN least({{0}}, 44.0::DOUBLE) ELSE {{0}} END".format('(48 + ' + log_points('impact', 6, 10) + ')'))} AS points
 FROM (SELECT *, n - album_n - missing AS impact FROM on_albums WHERE albums > 1) WHERE impact >= 3""", TRACKED),
     "e_album_name_variants": album_variants(),
-    "e_duplicate_plays": select(f"SELECT '' AS subtype, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
+    "e_duplicate_plays": select(f"SELECT '' AS subtype, start AS seen, plays || ' times in a row: “' || artist || ' — ' || title || '”' AS finding_title, '' AS warning, [{target('artist', 'title')}] AS targets, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
     "e_longtail_typo": select(f"""
-SELECT 'possible_typo' AS subtype, x AS current, y AS proposed, n AS impact,
+SELECT 'possible_typo' AS subtype, x AS current, y AS proposed, n AS impact, -n AS seen, 'Is “' || x || '” really “' || y || '”?' AS title, '' AS warning, [{target('x')}] AS targets,
   {points("25 + CASE WHEN inner_name THEN 20 WHEN apart = 1 THEN 15 ELSE 8 END + CASE WHEN shared > 0 THEN 20 ELSE 0 END + CASE WHEN mix > 0 THEN 15 ELSE 0 END - CASE WHEN length(xk) <= 4 AND apart > 0 AND NOT inner_name THEN 10 ELSE 0 END + CASE WHEN garbled THEN 20 ELSE 0 END")} AS points
 FROM (SELECT p.x, p.y, p.apart, a.n, a.key AS xk, coalesce(s.shared, 0) AS shared, coalesce(z.mix, 0) AS mix, {contains('b.key', 'a.key')} AS inner_name, regexp_matches(p.x, '[^\\p{{L}}\\p{{N}}\\s''&.,\\-]') AS garbled
       FROM nearest p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y LEFT JOIN nearest_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN nearest_mix z ON z.x = p.x AND z.y = p.y)
@@ -333,39 +346,107 @@ WHERE (apart <= 2 OR inner_name) AND (shared > 0 OR garbled)""", NEAREST, SHARED
     "f_meta": select(f"SELECT count(*) AS plays, count(ts_ms) AS dated, min(ts_ms) AS from_ms, max(ts_ms) AS to_ms, (SELECT count(*) FROM artists) AS artists, (SELECT count(*) FROM (SELECT DISTINCT artist, track_key FROM plays)) AS tracks, (SELECT count(DISTINCT {key('album')}) FROM plays WHERE album <> '') AS albums FROM plays"),
 }
 
-
-def _summary() -> str:
-    """The report's summary from the detectors' SQL: what joined names cover is left out, as are album spellings past the cap."""
-    kinds = {
-        "combined_artists": ["e_combined_artists"], "title_variants": ["e_title_variants", "e_platform_badges", "e_title_typos"], "artist_in_title": ["e_artist_in_title"],
-        "albums": ["e_album_missing", "e_album_clash"], "duplicate_scrobbles": ["e_duplicate_plays"], "long_tail": ["e_longtail_typo"],
-    }
-    columns = "subtype, current, proposed, points, impact"
-    parts = [f"SELECT '{kind}' AS type, {columns} FROM ({ORACLES[n]})" for kind, names in kinds.items() for n in names]
-    parts.append(f"SELECT 'albums', {columns} FROM (SELECT * FROM ({album_variants('seen, ')}) ORDER BY impact DESC, seen LIMIT 60)")
-    pairs = " UNION ALL ".join(f"SELECT {columns} FROM ({ORACLES[n]})" for n in ("e_duplicate_artists", "e_similar_names"))
-    messy = "problem <> 'scrobbles with no album'"
+#: The detectors' SQL with all that the report shows, in the order in which equal findings are listed, and the type of each.
+KINDS = {
+    "e_duplicate_artists": (1, "duplicate_artists"), "e_similar_names": (2, "duplicate_artists"), "e_combined_artists": (3, "combined_artists"),
+    "e_title_variants": (4, "title_variants"), "e_platform_badges": (5, "title_variants"), "e_title_typos": (6, "title_variants"), "e_artist_in_title": (7, "artist_in_title"),
+    "e_album_missing": (8, "albums"), "e_album_clash": (8, "albums"), "e_album_name_variants": (9, "albums"), "e_duplicate_plays": (10, "duplicate_scrobbles"), "e_longtail_typo": (11, "long_tail"),
+}
+DETAILED = {name: ORACLES[name] for name in KINDS}
+ORACLES |= {name: f"SELECT subtype, current, proposed, points, impact FROM ({sql})" for name, sql in DETAILED.items()}
+ORACLES["e_duplicate_plays"] = f"SELECT subtype, current, proposed, points, impact, targets[1].artist AS artist, targets[1].track AS title FROM ({DETAILED['e_duplicate_plays']})"
+
+
+def _report() -> str:
+    """The report's findings from the detectors' SQL: what joined names cover is left out, as are weak ones and album spellings past the cap."""
+    columns = "subtype, current, proposed, points, impact, seen, title, warning, targets"
+    named = DETAILED | {"e_duplicate_plays": f"SELECT * EXCLUDE (title, finding_title), finding_title AS title FROM ({DETAILED['e_duplicate_plays']})"}
+    named["e_album_name_variants"] = f"SELECT * FROM ({named['e_album_name_variants']}) ORDER BY impact DESC, seen LIMIT 60"
+    parts = [f"SELECT {n} AS detector, '{kind}' AS type, {columns} FROM ({named[name]})" for name, (n, kind) in KINDS.items()]
+    messy, commas = "problem <> 'scrobbles with no album'", "format('{:,}', n)"
+    note = "SELECT {} AS detector, 'long_tail' AS type, '{}' AS subtype, {} AS current, {} AS proposed, {} AS points, {} AS impact, 0 AS seen, {} AS title, '' AS warning, [] AS targets FROM ({}) WHERE n > 0"
     notes = [
-        f"SELECT 'long_tail', 'hygiene', '', '', 70, n FROM (SELECT sum(n)::BIGINT AS n FROM ({ORACLES['e_hygiene']}) WHERE {messy}) WHERE n > 0",
-        f"SELECT 'long_tail', 'empty', '', '', 45, 0 FROM ({ORACLES['e_hygiene']}) WHERE NOT {messy}",
-        f"SELECT 'long_tail', 'rare_artists', '', '', 0, 0 FROM (SELECT count(*) AS n FROM ({ORACLES['e_rare_artists']})) WHERE n > 0",
+        note.format(12, "hygiene", "'various tags'", "'(normalise)'", 70, "n", f"'Untidy text: ' || {commas} || ' plays'", f"SELECT sum(n)::BIGINT AS n FROM ({ORACLES['e_hygiene']}) WHERE {messy}"),
+        note.format(13, "empty", f"{commas} || ' scrobbles with no album'", "'(only if you know which one)'", 45, 0, f"{commas} || ' scrobbles with no album'", f"SELECT n FROM ({ORACLES['e_hygiene']}) WHERE NOT {messy}"),
+        note.format(14, "rare_artists", f"{commas} || ' artists'", "'(review by hand)'", 0, 0, f"{commas} || ' artists with 2 scrobble(s) or fewer'", f"SELECT count(*) AS n FROM ({ORACLES['e_rare_artists']})"),
     ]
     order = ", ".join(f"'{t}'" for t in TYPES)
-    labels = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in TYPES.items())
     return f"""
-WITH others AS ({' UNION ALL '.join(parts)}),
-absorbed AS (SELECT DISTINCT unnest(string_split(current, '  /  ')) AS name, proposed FROM others WHERE type = 'combined_artists'),
-pairs AS (SELECT row_number() OVER () AS id, * FROM ({pairs})),
-named AS (SELECT id, proposed, unnest(string_split(current, '  /  ')) AS name FROM pairs),
-open AS (SELECT DISTINCT n.id FROM named n LEFT JOIN absorbed a ON a.name = n.name AND a.proposed = n.proposed WHERE a.name IS NULL),
-listed AS (
-  SELECT * FROM (SELECT * FROM others UNION ALL SELECT 'duplicate_artists', {columns} FROM pairs WHERE id IN (SELECT id FROM open)) WHERE points >= 40
-  UNION ALL {' UNION ALL '.join(notes)})
-SELECT type, CASE type {labels} END AS label, count(*) AS findings, sum(impact)::BIGINT AS impact, count(*) FILTER (WHERE points >= 60) AS high,
-       count(*) FILTER (WHERE points >= 40 AND points < 60) AS medium, count(*) FILTER (WHERE points < 40) AS low,
-       count(*) FILTER (WHERE subtype NOT IN ('similar_names', 'case_only', 'version_marker', 'different_qualifiers', 'clash', 'hygiene', 'empty', 'rare_artists')) AS actionable
-FROM listed GROUP BY type ORDER BY list_position([{order}], type)
+WITH every AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+absorbed AS (SELECT DISTINCT unnest(string_split(current, '  /  ')) AS name, proposed FROM every WHERE type = 'combined_artists'),
+names AS (SELECT row_number() OVER () AS no, * FROM every WHERE type = 'duplicate_artists'),
+uncovered AS (
+  SELECT DISTINCT n.no FROM (SELECT no, proposed, unnest(string_split(current, '  /  ')) AS name FROM names) n
+  LEFT JOIN absorbed a ON a.name = n.name AND a.proposed = n.proposed WHERE a.name IS NULL),
+standing AS (SELECT * FROM every WHERE type <> 'duplicate_artists' UNION ALL SELECT * EXCLUDE (no) FROM names WHERE no IN (SELECT no FROM uncovered)),
+listed AS (SELECT *, false AS informational FROM standing WHERE points >= 40 UNION ALL SELECT *, true FROM ({' UNION ALL '.join(notes)})),
+graded AS (
+  SELECT *, CASE WHEN points >= 60 THEN 'high' WHEN points >= 40 THEN 'medium' ELSE 'low' END AS confidence,
+    CASE WHEN type = 'combined_artists' THEN 'split_combined' WHEN type = 'artist_in_title' THEN 'strip_artist_from_title' WHEN type = 'duplicate_scrobbles' THEN 'delete_duplicate'
+         WHEN subtype = 'similar_names' THEN 'review_artist' WHEN type = 'duplicate_artists' OR subtype = 'possible_typo' THEN 'rename_artist' WHEN type = 'long_tail' THEN 'review'
+         WHEN subtype = 'case_only' THEN 'review_capitalisation' WHEN subtype IN ('version_marker', 'different_qualifiers') THEN 'review_track' WHEN type = 'title_variants' THEN 'rename_track'
+         WHEN subtype = 'missing' THEN 'fill_album' WHEN subtype = 'clash' THEN 'review_album' ELSE 'merge_album' END AS action
+  FROM listed),
+findings AS (
+  SELECT *, row_number() OVER (ORDER BY list_position([{order}], type), list_position(['high', 'medium', 'low'], confidence), impact DESC, points DESC, detector, seen, current, proposed, title) - 1 AS place,
+    NOT starts_with(action, 'review') AS actionable
+  FROM graded)
 """
 
 
-ORACLES["f_summary_by_type"] = _summary()
+_REPORT = _report()
+_LABELS = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in TYPES.items())
+#: What each finding touches, by what kind of thing its targets are.
+_TOUCHED = f"""
+aims AS (SELECT detector, subtype, proposed, seen, impact, unnest(targets) AS t FROM findings),
+aimed AS (SELECT detector, subtype, proposed, seen, impact, t.artist AS artist, t.track AS track, t.album AS album FROM aims),
+log AS MATERIALIZED ({select("SELECT *, CASE WHEN album <> '' THEN " + key("album") + " END AS album_key FROM plays")})"""
+_ENCODED = "replace(url_encode({}), '%20', '+')"
+ORACLES |= {
+    "f_findings": _REPORT + """
+SELECT place, type || ':' || subtype || '|' || current || '|' || proposed || '#' || place AS id, type, subtype, title, points::INTEGER AS points, confidence, impact::BIGINT AS impact, action, actionable, informational,
+       current, proposed, warning FROM findings""",
+    "f_summary_by_type": _REPORT + f"""
+SELECT type, CASE type {_LABELS} END AS label, count(*) AS findings, sum(impact)::BIGINT AS impact, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium,
+       count(*) FILTER (WHERE confidence = 'low') AS low, count(*) FILTER (WHERE actionable) AS actionable
+FROM findings GROUP BY type""",
+    "f_trimmed": _REPORT + f"""
+SELECT 'omitted' AS counter, count(*) AS n FROM standing WHERE points < 40
+UNION ALL SELECT 'covered_by_stronger', (SELECT count(*) FROM names) - (SELECT count(*) FROM uncovered)
+UNION ALL SELECT 'album_name_variants_beyond_cap', greatest(count(*) - 60, 0) FROM ({DETAILED['e_album_name_variants']})
+UNION ALL SELECT 'album_clashes_below_threshold', count(*) FROM ({select('SELECT 1 FROM on_albums WHERE albums > 1 AND n - album_n - missing < 3', TRACKED)})
+UNION ALL SELECT 'artist_pairs_without_shared_track', count(*) FROM ({select('SELECT 1 FROM inside LEFT JOIN inside_shared USING (x, y) WHERE coalesce(shared, 0) = 0', INSIDE, SHARED.format(name='inside'))})""",
+    "f_affected_rows": _REPORT + "," + _TOUCHED + """
+SELECT DISTINCT i FROM (
+  SELECT l.i FROM aimed a JOIN log l ON l.artist = a.artist WHERE a.detector IN (1, 2, 3, 11)
+  UNION ALL SELECT l.i FROM aimed a JOIN log l ON l.artist = a.artist AND l.title = a.track WHERE a.detector IN (4, 5, 6, 7)
+  UNION ALL SELECT l.i FROM aimed a JOIN (SELECT DISTINCT title, track_key FROM log) s ON s.title = a.track JOIN log l ON l.artist = a.artist AND l.track_key = s.track_key
+    WHERE a.detector = 8 AND CASE a.subtype WHEN 'missing' THEN l.album = '' ELSE l.album NOT IN ('', a.proposed) END
+  UNION ALL SELECT l.i FROM aimed a JOIN (SELECT DISTINCT album, album_key FROM log) s ON s.album = a.album JOIN log l ON l.artist = a.artist AND l.album_key = s.album_key WHERE a.detector = 9
+  UNION ALL SELECT unnest(generate_series(seen + 1, seen + impact)) FROM aimed WHERE detector = 10)""",
+    "g_profile_urls": _REPORT + f"""
+SELECT place, concat_ws(' — ', t.artist, coalesce(t.track, t.album)) AS label, CASE WHEN t.artist = '' THEN '' ELSE 'https://example.org/user/someone/library/music/' || {_ENCODED.format('t.artist')}
+       || CASE WHEN t.track IS NOT NULL THEN '/_/' || {_ENCODED.format('t.track')} WHEN t.album IS NOT NULL THEN '/' || {_ENCODED.format('t.album')} ELSE '' END END AS url
+FROM (SELECT place, unnest(targets) AS t FROM findings)""",
+    "f_choices": f"""
+WITH own AS ({DETAILED['e_similar_names']})
+SELECT subtype, proposed AS current, current AS proposed, other_n AS impact, CASE subtype
+  WHEN 'similar_with_tracks' THEN 'Change the artist of ' || format('{{:,}}', other_n) || ' play(s) from “' || proposed || '” to “' || current || '”; look at one of them first.'
+  ELSE '“' || proposed || '” and “' || current || '” look alike but share no track: make sure before changing ' || format('{{:,}}', other_n) || ' play(s).' END AS how_to FROM own""",
+    "c_canonical_rules": select("SELECT key, arg_max(artist, (coalesce(last, 0), n, artist)) AS recent, arg_max(artist, (n, artist)) AS frequent FROM artists GROUP BY key"),
+    "e_hygiene_examples": select("SELECT problem, sum(n)::BIGINT AS n, array_to_string(list(value ORDER BY seen, value)[1:8], ' | ') AS examples FROM (SELECT problem, value, count(*) AS n, min(i) AS seen FROM (" + " UNION ALL ".join(
+        [f"SELECT i, '{name} the {f}' AS problem, {f} AS value FROM plays WHERE {f} <> '' AND {test.format(f)}" for f in ("artist", "title", "album") for name, test in (
+            ("leading or trailing spaces in", "{0} <> trim({0})"), ("double spaces in", "regexp_matches({0}, '\\s{{2,}}')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
+        + [f"SELECT i, 'scrobbles with no {f}', '(empty)' FROM plays WHERE {f} = ''" for f in ("artist", "title", "album")]) + ") GROUP BY problem, value) GROUP BY problem"),
+    "b_display": select("""
+SELECT i, format('{:,}', ts_ms) AS number, floor((i % 1000) / 1000.0::DOUBLE * 100 + 0.5::DOUBLE)::BIGINT || '%' AS percent, upper(left(title, 1)) || substr(title, 2) AS capitalised,
+  replace(strftime(make_timestamp(ts_ms * 1000), '%d %b %Y'), ' Sep ', ' Sept ') AS day, replace(strftime(make_timestamp(ts_ms * 1000), '%d %b %Y, %H:%M'), ' Sep ', ' Sept ') AS minute,
+  CASE WHEN s < 60 THEN s || ' sec' WHEN s < 600 THEN ((s * 10 + 30) // 60 // 10) || '.' || ((s * 10 + 30) // 60 % 10) || ' min' WHEN s < 3600 THEN ((s + 30) // 60) || ' min'
+       WHEN s < 36000 THEN ((s * 10 + 1800) // 3600 // 10) || '.' || ((s * 10 + 1800) // 3600 % 10) || ' h' WHEN s < 86400 THEN ((s + 1800) // 3600) || ' h'
+       WHEN s < 864000 THEN ((s * 10 + 43200) // 86400 // 10) || '.' || ((s * 10 + 43200) // 86400 % 10) || ' days' WHEN s < 5184000 THEN ((s + 43200) // 86400) || ' days'
+       ELSE floor(s / 86400.0::DOUBLE / 30.44::DOUBLE + 0.5::DOUBLE)::BIGINT || ' months' END AS duration
+FROM (SELECT *, i * 17 AS s FROM plays)"""),
+    "a_csv_plays": select(f"""
+SELECT {norm('artist')} AS artist, {norm('album')} AS album, 'id-' || i % 5 AS album_id, {norm("title || CASE WHEN i % 7 = 0 THEN ' \"take; 2\"' WHEN i % 11 = 0 THEN chr(10) || 'part' ELSE '' END")} AS title,
+  CASE WHEN i % 10 = 3 THEN NULL WHEN i % 3 = 2 THEN ts_ms // 60000 * 60000 WHEN i % 3 = 0 THEN ts_ms // 1000 * 1000 ELSE ts_ms END AS ts_ms FROM plays"""),
+}

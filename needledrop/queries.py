@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from needledrop.functions import format as show
 from needledrop.functions import text
 from needledrop.operators import albums, artists, long_tail, pairs, repeats, titles
-from needledrop.operators.findings import canonical_score
+from needledrop.operators.findings import canonical_score, preference
 from needledrop.plans import storage
 from needledrop.plans.index import Index
 from needledrop.plans.report import Audit
 from needledrop.rules import Rules
-from needledrop.sinks.tables import actions, profile_urls
+from needledrop.sinks.tables import actions, profile_urls, with_choices
 from needledrop.sources.orders_log import orders_log, version
+from needledrop.sources.plays import read_csv
 
 RULES = Rules()
 _audits: dict[tuple[str, str], Audit] = {}
@@ -99,6 +102,55 @@ def _duplicate_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subtype", "current", "proposed", "points", "impact", at["artist"].alias("artist"), at["track"].alias("title"))
 
 
+def _canonical_rules(index: Index) -> DataFrame:
+    """The form to keep of each key by the other two rules."""
+
+    def best(rule: str):
+        wanted = preference(RULES.override(canonical=rule), F.col("artist"), F.col("n"), F.col("last"), F.col("last"), F.col("last"))
+        return F.max_by("artist", F.struct(wanted.alias("wanted"), "n", "artist")).alias(rule)
+
+    return index.artists.groupBy("key").agg(best("recent"), best("frequent"))
+
+
+def _display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every display form, over the log's times, places and titles."""
+    i, ts = F.col("i"), F.col("ts_ms")
+    return orders_log(spark, sf_dir).select(
+        "i", show.number(ts).alias("number"), show.percent(F.pmod(i, F.lit(1000)) / 1000).alias("percent"), show.capitalised(F.col("title")).alias("capitalised"),
+        show.short_date(ts).alias("day"), show.date_time(ts).alias("minute"), show.duration(i * 17_000).alias("duration"),
+    )
+
+
+def _csv_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as another program's export and read again: quotes, delimiters and line breaks in titles, dates in three forms or none."""
+    i, when = F.col("i"), F.timestamp_millis("ts_ms")
+    dates = (
+        F.when(i % 10 == 3, "")
+        .when(i % 3 == 0, F.floor(F.col("ts_ms") / 1000).cast("string"))
+        .when(i % 3 == 1, F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+        .otherwise(F.date_format(when, "dd MMM yyyy, HH:mm"))
+    )
+    titles = F.concat("title", F.when(i % 7 == 0, ' "take; 2"').when(i % 11 == 0, "\npart").otherwise(""))
+    export = orders_log(spark, sf_dir).select(
+        dates.alias("Fecha"), F.col("artist").alias("Nombre del artista"), titles.alias("Título"), F.col("album").alias("Álbum"), F.concat(F.lit("id-"), (i % 5).cast("string")).alias("Album ID")
+    )
+    path = f"{storage.shared_dir(spark)}/needledrop-export-{uuid.uuid4().hex}"
+    export.write.csv(path, sep=";", header=True, quoteAll=True, quote='"', escape='"')
+    return read_csv(spark, path)[0].select("artist", "album", "album_id", "title", "ts_ms")
+
+
+def _choices(index: Index) -> DataFrame:
+    """What the findings of similar names become if each other name is chosen."""
+    found = artists.similar_names(index, RULES).withColumn("id", F.concat_ws("|", "current", "proposed"))
+    chosen = found.select("id", F.col("alternatives")[0]["value"].alias("value"))
+    return with_choices(found, chosen).select("subtype", "current", "proposed", "impact", "how_to")
+
+
+def _trimmed(audit: Audit) -> DataFrame:
+    """One row for each counter of what the report leaves out."""
+    return audit.index.plays.sparkSession.createDataFrame(list(audit.trimmed.items()), "counter string, n bigint")
+
+
 def _report(make: Callable[[Audit], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(audit_of(spark, sf_dir))
 
@@ -106,6 +158,8 @@ def _report(make: Callable[[Audit], DataFrame]) -> Callable[[SparkSession, str],
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     shown = ("place", "id", "type", "subtype", "title", "points", "confidence", "impact", "action", "actionable", "informational", "current", "proposed", "warning")
     return {
+        "a_csv_plays": _csv_plays,
+        "b_display": _display,
         "b_normalise_text": _titles(normal=text.normalise),
         "b_key": _titles(key=text.key),
         "b_loose_title_key": _titles(key=text.loose_key),
@@ -121,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c_album_index": _of_index(lambda ix: ix.albums.select("artist", "album", "album_key", "n", "seen")),
         "c_most_frequent": _of_index(lambda ix: ix.track_albums.groupBy("artist", "track_key").agg(F.max_by("album", F.struct("n", (-F.col("seen")).alias("e"))).alias("album"), F.max("n").alias("n"))),
         "c_canonical": _of_index(_canonical),
+        "c_canonical_rules": _of_index(_canonical_rules),
         "c_runs": lambda s, d: repeats.runs(orders_log(s, d), RULES).select("artist", "track_key", "title", "plays", "gap_ms", "start"),
         "d_same_key_pairs": _of_index(lambda ix: pairs.same_key_pairs(ix.artists)),
         "d_containment_pairs": _of_index(lambda ix: pairs.containment_pairs(ix.artists)),
@@ -142,11 +197,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e_duplicate_plays": _duplicate_plays,
         "e_longtail_typo": _findings(lambda ix: long_tail.artist_typos(ix, RULES)),
         "e_hygiene": _of_index(lambda ix: long_tail.untidy(ix).select("problem", "n")),
+        "e_hygiene_examples": _of_index(lambda ix: long_tail.untidy(ix).withColumn("examples", F.array_join("examples", " | "))),
         "e_empty_albums": _of_index(lambda ix: long_tail.empty_albums(ix).drop("seen")),
         "e_rare_artists": _of_index(lambda ix: long_tail.rare_artists(ix, RULES).select("artist", "n", F.col("first").alias("first_ms"), F.col("last").alias("last_ms"))),
         "f_meta": _report(lambda a: a.meta),
         "f_findings": _report(lambda a: a.findings.select(*shown)),
         "f_summary_by_type": _report(lambda a: a.summary),
+        "f_trimmed": _report(_trimmed),
+        "f_choices": _of_index(_choices),
         "f_affected_rows": _report(lambda a: a.affected),
         "g_actions_csv": _report(lambda a: actions(a.findings)),
         "g_profile_urls": _report(lambda a: profile_urls(a.findings, "https://example.org/user", "someone")),
