@@ -23,6 +23,11 @@ class Index:
     def _kept(self, tag: str, make) -> DataFrame:
         return once(self.plays.sparkSession, f"{tag}:{self.name}", make) if self.name else written(make(), tag)
 
+    def prepare(self) -> None:
+        """Write all parts, so that steps which run side by side find them."""
+        for part in (self.cells, self.titles, self.tracks, self.artists, self.track_albums, self.albums):
+            assert part is not None
+
     @cached_property
     def cells(self) -> DataFrame:
         """(artist, track_key, title, album, n, seen): everything else is aggregated from these."""

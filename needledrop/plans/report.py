@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needledrop import labels
@@ -14,7 +14,7 @@ from needledrop.operators import albums, artists, long_tail, repeats, titles
 from needledrop.operators.findings import actionable, confidence
 from needledrop.plans.index import Index
 from needledrop.plans.order import numbered
-from needledrop.plans.storage import written
+from needledrop.plans.storage import together, written
 from needledrop.rules import Rules
 
 
@@ -25,14 +25,25 @@ class Audit:
     index: Index
     rules: Rules = Rules()
 
+    @property
+    def _spark(self) -> SparkSession:
+        return self.index.plays.sparkSession
+
     @cached_property
     def _names(self) -> tuple[DataFrame, dict[str, int]]:
         """Findings about artists without those that a joined name's finding covers, and what was left out."""
-        scored, unshared = artists.merge_pairs(self.index, self.rules)
-        resolved = written(artists.resolutions(self.index), "resolutions")
-        combined = written(artists.combined_artists(self.index, self.rules, resolved), "combined")
-        merged = artists.duplicate_artists(self.index, self.rules, scored, resolved)
-        found = written(merged.unionByName(artists.similar_names(self.index, self.rules)).withColumn("id", F.monotonically_increasing_id()), "names")
+        (scored, unshared), resolved, similar = together(
+            self._spark,
+            lambda: artists.merge_pairs(self.index, self.rules),
+            lambda: written(artists.resolutions(self.index), "resolutions"),
+            lambda: artists.similar_names(self.index, self.rules),
+        )
+        combined, merged = together(
+            self._spark,
+            lambda: written(artists.combined_artists(self.index, self.rules, resolved), "combined"),
+            lambda: artists.duplicate_artists(self.index, self.rules, scored, resolved),
+        )
+        found = written(merged.unionByName(similar).withColumn("id", F.monotonically_increasing_id()), "names")
         absorbed = combined.select(F.explode("marks").alias("m"), F.col("proposed").alias("to")).select(F.col("m.a").alias("name"), "to").distinct()
         named = found.select("id", F.col("proposed").alias("to"), F.explode("marks").alias("m")).select("id", "to", F.col("m.a").alias("name"))
         covered = named.join(absorbed.withColumn("known", F.lit(True)), ["name", "to"], "left").groupBy("id")
@@ -42,22 +53,23 @@ class Audit:
 
     @cached_property
     def _all(self) -> tuple[DataFrame, dict[str, int]]:
-        names, trimmed = self._names
-        clashes, small = albums.album_clashes(self.index, self.rules)
-        spellings = written(albums.album_names(self.index, self.rules), "album-names")
-        parts = [
-            names,
-            titles.title_variants(self.index, self.rules),
-            titles.platform_badges(self.index, self.rules),
-            titles.title_typos(self.index, self.rules),
-            titles.artist_in_title(self.index, self.rules),
-            albums.missing_albums(self.index, self.rules),
-            clashes,
-            albums.listed(spellings, self.rules),
-            repeats.repeated_plays(self.index.plays, self.rules),
-            long_tail.artist_typos(self.index, self.rules),
-            long_tail.notes(self.index, self.rules),
-        ]
+        ix, rules = self.index, self.rules
+        ix.prepare()
+        (names, trimmed), (clashes, small), spellings, *others = together(
+            self._spark,
+            lambda: self._names,
+            lambda: albums.album_clashes(ix, rules),
+            lambda: written(albums.album_names(ix, rules), "album-names"),
+            lambda: titles.title_variants(ix, rules),
+            lambda: titles.platform_badges(ix, rules),
+            lambda: titles.title_typos(ix, rules),
+            lambda: titles.artist_in_title(ix, rules),
+            lambda: albums.missing_albums(ix, rules),
+            lambda: repeats.repeated_plays(ix.plays, rules),
+            lambda: long_tail.artist_typos(ix, rules),
+            lambda: long_tail.notes(ix, rules),
+        )
+        parts = [names, clashes, albums.listed(spellings, rules), *others]
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ _known: dict[tuple[str, str], DataFrame] = {}
 _open: list[str] = []
 #: Rows that a counted side may have to be broadcast.
 BROADCAST_ROWS = 100_000
+#: Steps that run at the same time; their jobs share the executors.
+SIDE_BY_SIDE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +60,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, *steps: Callable) -> list:
+    """What some independent steps return, run side by side: each is a chain of small tables that leaves most cores idle."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return [started.result() for started in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
+
+
 def stamp(spark: SparkSession, *paths: str) -> str:
     """The sizes and times of the files at some paths: another one if a table has changed."""
     found = []
