@@ -54,9 +54,15 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         fs.delete(path, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/needledrop-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing is at."""
+    return f"{shared_dir(spark)}/needledrop-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str, *by: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder, one folder for each value of the columns ``by``."""
+    path = new_path(df.sparkSession, tag)
+    df.write.partitionBy(*by).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
