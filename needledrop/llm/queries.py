@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, language_id, media, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity
+from needledrop.llm import alignment, bpe, language_id, lexical_search, line_dedup, media, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity
 from needledrop.llm.common import table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digested(line_dedup.deduped(table(spark, sf_dir, "documents")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -73,8 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_media": op9_media,
         "op10_language": op10_language,
+        "op11_search": op11_search,
+        "op12_lines": op12_lines,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secret_scan.ORACLE, "op4_mixing": mixing.ORACLE, "op7_pii": pii.ORACLE}
+    return {"op2_secrets": secret_scan.ORACLE, "op4_mixing": mixing.ORACLE, "op7_pii": pii.ORACLE, "op11_search": lexical_search.ORACLE, "op12_lines": line_dedup.ORACLE}
