@@ -12,7 +12,7 @@ SIGNALS = "array<struct<text: string, level: string>>"
 ALTERNATIVES = "array<struct<value: string, reason: string, current: string, proposed: string, impact: bigint>>"
 TARGETS = "array<struct<artist: string, track: string, album: string>>"
 EVIDENCE = "array<struct<a: string, b: string>>"
-#: What a finding touches: kind is artist, title, empty_album, track_album, album or row; a, b, c are its values.
+#: What a finding touches: kind is artist, title, empty_album, track_album, album or run (from place a to place b); a, b, c are its values.
 MARKS = "array<struct<kind: string, a: string, b: string, c: string>>"
 #: Forms are joined for display by this.
 JOINED = "  /  "
@@ -75,8 +75,12 @@ def finding(
     marks: Column | None = None,
     warning: Column | None = None,
     informational: bool = False,
+    since: Column | None = None,
 ) -> DataFrame:
-    """One finding for each row of ``df``. ``detector`` and ``seen`` order findings that are otherwise equal."""
+    """One finding for each row of ``df``. ``detector`` and ``seen`` order findings that are otherwise equal.
+
+    ``since`` is the time that tells a finding from others about the same targets.
+    """
     column = lambda c: F.lit(c) if isinstance(c, str) else c
     array = lambda c, kind: (F.array() if c is None else c).cast(kind)
     return df.select(
@@ -97,9 +101,22 @@ def finding(
         array(evidence, EVIDENCE).alias("evidence"),
         array(marks, MARKS).alias("marks"),
         seen.cast("bigint").alias("seen"),
+        (F.lit(None) if since is None else since).cast("bigint").alias("since"),
     )
 
 
+#: What separates the parts of a content key, and how many digits of the digest are used.
+PART, DIGITS = "\x1f", 16
+
+
+def content_key(f: DataFrame) -> DataFrame:
+    """``f`` with ``key``: a digest of what a finding is about (type, sub-case, targets, proposal, time), wherever it stands."""
+    none = F.lit("")
+    one = lambda t: F.concat_ws(PART, *(F.coalesce(t[c], none) for c in ("artist", "track", "album")))
+    parts = F.concat_ws(PART, "type", "subtype", "proposed", F.coalesce(F.col("since").cast("string"), none), F.array_join(F.transform("targets", one), PART))
+    return f.withColumn("key", F.substring(F.sha2(parts.cast("binary"), 256), 1, DIGITS))
+
+
 def confidence(points: Column, rules: Rules) -> Column:
     return F.when(points >= rules.high_threshold, "high").when(points >= rules.medium_threshold, "medium").otherwise("low")
 

@@ -7,38 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needledrop.operators.findings import finding, mark, number, quoted, signal, target
+from needledrop.plans.storage import written
 from needledrop.rules import Rules
 
 
-def followers(plays: DataFrame) -> DataFrame:
-    """Plays with the play right before each (``p_artist``, ``p_key``, ``p_ts``, ``p_title``).
+def segments(plays: DataFrame, rules: Rules) -> DataFrame:
+    """(part, artist, track_key, title, start, since, until, plays, gap_ms, opens, closes): maximal runs within each range of plays.
 
-    The play before is found within the range that a row was sorted in; a range's first row takes the last row of the ranges
-    before it, of which there is one each.
+    ``plays`` come dealt into ranges of their order (``part``), and a task only sees its own. Of the segments of one play, only
+    those that open or close a range are kept: they may go on in the next one.
     """
-    row = F.struct("i", "artist", "track_key", "ts_ms", "title")
     w = Window.partitionBy("part").orderBy("i")
-    ends = plays.groupBy("part").agg(F.max(row).alias("last"))
-    before = ends.withColumn("carried", F.lag("last").over(Window.orderBy("part"))).select("part", "carried")
-    near = plays.withColumn("near", F.lag(row).over(w)).join(F.broadcast(before), "part")
-    p = F.coalesce("near", "carried")
-    return near.withColumns({"p_artist": p["artist"], "p_key": p["track_key"], "p_ts": p["ts_ms"], "p_title": p["title"]}).drop("near", "carried")
+    before, gap = F.lag(F.struct("artist", "track_key", "ts_ms")).over(w), F.col("ts_ms") - F.col("before.ts_ms")
+    own = plays.select("part", "i", "artist", "track_key", "title", "ts_ms", before.alias("before"), F.lead("i").over(w).isNull().alias("last"))
+    again = (F.col("artist") == F.col("before.artist")) & (F.col("track_key") == F.col("before.track_key")) & (gap <= rules.repeat_window_ms)
+    own = own.withColumn("gap", F.when(again, gap))
+    own = own.withColumn("segment", F.sum(F.col("gap").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = own.groupBy("part", "segment").agg(
+        F.first("artist").alias("artist"), F.first("track_key").alias("track_key"), F.min_by("title", "i").alias("title"), F.min("i").alias("start"),
+        F.min("ts_ms").alias("since"), F.max("ts_ms").alias("until"), F.count("*").alias("plays"), F.min("gap").alias("gap_ms"), F.bool_or("last").alias("closes"),
+    )
+    return found.withColumn("opens", F.col("segment") == 1).where("plays > 1 or opens or closes").drop("segment")
 
 
 def runs(plays: DataFrame, rules: Rules) -> DataFrame:
-    """(artist, track_key, title, plays, gap_ms, start, rows): runs of two or more; ``rows`` are the places of all but the first.
+    """(artist, track_key, title, plays, gap_ms, start, since): runs of two or more plays, as their first place and their length.
 
-    Only the repeats are kept and windowed: within an artist and track, places that follow each other are one run.
+    A segment that opens a range and goes on with the one that closed the range before is put together with it, and so on over
+    whole ranges: at most two rows for each range meet in one task.
     """
-    repeat = (F.col("artist") == F.col("p_artist")) & (F.col("track_key") == F.col("p_key")) & (F.col("ts_ms") - F.col("p_ts") <= rules.repeat_window_ms)
-    again = followers(plays).where(repeat).withColumn("gap", F.col("ts_ms") - F.col("p_ts"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy("artist", "track_key").orderBy("i"))
-    again = again.withColumn("island", island)
-    # the title is the first play's own, which may be spelled differently
-    return again.groupBy("artist", "track_key", "island").agg(
-        (F.count("*") + 1).alias("plays"), F.min("gap").alias("gap_ms"), (F.min("i") - 1).alias("start"),
-        F.array_sort(F.collect_list("i")).alias("rows"), F.min_by("p_title", "i").alias("title"),
-    ).drop("island")
+    found = written(segments(plays, rules), "segments")
+    edges, order = found.where("opens or closes"), Window.orderBy("start")
+    before = F.lag(F.struct("artist", "track_key", "until")).over(order)
+    edges = edges.withColumn("before", before).withColumn("gap", F.col("since") - F.col("before.until"))
+    on = F.col("opens") & (F.col("artist") == F.col("before.artist")) & (F.col("track_key") == F.col("before.track_key")) & (F.col("gap") <= rules.repeat_window_ms)
+    edges = edges.withColumn("on", F.coalesce(on, F.lit(False)))
+    edges = edges.withColumn("island", F.sum((~F.col("on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = lambda c: F.min_by(c, "start").alias(c)
+    merged = edges.groupBy("island").agg(
+        first("artist"), first("track_key"), first("title"), F.sum("plays").alias("plays"), F.min(F.least("gap_ms", F.when(F.col("on"), F.col("gap")))).alias("gap_ms"),
+        F.min("start").alias("start"), F.min("since").alias("since"),
+    )
+    columns = ["artist", "track_key", "title", "plays", "gap_ms", "start", "since"]
+    return found.where("not opens and not closes").select(*columns).unionByName(merged.where("plays > 1").select(*columns))
 
 
 def repeated_plays(plays: DataFrame, rules: Rules) -> DataFrame:
@@ -48,7 +59,7 @@ def repeated_plays(plays: DataFrame, rules: Rules) -> DataFrame:
         r, 10, "duplicate_scrobbles", "", "delete_duplicate",
         title=F.concat(F.col("plays").cast("string"), F.lit(" times in a row: "), quoted(F.concat("artist", F.lit(" — "), "title"))),
         points=F.when(certain, 92).otherwise(74), impact=F.col("plays") - 1,
-        current=F.concat(F.col("plays").cast("string"), F.lit(" consecutive plays")), proposed=F.lit("keep 1"), seen=F.col("start"),
+        current=F.concat(F.col("plays").cast("string"), F.lit(" consecutive plays")), proposed=F.lit("keep 1"), seen=F.col("start"), since=F.col("since"),
         signals=F.array(signal("strong", "The closest two are ", number(F.round(F.col("gap_ms") / 1000)), " s apart")),
-        targets=F.array(target(F.col("artist"), F.col("title"))), marks=F.transform("rows", lambda i: mark("row", i.cast("string"))),
+        targets=F.array(target(F.col("artist"), F.col("title"))), marks=F.array(mark("run", (F.col("start") + 1).cast("string"), (F.col("start") + F.col("plays") - 1).cast("string"))),
     )

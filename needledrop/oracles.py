@@ -178,7 +178,7 @@ lagged AS (SELECT *, lag(artist) OVER w AS pa, lag(track_key) OVER w AS pk, ts_m
 marked AS (SELECT *, CASE WHEN coalesce(pa = artist AND pk = track_key AND gap <= 60000, false) THEN 0 ELSE 1 END AS starts FROM lagged),
 run_of AS (SELECT *, sum(starts) OVER (ORDER BY i) AS run FROM marked),
 runs AS (
-  SELECT any_value(artist) AS artist, any_value(track_key) AS track_key, arg_min(title, i) AS title, count(*) AS plays, min(gap) FILTER (WHERE starts = 0) AS gap_ms, min(i) AS start
+  SELECT any_value(artist) AS artist, any_value(track_key) AS track_key, arg_min(title, i) AS title, count(*) AS plays, min(gap) FILTER (WHERE starts = 0) AS gap_ms, min(i) AS start, min(ts_ms) AS since
   FROM run_of GROUP BY run HAVING count(*) > 1)"""
 VARIANTS = f"""
 forms AS (
@@ -330,7 +330,7 @@ FROM on_albums WHERE missing > 0""", TRACKED),
 SELECT 'clash' AS subtype, seen, 'Several albums: “' || artist || ' — ' || title || '”' AS title, '' AS warning, [{target('artist', 'title')}] AS targets, title AS current, album AS proposed, impact, {points(f"CASE WHEN after_title THEN least({{0}}, 44.0::DOUBLE) ELSE {{0}} END".format('(48 + ' + log_points('impact', 6, 10) + ')'))} AS points
 FROM (SELECT *, n - album_n - missing AS impact FROM on_albums WHERE albums > 1) WHERE impact >= 3""", TRACKED),
     "e_album_name_variants": album_variants(),
-    "e_duplicate_plays": select(f"SELECT '' AS subtype, start AS seen, plays || ' times in a row: “' || artist || ' — ' || title || '”' AS finding_title, '' AS warning, [{target('artist', 'title')}] AS targets, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
+    "e_duplicate_plays": select(f"SELECT '' AS subtype, start AS seen, since, plays || ' times in a row: “' || artist || ' — ' || title || '”' AS finding_title, '' AS warning, [{target('artist', 'title')}] AS targets, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
     "e_longtail_typo": select(f"""
 SELECT 'possible_typo' AS subtype, x AS current, y AS proposed, n AS impact, -n AS seen, 'Is “' || x || '” really “' || y || '”?' AS title, '' AS warning, [{target('x')}] AS targets,
   {points("25 + CASE WHEN inner_name THEN 20 WHEN apart = 1 THEN 15 ELSE 8 END + CASE WHEN shared > 0 THEN 20 ELSE 0 END + CASE WHEN mix > 0 THEN 15 ELSE 0 END - CASE WHEN length(xk) <= 4 AND apart > 0 AND NOT inner_name THEN 10 ELSE 0 END + CASE WHEN garbled THEN 20 ELSE 0 END")} AS points
@@ -359,12 +359,12 @@ ORACLES["e_duplicate_plays"] = f"SELECT subtype, current, proposed, points, impa
 
 def _report() -> str:
     """The report's findings from the detectors' SQL: what joined names cover is left out, as are weak ones and album spellings past the cap."""
-    columns = "subtype, current, proposed, points, impact, seen, title, warning, targets"
+    columns = "subtype, current, proposed, points, impact, seen, title, warning, targets, {} AS since"
     named = DETAILED | {"e_duplicate_plays": f"SELECT * EXCLUDE (title, finding_title), finding_title AS title FROM ({DETAILED['e_duplicate_plays']})"}
     named["e_album_name_variants"] = f"SELECT * FROM ({named['e_album_name_variants']}) ORDER BY impact DESC, seen LIMIT 60"
-    parts = [f"SELECT {n} AS detector, '{kind}' AS type, {columns} FROM ({named[name]})" for name, (n, kind) in KINDS.items()]
+    parts = [f"SELECT {n} AS detector, '{kind}' AS type, {columns.format('since' if name == 'e_duplicate_plays' else 'NULL::BIGINT')} FROM ({named[name]})" for name, (n, kind) in KINDS.items()]
     messy, commas = "problem <> 'scrobbles with no album'", "format('{:,}', n)"
-    note = "SELECT {} AS detector, 'long_tail' AS type, '{}' AS subtype, {} AS current, {} AS proposed, {} AS points, {} AS impact, 0 AS seen, {} AS title, '' AS warning, [] AS targets FROM ({}) WHERE n > 0"
+    note = "SELECT {} AS detector, 'long_tail' AS type, '{}' AS subtype, {} AS current, {} AS proposed, {} AS points, {} AS impact, 0 AS seen, {} AS title, '' AS warning, [] AS targets, NULL::BIGINT AS since FROM ({}) WHERE n > 0"
     notes = [
         note.format(12, "hygiene", "'various tags'", "'(normalise)'", 70, "n", f"'Untidy text: ' || {commas} || ' plays'", f"SELECT sum(n)::BIGINT AS n FROM ({ORACLES['e_hygiene']}) WHERE {messy}"),
         note.format(13, "empty", f"{commas} || ' scrobbles with no album'", "'(only if you know which one)'", 45, 0, f"{commas} || ' scrobbles with no album'", f"SELECT n FROM ({ORACLES['e_hygiene']}) WHERE NOT {messy}"),
@@ -387,10 +387,13 @@ graded AS (
          WHEN subtype = 'case_only' THEN 'review_capitalisation' WHEN subtype IN ('version_marker', 'different_qualifiers') THEN 'review_track' WHEN type = 'title_variants' THEN 'rename_track'
          WHEN subtype = 'missing' THEN 'fill_album' WHEN subtype = 'clash' THEN 'review_album' ELSE 'merge_album' END AS action
   FROM listed),
+digested AS (
+  SELECT *, left(sha256(concat_ws(chr(31), type, subtype, proposed, coalesce(since::VARCHAR, ''),
+    coalesce(array_to_string(list_transform(targets, lambda t: concat_ws(chr(31), t.artist, coalesce(t.track, ''), coalesce(t.album, ''))), chr(31)), ''))), 16) AS content FROM graded),
 findings AS (
-  SELECT *, row_number() OVER (ORDER BY list_position([{order}], type), list_position(['high', 'medium', 'low'], confidence), impact DESC, points DESC, detector, seen, current, proposed, title) - 1 AS place,
-    NOT starts_with(action, 'review') AS actionable
-  FROM graded)
+  SELECT *, row_number() OVER (ORDER BY list_position([{order}], type), list_position(['high', 'medium', 'low'], confidence), impact DESC, points DESC, detector, seen, current, proposed, title, content) - 1 AS place,
+    NOT starts_with(action, 'review') AS actionable, row_number() OVER (PARTITION BY content ORDER BY seen, current) AS again
+  FROM digested)
 """
 
 
@@ -404,7 +407,7 @@ log AS MATERIALIZED ({select("SELECT *, CASE WHEN album <> '' THEN " + key("albu
 _ENCODED = "replace(url_encode({}), '%20', '+')"
 ORACLES |= {
     "f_findings": _REPORT + """
-SELECT place, type || ':' || subtype || '|' || current || '|' || proposed || '#' || place AS id, type, subtype, title, points::INTEGER AS points, confidence, impact::BIGINT AS impact, action, actionable, informational,
+SELECT place, type || ':' || subtype || '|' || current || '|' || proposed || '#' || content || CASE WHEN again > 1 THEN '-' || again ELSE '' END AS id, type, subtype, title, points::INTEGER AS points, confidence, impact::BIGINT AS impact, action, actionable, informational,
        current, proposed, warning FROM findings""",
     "f_summary_by_type": _REPORT + f"""
 SELECT type, CASE type {_LABELS} END AS label, count(*) AS findings, sum(impact)::BIGINT AS impact, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium,

@@ -7,17 +7,22 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from needledrop import labels
 from needledrop.functions import text
 from needledrop.operators import albums, artists, long_tail, repeats, titles
-from needledrop.operators.findings import actionable, confidence
+from needledrop.operators.findings import actionable, confidence, content_key
 from needledrop.plans.index import Index
 from needledrop.plans.order import numbered
-from needledrop.plans.storage import together, written
+from needledrop.plans.storage import small, together, written
 from needledrop.rules import Rules
 
 
+#: Places of a run that one row gives.
+PIECE = 65_536
+
+
 @dataclass
 class Audit:
     """Everything about one table of plays under one set of rules; each part is computed when it is asked for, and once."""
@@ -79,15 +84,23 @@ class Audit:
 
     @cached_property
     def findings(self) -> DataFrame:
-        """All findings that are listed, with ``place`` in the report (from 0) and a unique ``id``."""
+        """All findings that are listed, with ``place`` in the report (from 0) and a unique ``id``.
+
+        The order is total: findings that are equal in all else differ in the digest of what they are about. An id is made of
+        that digest and not of the place, so it stays when other findings come or go, and decisions can be kept by it.
+        Only runs of one track that begin in the same millisecond share a digest; they are told apart by their order.
+        """
         listed = self._all[0].where(F.col("informational") | (F.col("points") >= self.rules.minimum_points))
         of_type = F.array_position(F.array(*map(F.lit, labels.TYPES)), F.col("type"))
         of_confidence = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-        listed = listed.withColumns({"o1": of_type, "o2": of_confidence, "o3": -F.col("impact"), "o4": -F.col("points")})
-        order = [F.col(c) for c in ("o1", "o2", "o3", "o4", "detector", "seen", "current", "proposed", "title")]
+        listed = content_key(listed).withColumns({"o1": of_type, "o2": of_confidence, "o3": -F.col("impact"), "o4": -F.col("points")})
+        order = [F.col(c) for c in ("o1", "o2", "o3", "o4", "detector", "seen", "current", "proposed", "title", "key")]
+        again = F.row_number().over(Window.partitionBy("key").orderBy("seen", "current"))
+        listed = listed.withColumn("again", again)
         placed = numbered(listed, order, "place").drop("part", "o1", "o2", "o3", "o4")
-        base = F.concat("type", F.lit(":"), "subtype", F.lit("|"), "current", F.lit("|"), "proposed", F.lit("#"), F.col("place").cast("string"))
-        return written(placed.withColumn("id", base), "findings")
+        number = F.when(F.col("again") > 1, F.concat(F.lit("-"), F.col("again").cast("string"))).otherwise("")
+        base = F.concat("type", F.lit(":"), "subtype", F.lit("|"), "current", F.lit("|"), "proposed", F.lit("#"), "key", number)
+        return written(placed.withColumn("id", base).drop("key", "again"), "findings")
 
     @cached_property
     def trimmed(self) -> dict[str, int]:
@@ -108,25 +121,28 @@ class Audit:
 
     @property
     def affected(self) -> DataFrame:
-        """(i): every play that a listed finding touches, once."""
+        """(i): every play that a listed finding touches, once.
+
+        What a finding names is looked up in the cells (the different plays), and the log is read once, against the cells that
+        are touched. Runs give their places themselves, in pieces, so a long run is no long row.
+        """
         marks = written(self.findings.select(F.explode("marks").alias("m")).select("m.*").distinct(), "marks")
-        plays = self.index.plays.withColumn("album_key", F.when(F.col("album") != "", text.key(F.col("album"))))
-        keys = {
-            "artist": (["artist"], F.col("artist") != ""),
-            "title": (["artist", "title"], F.lit(True)),
-            "empty_album": (["artist", "track_key"], F.col("album") == ""),
-            "track_album": (["artist", "track_key", "album"], F.col("album") != ""),
-            "album": (["artist", "album_key"], F.col("album") != ""),
-        }
-        parts = []
-        for kind, (columns, where) in keys.items():
-            own = marks.where(F.col("kind") == kind).select(*(F.col(m).alias(c) for m, c in zip("abc", columns, strict=False)))
-            parts.append(plays.where(where).join(own, columns, "left_semi").select("i"))
-        parts.append(marks.where("kind = 'row'").select(F.col("a").cast("bigint").alias("i")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out.distinct()
+        mark_of = lambda kind, *values: F.struct(F.lit(kind).alias("kind"), *(v.alias(n) for n, v in zip("abc", [*values, F.lit(""), F.lit("")], strict=False)))
+        artist, track, album = F.col("artist"), F.col("track_key"), F.col("album")
+        kinds = [
+            F.when(artist != "", mark_of("artist", artist)),
+            mark_of("title", artist, F.col("title")),
+            F.when(album == "", mark_of("empty_album", artist, track)).otherwise(mark_of("track_album", artist, track, album)),
+            F.when(album != "", mark_of("album", artist, text.key(album))),
+        ]
+        cells = self.index.cells.select("artist", "title", "album", F.explode(F.array_compact(F.array(*kinds))).alias("m")).select("artist", "title", "album", "m.*")
+        named = marks.where("kind <> 'run'").fillna("", ["b", "c"])
+        touched = written(cells.join(small(named), ["kind", "a", "b", "c"], "left_semi").select("artist", "title", "album").distinct(), "touched-cells")
+        plays = self.index.plays.join(small(touched), ["artist", "title", "album"], "left_semi").select("i")
+        low, high = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+        runs = marks.where("kind = 'run'").select(low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / PIECE), F.floor(high / PIECE))).alias("piece"))
+        runs = runs.select(F.explode(F.sequence(F.greatest("low", F.col("piece") * PIECE), F.least("high", F.col("piece") * PIECE + PIECE - 1))).alias("i"))
+        return plays.union(runs).distinct()
 
     @property
     def meta(self) -> DataFrame:
