@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needledrop.llm.common import written
-from needledrop.plans.storage import BROADCAST_ROWS, small
+from needledrop.plans.storage import small
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _SPACES = " \t\n\x0b\f\r"
@@ -69,9 +69,7 @@ def _kept(lines: Column, drops: Column) -> Column:
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, n_lines, n_dropped, kept): ``row`` holds all columns of ``docs``, ``kept`` the text that is left."""
-    drops = written(dropped_positions(docs, min_chars, min_docs), "dropped-lines")
-    if (drops.agg(F.sum(F.size("drops"))).first()[0] or 0) <= BROADCAST_ROWS:  # positions, not only rows
-        drops = F.broadcast(drops)
+    drops = dropped_positions(docs, min_chars, min_docs)  # with the texts, by shuffles, at every size
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), text.alias("text"), *_hashes("r", F.col("doc_id"), text))
     joined = rows.join(drops, ["r1", "r2"], "left")

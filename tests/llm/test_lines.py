@@ -56,11 +56,6 @@ def test_random_documents(spark):
     check(spark, [(r.randrange(60), "\n".join(r.choice(lines) for _ in range(r.randrange(1, 30)))) for _ in range(120)])
 
 
-def test_shuffled_where_the_positions_are_many(spark, monkeypatch):
-    monkeypatch.setattr(K, "BROADCAST_ROWS", 3)
-    check(spark, [(i, f"{LONG}\n{i}\n{LONG}\n{LONG}") for i in range(20)])
-
-
 def test_a_long_document_takes_time_by_its_lines(spark):
     import time
 
