@@ -7,13 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_known: dict[tuple[str, str], DataFrame] = {}
-_open: list[str] = []
+_known: dict[tuple[str, str, str], DataFrame] = {}
+#: The folder of the run that is open in this thread, and in those that it starts by ``together``.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 #: Rows that a counted side may have to be broadcast.
 BROADCAST_ROWS = 100_000
 #: Steps that run at the same time; their jobs share the executors.
@@ -22,8 +24,8 @@ SIDE_BY_SIDE = 4
 
 def shared_dir(spark: SparkSession) -> str:
     """The open run's folder, else ``spark.checkpoint.dir``; where that is unset, one of our own, on a local master only."""
-    if _open:
-        return _open[-1]
+    if run := _run.get():
+        return run
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -41,19 +43,27 @@ def _path(spark: SparkSession, path: str):
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
-    """One folder for all that is written inside, removed at the end: results that are read later must be saved before."""
-    folder, before = f"{shared_dir(spark)}/needledrop-run-{uuid.uuid4().hex}", set(_known)
-    _open.append(folder)
+    """One folder for all that this thread writes inside, removed at the end: results that are read later must be saved before.
+
+    Runs of several threads have folders of their own, and what is remembered of one (``once``) is forgotten with it.
+    """
+    folder = new_path(spark, "run")
+    token = _run.set(folder)
     try:
         yield folder
     finally:
-        _open.remove(folder)
-        for at in set(_known) - before:
+        _run.reset(token)
+        for at in [k for k in _known if k[1] == folder]:
             del _known[at]
         path, fs = _path(spark, folder)
         fs.delete(path, True)
 
 
+def run_key(spark: SparkSession) -> tuple[str, str]:
+    """What remembered results belong to: the application, and the run that is open ('': none)."""
+    return spark.sparkContext.applicationId, _run.get() or ""
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing is at."""
     return f"{shared_dir(spark)}/needledrop-{tag}-{uuid.uuid4().hex}"
@@ -69,7 +79,7 @@ def written(df: DataFrame, tag: str, *by: str, **options: str) -> DataFrame:
 def together(spark: SparkSession, *steps: Callable) -> list:
     """What some independent steps return, run side by side: each is a chain of small tables that leaves most cores idle."""
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        return [started.result() for started in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
+        return [started.result() for started in [pool.submit(copy_context().run, inheritable_thread_target(spark)(s)) for s in steps]]
 
 
 def stamp(spark: SparkSession, *paths: str) -> str:
@@ -85,11 +95,11 @@ def stamp(spark: SparkSession, *paths: str) -> str:
 
 
 def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``make`` gives, written the first time this application asks for ``name``.
+    """The table ``make`` gives, written the first time this application, or the run that is open, asks for ``name``.
 
     The caller puts into ``name`` what the table depends on (``stamp`` for files).
     """
-    at = spark.sparkContext.applicationId, name
+    at = *run_key(spark), name
     if at not in _known:
         _known[at] = written(make(), "once")
     return _known[at]

@@ -21,7 +21,7 @@ from needledrop.sources.orders_log import orders_log, version
 from needledrop.sources.plays import read_csv
 
 RULES = Rules()
-_audits: dict[tuple[str, str], Audit] = {}
+_audits: dict[tuple[str, str, str], Audit] = {}
 
 
 def forget_reports() -> None:
@@ -41,9 +41,9 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
 
 def audit_of(spark: SparkSession, sf_dir: str) -> Audit:
     """The audit of a folder; what it has written is used again within the application while the folder's files stay."""
-    at = spark.sparkContext.applicationId, version(spark, sf_dir)
+    at = *storage.run_key(spark), version(spark, sf_dir)
     if at not in _audits:
-        _audits[at] = Audit(Index(orders_log(spark, sf_dir), at[1]), RULES)
+        _audits[at] = Audit(Index(orders_log(spark, sf_dir), at[-1]), RULES)
     return _audits[at]
 
 
