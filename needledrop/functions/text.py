@@ -150,6 +150,11 @@ def split_artist(c: Column) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
 
 
+def separator(c: Column) -> Column:
+    """What a joined name shows between its artists: a comma, an ampersand, or some other sign ("several")."""
+    return F.when(c.contains(","), ",").when(c.rlike(r"\s&\s"), "&").otherwise("several")
+
+
 def words(k: Column) -> Column:
     return F.filter(F.split(k, " "), lambda w: F.length(w) >= 2)
 

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needledrop import labels
+from needledrop.functions import format as show
 from needledrop.rules import Rules
 
 SIGNALS = "array<struct<text: string, level: string>>"
 ALTERNATIVES = "array<struct<value: string, reason: string, current: string, proposed: string, impact: bigint>>"
 TARGETS = "array<struct<artist: string, track: string, album: string>>"
 EVIDENCE = "array<struct<a: string, b: string>>"
+#: The forms of a name that a finding is about.
+VARIANTS = "array<struct<value: string, n: bigint, first: bigint, last: bigint, canonical: boolean>>"
 #: What a finding touches: kind is artist, title, empty_album, track_album, album or run (from place a to place b); a, b, c are its values.
 MARKS = "array<struct<kind: string, a: string, b: string, c: string>>"
 #: Forms are joined for display by this.
@@ -26,6 +29,20 @@ def number(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
+def plays(n: Column) -> Column:
+    return F.concat(number(n), F.lit(" play(s)"))
+
+
+def span(first: Column, last: Column) -> Column:
+    """From the first day to the last, or that there is no date."""
+    return F.when(first.isNull(), "no date").otherwise(F.concat(show.short_date(first), F.lit(" to "), show.short_date(last)))
+
+
+def item(a: Column | str, b: Column) -> Column:
+    """One row of evidence."""
+    return F.struct((F.lit(a) if isinstance(a, str) else a).alias("a"), b.alias("b"))
+
+
 def signal(level: str, *parts: Column | str) -> Column:
     text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return F.struct(text.alias("text"), F.lit(level).alias("level"))
@@ -76,9 +93,15 @@ def finding(
     warning: Column | None = None,
     informational: bool = False,
     since: Column | None = None,
+    explanation: Column | None = None,
+    variants: Column | None = None,
+    shown: int = 14,
+    beyond: Column | None = None,
 ) -> DataFrame:
     """One finding for each row of ``df``. ``detector`` and ``seen`` order findings that are otherwise equal.
 
+    Of the evidence, the first ``shown`` items are kept, and ``beyond`` counts those that are not.
+
     ``since`` is the time that tells a finding from others about the same targets.
     """
     column = lambda c: F.lit(c) if isinstance(c, str) else c
@@ -98,7 +121,10 @@ def finding(
         array(signals, SIGNALS).alias("signals"),
         array(alternatives, ALTERNATIVES).alias("alternatives"),
         array(targets, TARGETS).alias("targets"),
-        array(evidence, EVIDENCE).alias("evidence"),
+        F.slice(array(evidence, EVIDENCE), 1, shown).alias("evidence"),
+        (F.greatest(F.size(array(evidence, EVIDENCE)) - shown, F.lit(0)) if beyond is None else beyond).cast("bigint").alias("beyond"),
+        F.coalesce(column("") if explanation is None else explanation, F.lit("")).alias("explanation"),
+        array(variants, VARIANTS).alias("variants"),
         array(marks, MARKS).alias("marks"),
         seen.cast("bigint").alias("seen"),
         (F.lit(None) if since is None else since).cast("bigint").alias("since"),

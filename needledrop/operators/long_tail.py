@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from needledrop.functions import text
 from needledrop.operators import pairs as P
-from needledrop.operators.findings import finding, mark, number, quoted, signal, signals, target
+from needledrop.operators.findings import finding, item, mark, number, plays, quoted, signal, signals, span, target
 from needledrop.plans.index import Index
 from needledrop.plans.storage import written
 from needledrop.rules import Rules
@@ -24,8 +24,8 @@ EXAMPLES, EMPTY_ROWS, PARTS = 8, 40, 64
 def artist_typos(index: Index, rules: Rules) -> DataFrame:
     p = written(P.nearest_frequent(index.artists, rules), "nearest")
     p = P.time_mix(P.shared_tracks(p, index.tracks), index, rules.sitting_window_ms)
-    own = index.artists.select("artist", "n", "key")
-    p = p.join(own.toDF("x", "n", "x_key"), "x").join(own.toDF("y", "y_n", "y_key"), "y")
+    own = index.artists.select("artist", "n", "key", "first", "last")
+    p = p.join(own.toDF("x", "n", "x_key", "x_first", "x_last"), "x").join(own.toDF("y", "y_n", "y_key", "y_first", "y_last"), "y")
     inside = text.contains_words(F.col("y_key"), F.col("x_key"))
     garbled = F.col("x").rlike(GARBLED)
     p = p.where((F.col("apart") <= rules.typo_distance) | inside)
@@ -48,6 +48,12 @@ def artist_typos(index: Index, rules: Rules) -> DataFrame:
         title=F.concat(F.lit("Is "), quoted(F.col("x")), F.lit(" really "), quoted(F.col("y")), F.lit("?")),
         points=points, impact=F.col("n"), current=F.col("x"), proposed=F.col("y"), seen=-F.col("n"), signals=said,
         targets=F.array(target(F.col("x"))), marks=F.array(mark("artist", F.col("x"))),
+        evidence=F.array(
+            *(item(quoted(F.col(s)), F.concat(plays(n), F.lit(", "), span(F.col(f"{s}_first"), F.col(f"{s}_last")))) for s, n in (("x", F.col("n")), ("y", F.col("y_n")))),
+            item("Tracks in common", number(F.col("shared"))),
+        ),
+        shown=rules.evidence_items,
+        explanation=F.concat(quoted(F.col("x")), F.lit(" is rare and close to "), quoted(F.col("y")), F.when(F.col("shared") > 0, ", and they have a track in common: very likely a slip.").otherwise(". They have no track in common, so look first.")),
     )
 
 
@@ -101,7 +107,7 @@ def notes(index: Index, rules: Rules) -> DataFrame:
     zero = F.lit(0)
     hygiene = finding(
         messy, 12, "long_tail", "hygiene", "review", title=F.concat(F.lit("Untidy text: "), number(F.col("n")), F.lit(" plays")), points=F.lit(70),
-        impact=F.col("n"), current=F.lit("various tags"), proposed=F.lit("(normalise)"), seen=zero, signals=texts, evidence=items, informational=True,
+        impact=F.col("n"), current=F.lit("various tags"), proposed=F.lit("(normalise)"), seen=zero, signals=texts, evidence=items, shown=rules.table_rows, informational=True,
     )
     one = F.lit(1).alias("one")
     table = lambda rows, order, a: rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), *order, a.alias("a"), number(F.col("n")).alias("b")))).alias("rows")).select("rows", one)
@@ -111,7 +117,7 @@ def notes(index: Index, rules: Rules) -> DataFrame:
     count = F.concat(number(F.col("n")), F.lit(" scrobbles with no album"))
     empty = finding(
         none, 13, "long_tail", "empty", "review", title=count, points=F.lit(45), impact=zero, current=count, proposed=F.lit("(only if you know which one)"),
-        seen=zero, signals=F.array(signal("info", "A missing album need not be a mistake")), evidence=listed, informational=True,
+        seen=zero, signals=F.array(signal("info", "A missing album need not be a mistake")), evidence=listed, shown=rules.table_rows, informational=True,
     )
     all_rare = rare_artists(index, rules)
     first = all_rare.orderBy(F.col("n").desc(), "artist").limit(rules.table_rows)
@@ -119,6 +125,6 @@ def notes(index: Index, rules: Rules) -> DataFrame:
     rare = finding(
         few, 14, "long_tail", "rare_artists", "review", points=zero, impact=zero, seen=zero, informational=True,
         title=F.concat(number(F.col("n")), F.lit(f" artists with {rules.rare_artist_plays} scrobble(s) or fewer")),
-        current=F.concat(number(F.col("n")), F.lit(" artists")), proposed=F.lit("(review by hand)"), signals=F.array(signal("info", "Misspellings often hide here")), evidence=listed,
+        current=F.concat(number(F.col("n")), F.lit(" artists")), proposed=F.lit("(review by hand)"), signals=F.array(signal("info", "Misspellings often hide here")), evidence=listed, shown=rules.table_rows,
     )
     return hygiene.unionByName(empty).unionByName(rare)

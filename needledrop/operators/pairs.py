@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,6 +118,23 @@ def shared_tracks(pairs: DataFrame, tracks: DataFrame) -> DataFrame:
     return pairs.join(common, ["x", "y"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 
+def shared_titles(pairs: DataFrame, tracks: DataFrame, most: int, text: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, items, total): of the titles that both names of an ``id``'s pairs (id, x, y) have, the ``most`` played, and how many.
+
+    ``text`` says an item's second part from the plays under both names. Each task keeps its first titles of an id before they
+    are shuffled (a bounded top-k that merges), so no task holds all common tracks of two large artists.
+    """
+    own = tracks.select("artist", "track_key", "title", "n")
+    at_x = pairs.select("id", "x", "y").join(own.toDF("x", "track_key", "a", "n"), "x")
+    both = at_x.join(own.select(F.col("artist").alias("y"), "track_key", F.col("n").alias("m")), ["y", "track_key"])
+    each = both.groupBy("id", "a").agg(F.max(F.struct((F.col("n") + F.col("m")).alias("total"), "n", "m")).alias("t"))
+    each = written(each, "shared-titles")
+    ranked = first_by(each, ["id"], [F.col("t.total").desc(), F.col("a")], most)
+    items = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("t.total")).alias("less"), "a", text(F.col("t.n"), F.col("t.m")).alias("b")))).alias("first"))
+    items = items.select("id", F.transform("first", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("items"))
+    return items.join(each.groupBy("id").agg(F.count("*").alias("total")), "id")
+
+
 def time_mix(pairs: DataFrame, index: Index, window_ms: int) -> DataFrame:
     """``pairs`` (x, y, ...) with ``mix``: plays of the one with fewer dated plays (x on a tie) near one of the other.
 
@@ -156,6 +175,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+def first_by(df: DataFrame, keys: list[str], order: list[Column], most: int = 1) -> DataFrame:
+    """The first rows of each group; each task keeps so many of a group before they are shuffled."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from needledrop.operators.findings import finding, mark, number, quoted, signal, target
-from needledrop.plans.storage import written
+from needledrop.functions import format as show
+from needledrop.operators.findings import finding, item, mark, number, quoted, signal, signals, target
+from needledrop.plans.storage import small, written
 from needledrop.rules import Rules
 
 
@@ -52,14 +53,33 @@ def runs(plays: DataFrame, rules: Rules) -> DataFrame:
     return found.where("not opens and not closes").select(*columns).unionByName(merged.where("plays > 1").select(*columns))
 
 
+def listed_plays(plays: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """(start, items): the first plays of each run, with their times and albums, looked up by their places."""
+    last = F.least(F.col("start") + F.col("plays") - 1, F.col("start") + most - 1)
+    wanted = written(found.select("start", F.explode(F.sequence("start", last)).alias("i")), "run-places")
+    each = plays.select("i", "ts_ms", "album").join(small(wanted), "i")
+    album = F.when(F.col("album") == "", "(no album)").otherwise(F.col("album"))
+    kept = F.when(F.col("i") == F.col("start"), F.concat(album, F.lit(", to keep"))).otherwise(album)
+    rows = each.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("i", show.date_time(F.col("ts_ms")).alias("a"), kept.alias("b")))).alias("rows"))
+    return rows.select("start", F.transform("rows", lambda x: item(x["a"], x["b"])).alias("items"))
+
+
 def repeated_plays(plays: DataFrame, rules: Rules) -> DataFrame:
-    r = runs(plays, rules)
-    certain = F.col("gap_ms") <= rules.repeat_certain_ms
+    r = written(runs(plays, rules), "runs")
+    r = r.join(listed_plays(plays, r, rules.evidence_items), "start")
+    certain, extra = F.col("gap_ms") <= rules.repeat_certain_ms, F.col("plays") - 1
+    shortest = show.duration(F.col("gap_ms"))
     return finding(
         r, 10, "duplicate_scrobbles", "", "delete_duplicate",
         title=F.concat(F.col("plays").cast("string"), F.lit(" times in a row: "), quoted(F.concat("artist", F.lit(" — "), "title"))),
-        points=F.when(certain, 92).otherwise(74), impact=F.col("plays") - 1,
+        points=F.when(certain, 92).otherwise(74), impact=extra,
         current=F.concat(F.col("plays").cast("string"), F.lit(" consecutive plays")), proposed=F.lit("keep 1"), seen=F.col("start"), since=F.col("since"),
-        signals=F.array(signal("strong", "The closest two are ", number(F.round(F.col("gap_ms") / 1000)), " s apart")),
-        targets=F.array(target(F.col("artist"), F.col("title"))), marks=F.array(mark("run", (F.col("start") + 1).cast("string"), (F.col("start") + F.col("plays") - 1).cast("string"))),
+        signals=signals(
+            (certain, signal("strong", "The closest two are ", shortest, " apart")),
+            (~certain, signal("medium", "The closest two are ", shortest, " apart")),
+        ),
+        targets=F.array(target(F.col("artist"), F.col("title"))),
+        marks=F.array(mark("run", (F.col("start") + 1).cast("string"), (F.col("start") + F.col("plays") - 1).cast("string"))),
+        evidence=F.col("items"), shown=rules.evidence_items, beyond=F.greatest(F.col("plays") - rules.evidence_items, F.lit(0)),
+        explanation=F.concat(F.lit("Unless it was on repeat, "), number(extra), F.lit(" of these plays are too many.")),
     )

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from needledrop.functions import text
 from needledrop.operators.near import own_keys, probed_keys
-from needledrop.operators.findings import JOINED, finding, log_points, mark, number, preference, quoted, signal, signals, target
+from needledrop.operators.findings import EVIDENCE, JOINED, finding, item, log_points, mark, number, plays, preference, quoted, signal, signals, target
 from needledrop.operators.pairs import first_by
 from needledrop.plans.index import Index
 from needledrop.plans.storage import written
@@ -100,7 +100,8 @@ def title_variants(index: Index, rules: Rules) -> DataFrame:
         signals=F.array(F.struct(chosen(said, "").alias("text"), F.lit("strong").alias("level"))), warning=warning,
         alternatives=F.transform(F.slice(ranked, 1, 3), swap),
         targets=F.transform("others", lambda f: target(F.col("artist"), f["title"])),
-        evidence=F.transform("all", lambda f: F.struct(f["title"].alias("a"), F.concat(number(f["n"]), F.lit(" plays")).alias("b"))),
+        evidence=F.transform("all", lambda f: item(f["title"], plays(f["n"]))), shown=rules.evidence_items,
+        explanation=F.concat(F.lit("One track of "), quoted(F.col("artist")), F.lit(" is written in "), number(F.col("forms")), F.lit(" ways; "), quoted(F.col("kept")), F.lit(" is the form to keep, for "), plays(F.col("impact")), F.lit(" of others.")),
         marks=F.transform("others", lambda f: mark("title", F.col("artist"), f["title"])),
     )
 
@@ -120,13 +121,13 @@ def title_typos(index: Index, rules: Rules) -> DataFrame:
     p = a.join(b, same & (F.col("a.n") < F.col("b.n")))
     p = p.withColumn("apart", F.levenshtein(F.col("a.track_key"), F.col("b.track_key"), far)).where("apart > 0")
     p = p.where(text.without_ordinals(F.col("a.track_key")) != text.without_ordinals(F.col("b.track_key")))
-    p = p.select("a.artist", F.col("a.track_key").alias("k"), F.col("b.track_key").alias("m"), F.col("a.n").alias("n"), F.col("a.title").alias("rare"), F.col("b.title").alias("common"), "apart")
+    p = p.select("a.artist", F.col("a.track_key").alias("k"), F.col("b.track_key").alias("l"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.title").alias("rare"), F.col("b.title").alias("common"), "apart")
     p = p.distinct()  # once for each pair, however many segments it shares
     albums = index.track_albums.select("artist", "track_key", "album", "seen")
-    both = p.select("artist", "k", "m").join(albums.withColumnRenamed("track_key", "k"), ["artist", "k"])
-    both = both.join(albums.select("artist", F.col("track_key").alias("m"), "album"), ["artist", "m", "album"])
-    both = both.groupBy("artist", "k", "m").agg(F.min_by("album", "seen").alias("album"))
-    p = p.join(both, ["artist", "k", "m"], "left")
+    both = p.select("artist", "k", "l").join(albums.withColumnRenamed("track_key", "k"), ["artist", "k"])
+    both = both.join(albums.select("artist", F.col("track_key").alias("l"), "album"), ["artist", "l", "album"])
+    both = both.groupBy("artist", "k", "l").agg(F.min_by("album", "seen").alias("album"))
+    p = p.join(both, ["artist", "k", "l"], "left")
     shared = F.col("album").isNotNull()
     p = p.where((F.col("apart") <= rules.title_typo_distance) | (shared & (F.col("apart") <= far)))
     points = 38 + F.when(F.col("apart") == 1, 14).otherwise(7) + F.when(shared, 16).otherwise(0) + F.when(shared & (F.col("n") == 1), 6).otherwise(0)
@@ -139,6 +140,8 @@ def title_typos(index: Index, rules: Rules) -> DataFrame:
         title=F.concat(F.lit("Is "), quoted(F.col("rare")), F.lit(" really "), quoted(F.col("common")), F.lit("?")),
         points=points, impact=F.col("n"), current=F.col("rare"), proposed=F.col("common"), seen=-F.col("n"), signals=said,
         targets=F.array(target(F.col("artist"), F.col("rare"))), marks=F.array(mark("title", F.col("artist"), F.col("rare"))),
+        evidence=F.array(item(F.col("rare"), F.concat(plays(F.col("n")), F.lit(", the rarer form"))), item(F.col("common"), F.concat(plays(F.col("m")), F.lit(", the proposed form")))), shown=rules.evidence_items,
+        explanation=F.concat(F.lit("Both titles are of "), quoted(F.col("artist")), F.when(shared, " and on one album").otherwise(""), F.lit(". The rarer one is probably a slip.")),
     )
 
 
@@ -146,10 +149,14 @@ def platform_badges(index: Index, rules: Rules) -> DataFrame:
     own = index.titles.where(text.after_artist(F.col("artist"), F.col("title")).isNull())
     bad = own.where("badge").withColumn("clean", text.strip_badges(F.col("title"))).where("clean <> '' and clean <> title")
     g = bad.groupBy("artist", "track_key", "clean").agg(
-        F.sum("n").alias("impact"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "seen", "title"))).alias("forms"), F.min("seen").alias("seen")
+        F.sum("n").alias("impact"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "seen", "title", "n"))).alias("forms"), F.min("seen").alias("seen")
+    )
+    plain = own.where("not badge").select("artist", "track_key", F.col("title").alias("clean"), F.col("n").alias("plain_n"))
+    g = g.join(plain, ["artist", "track_key", "clean"], "left").withColumn("known", F.col("plain_n").isNotNull())
+    shown = F.concat(
+        F.transform("forms", lambda f: item(f["title"], F.concat(plays(f["n"]), F.lit(", with a badge")))),
+        F.when(F.col("known"), F.array(item(F.col("clean"), plays(F.col("plain_n"))))).otherwise(F.array().cast(EVIDENCE)),
     )
-    plain = own.where("not badge").select("artist", "track_key", F.col("title").alias("clean"), F.lit(True).alias("known"))
-    g = g.join(plain, ["artist", "track_key", "clean"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     points = 55 + log_points(F.col("impact"), 9, 12) + F.when(F.col("known"), 0).otherwise(6)
     names = F.transform("forms", lambda f: f["title"])
     return finding(
@@ -158,6 +165,8 @@ def platform_badges(index: Index, rules: Rules) -> DataFrame:
         points=points, impact=F.col("impact"), current=F.array_join(names, JOINED), proposed=F.col("clean"), seen=F.col("seen"),
         signals=F.array(signal("strong", "The title carries a video page's badge")), warning=F.lit("If the video was played on purpose, leave it."),
         targets=F.transform(names, lambda t: target(F.col("artist"), t)), marks=F.transform(names, lambda t: mark("title", F.col("artist"), t)),
+        evidence=shown, shown=rules.evidence_items,
+        explanation=F.concat(F.lit("A badge tells of the upload, not of the song. "), F.when(F.col("known"), "The clean form is there as well.").otherwise("No play carries the clean form yet.")),
     )
 
 
@@ -177,4 +186,6 @@ def artist_in_title(index: Index, rules: Rules) -> DataFrame:
         title=F.concat(F.lit("Title repeats the artist: "), quoted(F.col("title"))), points=points, impact=F.col("n"),
         current=F.concat("artist", F.lit(" — "), "title"), proposed=F.col("kept"), seen=F.col("seen"), signals=said,
         targets=F.array(target(F.col("artist"), F.col("title"))), marks=F.array(mark("title", F.col("artist"), F.col("title"))),
+        evidence=F.array(item(F.col("title"), plays(F.col("n")))), shown=rules.evidence_items,
+        explanation=F.concat(F.lit("The artist field says "), quoted(F.col("artist")), F.lit(" already; video pages put the name into the title as well.")),
     )

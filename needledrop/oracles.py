@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
-from needledrop.functions import text as T
-from needledrop.labels import TYPES
-from needledrop.operators.long_tail import ODD_SPACES, UNSEEN
 from needledrop.sources.orders_log import DUCKDB
 
 
+class T:
+    """Fixed values, written here once more and by code points where they can be, so that a slip shows on one side only."""
+
+    DASHES = r"[\x{2010}-\x{2015}\x{2212}]"
+    SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+    INVISIBLE = r"[\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}\x{FFFD}]"
+    SINGLE_QUOTES = "".join(map(chr, (0x2018, 0x2019, 0x201B, 0x2032, 0x2B9, 0x2BB, 0x2BC, 0x2BD, 0x2BE, 0x2BF, 0x60, 0xB4)))
+    DOUBLE_QUOTES = "".join(map(chr, (0x201C, 0x201D, 0x2033, 0xAB, 0xBB)))
+    BADGE_CORE = "official|oficial|audio|video|lyric|lyrics|letra|letras|visual|visuals|visualizer|visualiser|mv|hd|hq|4k|8k".split("|")
+    BADGE_MORE = ["clip", "music", "full"]
+    VERSIONS = "|".join(
+        "live/en vivo/directo/acoustic/acustico/acustica/remix/remaster/remastered/remasterizado/instrumental/karaoke/cover/version/edicion/edit/extended/reprise/"
+        "demo/mono/stereo/radio edit/soundtrack/banda sonora/orchestral/orquesta/esc version/eurovision/junior/dancebreak/spanglish/spanish/english/italiano".split("/")
+    )
+    SEPARATORS = r"(?i)(?:,|;|\s+(?:&|y|vs\.?|feat\.?|featuring|with|\|)\s+)"
+    ARTICLES, FEATURING = "el|il|la|las|le|les|lo|los|the", "featuring|feat|ft|con"
+    ROMAN = "x{0,1}(?:ix|iv|v?i{1,3}|v)|x{1,2}"
+    BRACKETS, TAIL = r"[(\[{]([^)\]}]*)[)\]}]", r"\s+-\s+(.{2,})$"
+
+
+TYPES = {
+    "duplicate_artists": "Duplicate artists", "combined_artists": "Combined artists", "title_variants": "Inconsistent track titles", "artist_in_title": "Artist repeated in title",
+    "albums": "Albums", "duplicate_scrobbles": "Duplicate scrobbles", "long_tail": "Long tail and oddities",
+}
+ACTIONS = {
+    "rename_artist": "Rename artist", "split_combined": "Review combined artist", "rename_track": "Merge track title", "strip_artist_from_title": "Remove artist from title",
+    "fill_album": "Fill in album", "merge_album": "Merge album name", "review_album": "Review album", "review_capitalisation": "Review capitalisation",
+    "delete_duplicate": "Delete duplicate", "review_artist": "Review artist name", "review_track": "Review track title", "review": "Review",
+}
+ODD_SPACES = "[" + "".join(map(chr, (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))) + "]"
+UNSEEN = "[" + "".join(map(chr, (*range(0x200B, 0x2010), 0xFEFF))) + "]"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -40,6 +70,24 @@ def contains(h: str, n: str) -> str:
     return f"({n} <> '' AND {h} <> {n} AND contains(' ' || {h} || ' ', ' ' || {n} || ' '))"
 
 
+def num(x: str) -> str:
+    return "format('{:,}', " + x + ")"
+
+
+def said(*each: tuple[str, str]) -> str:
+    """The texts whose condition holds, as one."""
+    cases = ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in each)
+    return f"coalesce(array_to_string(list_filter([{cases}], lambda v: v IS NOT NULL), ' | '), '')"
+
+
+def day(ms: str) -> str:
+    return f"coalesce(replace(strftime(make_timestamp({ms} * 1000), '%d %b %Y'), ' Sep ', ' Sept '), '—')"
+
+
+def days(first: str, last: str) -> str:
+    return f"CASE WHEN {first} IS NULL THEN 'no date' ELSE {day(first)} || ' to ' || {day(last)} END"
+
+
 def points(x: str) -> str:
     return f"least(greatest(floor({x} + 0.5), 0), 100)::INTEGER"
 
@@ -96,6 +144,15 @@ def ms_score(v: str, n: str, last: str, newest: str, oldest: str) -> str:
     return f"({recent} + {SCORE.format(n=n, v=v)})"
 
 
+def titles_of(name: str) -> str:
+    """Shared titles as evidence for the pairs (id, x, y) of ``name``: {name}_items (id, items, total)."""
+    return f"""
+{name}_common AS (
+  SELECT p.id, a.title AS a, max(struct_pack(t := a.n + b.n, n := a.n, m := b.n)) AS t FROM {name} p JOIN tracks a ON a.artist = p.x JOIN tracks b ON b.artist = p.y AND b.track_key = a.track_key GROUP BY p.id, a.title),
+{name}_items AS (SELECT id, count(*) AS total, list(a || ': ' || {num('t.n')} || ' + ' || {num('t.m')} || ' plays' ORDER BY t.t DESC, a)[1:14] AS items FROM {name}_common GROUP BY id)"""
+
+
+NO_MORE = "'' AS alternatives, 0::BIGINT AS beyond"
 IDENTICAL = """
 same AS (
   SELECT a.artist AS x, b.artist AS y FROM artists a JOIN artists b ON a.key = b.key AND a.key <> '' AND (a.n > b.n OR (a.n = b.n AND a.artist < b.artist)))"""
@@ -134,7 +191,7 @@ pieces AS (SELECT artist, n, unnest(parts) AS part, generate_subscripts(parts, 1
 hits AS (
   SELECT p.artist, p.n, p.pos, p.part, o.artist AS base, o.key AS base_key, o.n AS base_n FROM pieces p JOIN artists o ON o.key = {artist_key('p.part')} AND o.artist <> p.artist
   QUALIFY row_number() OVER (PARTITION BY p.artist, p.pos ORDER BY o.n DESC, o.artist) = 1),
-based AS (SELECT artist, any_value(n) AS n, arg_min(part, pos) AS part, arg_min(base, pos) AS base, arg_min(base_key, pos) AS base_key, arg_min(base_n, pos) AS base_n, count(*) AS bases FROM hits GROUP BY artist),
+based AS (SELECT artist, any_value(n) AS n, arg_min(part, pos) AS part, arg_min(base, pos) AS base, arg_min(base_key, pos) AS base_key, arg_min(base_n, pos) AS base_n, count(*) AS bases, list('“' || base || '” (' || {num('base_n')} || ')' ORDER BY pos)[2:] AS more_bases FROM hits GROUP BY artist),
 resolved AS (SELECT * FROM based WHERE base_n >= 2 AND base_n >= 0.05::DOUBLE * n)"""
 SIMILAR = f"""
 eligible AS (SELECT artist, n, key, left(key, 1) AS initial FROM artists WHERE length(key) >= 5 AND len(parts) < 2),
@@ -166,8 +223,8 @@ of_track AS (
   SELECT artist, track_key, arg_max(title, (n, -seen)) AS title, sum(n)::BIGINT AS n, sum(missing)::BIGINT AS missing, min(seen) AS seen FROM (
     SELECT artist, track_key, title, count(*) AS n, min(i) AS seen, count(*) FILTER (WHERE album = '') AS missing FROM plays GROUP BY ALL) GROUP BY artist, track_key),
 on_albums AS (
-  SELECT t.*, a.albums, a.album, a.album_n, {key('a.album')} = s.track_key AS after_title FROM of_track t JOIN (
-    SELECT artist, track_key, count(*) AS albums, arg_max(album, (n, -seen)) AS album, max(n) AS album_n FROM track_albums GROUP BY artist, track_key) a USING (artist, track_key)
+  SELECT t.*, a.albums, a.album, a.album_n, a.all_albums, {key('a.album')} = s.track_key AS after_title FROM of_track t JOIN (
+    SELECT artist, track_key, count(*) AS albums, arg_max(album, (n, -seen)) AS album, max(n) AS album_n, list(album || ': ' || {num('n')} || ' play(s)' ORDER BY n DESC, seen) AS all_albums FROM track_albums GROUP BY artist, track_key) a USING (artist, track_key)
   JOIN spelled s ON s.title = t.title)"""
 REPEATED = f"""
 after AS (SELECT title, artist, CASE WHEN length(ak) >= 3 AND starts_with(strict, ak || ' ') AND regexp_matches(rest, '^\\s*[-–—:]\\s*\\S')
@@ -204,9 +261,12 @@ judged AS (
   FROM described GROUP BY artist, track_key, bucket),
 kept AS (SELECT *, CASE subtype WHEN 'version_marker' THEN plainest ELSE preferred END AS proposed FROM judged),
 varied AS (
-  SELECT k.artist, k.subtype, k.proposed, k.seen, k.k, list({target('k.artist', 'v.title')} ORDER BY v.seen) AS targets, string_agg(v.title, '  /  ' ORDER BY v.seen) AS current, sum(v.n)::BIGINT AS impact
+  SELECT k.artist, k.subtype, k.proposed, k.seen, k.k, list({target('k.artist', 'v.title')} ORDER BY v.seen) AS targets, string_agg(v.title, '  /  ' ORDER BY v.seen) AS current, sum(v.n)::BIGINT AS impact,
+    array_to_string(list(v.title ORDER BY v.n DESC, v.seen)[1:3], ' | ') AS alternatives, any_value(l.evidence) AS evidence
   FROM kept k JOIN variants v ON v.artist = k.artist AND v.track_key = k.track_key AND v.bucket IS NOT DISTINCT FROM k.bucket AND v.title <> k.proposed
-  GROUP BY ALL)"""
+  JOIN (SELECT artist, track_key, bucket, array_to_string(list(title || ': ' || {num('n')} || ' play(s)' ORDER BY seen)[1:14], ' | ') AS evidence FROM variants GROUP BY artist, track_key, bucket) l
+    ON l.artist = k.artist AND l.track_key = k.track_key AND l.bucket IS NOT DISTINCT FROM k.bucket
+  GROUP BY k.artist, k.track_key, k.bucket, k.subtype, k.proposed, k.seen, k.k)"""
 
 
 def select(select_sql: str, *ctes: str) -> str:
@@ -221,10 +281,12 @@ def log_points(x: str, times: int, most: int) -> str:
 def album_variants() -> str:
     spelled = f"lower(strip_accents(translate(album, {q(T.SINGLE_QUOTES + T.DOUBLE_QUOTES)}, {q(chr(39) * len(T.SINGLE_QUOTES) + chr(34) * len(T.DOUBLE_QUOTES))})))"
     return select(f"""
-SELECT seen, 'Album in ' || forms || ' forms: “' || artist || ' — ' || kept || '”' AS title, '' AS warning, targets, CASE WHEN capitals THEN 'case_only' ELSE 'name_variants' END AS subtype, current, kept AS proposed, impact,
+SELECT '' AS alternatives, greatest(forms - 14, 0)::BIGINT AS beyond, array_to_string(all_forms[1:14], ' | ') AS evidence,
+  {said(("capitals", "'The spellings differ in capitals only'"), ("NOT capitals", "'One album, written with different capitals, accents, quotes or spaces'"), ("true", "'Both are of one artist, “' || artist || '”'"))} AS signals,
+  seen, 'Album in ' || forms || ' forms: “' || artist || ' — ' || kept || '”' AS title, '' AS warning, targets, CASE WHEN capitals THEN 'case_only' ELSE 'name_variants' END AS subtype, current, kept AS proposed, impact,
   {points(f"CASE WHEN capitals THEN 44 + {log_points('impact', 6, 8)} ELSE 74 + {log_points('impact', 8, 10)} END")} AS points
-FROM (SELECT g.capitals, g.kept, g.seen, g.artist, g.forms, list({target('g.artist', album='a.album')} ORDER BY a.n DESC, a.seen) AS targets, string_agg(a.album, '  /  ' ORDER BY a.n DESC, a.seen) AS current, sum(a.n)::BIGINT AS impact FROM (
-    SELECT artist, album_key, count(*) AS forms, count(DISTINCT lower(album)) = 1 AS capitals, arg_max(album, (n, -seen)) AS kept, min(seen) AS seen FROM albums GROUP BY artist, album_key
+FROM (SELECT g.capitals, g.kept, g.seen, g.artist, g.forms, any_value(g.all_forms) AS all_forms, list({target('g.artist', album='a.album')} ORDER BY a.n DESC, a.seen) AS targets, string_agg(a.album, '  /  ' ORDER BY a.n DESC, a.seen) AS current, sum(a.n)::BIGINT AS impact FROM (
+    SELECT artist, album_key, count(*) AS forms, count(DISTINCT lower(album)) = 1 AS capitals, arg_max(album, (n, -seen)) AS kept, min(seen) AS seen, list(album || ': ' || {num('n')} || ' play(s)' ORDER BY n DESC, seen) AS all_forms FROM albums GROUP BY artist, album_key
     HAVING count(*) > 1 AND count(DISTINCT {spelled}) = 1) g
   JOIN albums a ON a.artist = g.artist AND a.album_key = g.album_key AND a.album <> g.kept GROUP BY g.artist, g.album_key, g.forms, g.capitals, g.kept, g.seen)""")
 
@@ -257,35 +319,52 @@ ORACLES = {
     "d_components": select("SELECT node, label FROM labels", IDENTICAL, INSIDE, MERGE, COMPONENTS),
     "e_similar_names": select(f"""
 SELECT *, -impact AS seen, '“' || current || '” → “' || proposed || '”' || CASE subtype WHEN 'similar_names' THEN '?' ELSE '' END AS title,
-  CASE subtype WHEN 'similar_names' THEN 'Alike names can be different artists, and these share no track.' ELSE '' END AS warning, [{target('current')}] AS targets
-FROM (SELECT CASE WHEN shared > 0 THEN 'similar_with_tracks' ELSE 'similar_names' END AS subtype, CASE WHEN keep_x THEN y ELSE x END AS current, CASE WHEN keep_x THEN x ELSE y END AS proposed,
+  CASE subtype WHEN 'similar_names' THEN 'Alike names can be different artists, and these share no track.' ELSE '' END AS warning, [{target('current')}] AS targets,
+  current AS alternatives, greatest(coalesce(total, 0) - 14, 0)::BIGINT AS beyond,
+  CASE WHEN shared > 0 THEN array_to_string(items, ' | ') ELSE '“' || x || '”: ' || {num('x_n')} || ' play(s), ' || {days('x_first', 'x_last')} || ' | “' || y || '”: ' || {num('y_n')} || ' play(s), ' || {days('y_first', 'y_last')} || ' | Tracks in common: 0' END AS evidence,
+  {said(("kind = 'ratio'", "'The names are ' || apart || ' character(s) apart'"), ("kind = 'abbreviation'", "'One word is the beginning of the other''s, the rest is equal'"),
+        ("shared > 0", "'They share ' || " + num('shared') + " || ' track(s)'"), ("mix > 0", num('mix') + " || ' play(s) of one fall within minutes of plays of the other'"),
+        ("renamed", "CASE WHEN x_last <= y_first THEN '“' || x || '” ends on ' || " + day('x_last') + " || ' and “' || y || '” begins on ' || " + day('y_first') + " ELSE '“' || y || '” ends on ' || " + day('y_last') + " || ' and “' || x || '” begins on ' || " + day('x_first') + " END || ', as after a rename'"),
+        ("true", "'“' || x || '” has ' || " + num('x_n') + " || ' play(s), “' || y || '” ' || " + num('y_n')), ("shared > 0 AND shared = fewest", "'Every track of one also exists under the other'"))} AS signals
+FROM (SELECT x, y, kind, apart, shared, mix, renamed, fewest, x_n, y_n, x_first, x_last, y_first, y_last, items, total, CASE WHEN shared > 0 THEN 'similar_with_tracks' ELSE 'similar_names' END AS subtype, CASE WHEN keep_x THEN y ELSE x END AS current, CASE WHEN keep_x THEN x ELSE y END AS proposed,
   {points('''CASE WHEN shared > 0 THEN 18 + 30 * ((shared + 0.5::DOUBLE) / (fewest + 1)) + 12 * (least(shared, 20) / 20) + 12 * (least(mix, 10) / 10) + 12 * strength
     + CASE WHEN renamed THEN 6 ELSE 0 END + CASE WHEN shared = fewest THEN 12 ELSE 0 END
     ELSE 22 + 26 * strength + 10 * (least(mix, 10) / 10) + CASE WHEN renamed THEN 8 ELSE 0 END END''')} AS points,
   CASE WHEN keep_x THEN y_n ELSE x_n END AS impact, CASE WHEN keep_x THEN x_n ELSE y_n END AS other_n
 FROM (SELECT *, {ms_score('x', 'x_n', 'x_last', 'greatest(x_last, y_last)', 'least(x_last, y_last)')} >= {ms_score('y', 'y_n', 'y_last', 'greatest(x_last, y_last)', 'least(x_last, y_last)')} AS keep_x
-  FROM (SELECT p.x, p.y, p.strength, coalesce(s.shared, 0) AS shared, coalesce(z.mix, 0) AS mix, a.n AS x_n, b.n AS y_n, a.last AS x_last, b.last AS y_last,
+  FROM (SELECT p.x, p.y, p.kind, p.apart, p.strength, coalesce(s.shared, 0) AS shared, coalesce(z.mix, 0) AS mix, a.n AS x_n, b.n AS y_n, a.last AS x_last, b.last AS y_last, a.first AS x_first, b.first AS y_first, e.items, e.total,
           least(a.n_tracks, b.n_tracks) AS fewest, a.last <= b.first OR b.last <= a.first AS renamed
-        FROM alike p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y LEFT JOIN alike_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN alike_mix z ON z.x = p.x AND z.y = p.y)))""",
-        SIMILAR, SHARED.format(name="alike"), MIX.format(name="alike")),
+        FROM alike p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y LEFT JOIN alike_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN alike_mix z ON z.x = p.x AND z.y = p.y LEFT JOIN alike_pairs_items e ON e.id = p.x || chr(31) || p.y)))""",
+        SIMILAR, SHARED.format(name="alike"), MIX.format(name="alike"), "alike_pairs AS (SELECT x || chr(31) || y AS id, x, y FROM alike)", titles_of("alike_pairs")),
     "e_combined_artists": select(f"""
 SELECT '' AS subtype, array_to_string(list_prepend(x, coalesce(siblings, [])), '  /  ') AS current, y AS proposed,
   {points('''55 + CASE WHEN leads THEN 0 ELSE -8 END + CASE WHEN bases > 1 THEN -6 ELSE 0 END + CASE WHEN n <= 5 THEN 12 ELSE 0 END + CASE WHEN base_n >= 20 THEN 8 ELSE 0 END
     + CASE WHEN near THEN 8 ELSE 0 END + CASE WHEN shared > 0 THEN 12 ELSE 0 END + CASE WHEN siblings IS NOT NULL THEN 4 ELSE 0 END''')} AS points,
   (n + coalesce(more, 0))::BIGINT AS impact, -n AS seen, '“' || x || '” → “' || y || '”' AS title,
   CASE WHEN leads THEN '' ELSE 'The name starts with “' || first_part || '”, which is no artist of its own here: check before renaming.' END AS warning,
-  list_transform(list_prepend(x, coalesce(siblings, [])), lambda v: {target('v')}) AS targets
-FROM (SELECT a.parts[1] AS first_part, p.x, p.y, r.n, r.base_n, r.bases, {artist_key('a.parts[1]')} = r.base_key AS leads, coalesce(s.shared, 0) AS shared,
+  list_transform(list_prepend(x, coalesce(siblings, [])), lambda v: {target('v')}) AS targets,
+  coalesce(array_to_string(list_filter(parts, lambda v: v <> part), ' | '), '') AS alternatives, coalesce(array_to_string(items, ' | '), '') AS evidence, greatest(coalesce(total, 0) - 14, 0)::BIGINT AS beyond,
+  {said(("true", "'The name joins several artists by “' || CASE WHEN contains(x, ',') THEN ',' WHEN regexp_matches(x, '\\s&\\s') THEN '&' ELSE 'several' END || '”'"),
+        ("true", "'“' || y || '” exists on its own with ' || " + num('base_n') + " || ' plays'"), ("NOT leads", "'The first artist of the name, “' || first_part || '”, is not there on its own'"),
+        ("bases > 1", "'More of its artists are there on their own: ' || array_to_string(more_bases, ', ')"), ("n <= 5", "'Only ' || " + num('n') + " || ' play(s) under the joined name'"),
+        ("near", "'Its plays fall close in time to those of the proposed artist'"), ("shared > 0", num('shared') + " || ' track(s) also exist under “' || y || '”'"),
+        ("siblings IS NOT NULL", "'The same name is also written as ' || array_to_string(list_transform(siblings, lambda v: '“' || v || '”'), ', ') || ', ' || " + num('more::BIGINT') + " || ' play(s)'"))} AS signals
+FROM (SELECT a.parts, r.part, e.items, e.total, r.more_bases, a.parts[1] AS first_part, p.x, p.y, r.n, r.base_n, r.bases, {artist_key('a.parts[1]')} = r.base_key AS leads, coalesce(s.shared, 0) AS shared,
         abs(coalesce(a.last, 0) - coalesce(b.first, 0)) < 604800000 OR coalesce(z.mix, 0) > 0 AS near, g.siblings, g.more
       FROM pairs_of p JOIN resolved r ON r.artist = p.x JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y
       LEFT JOIN pairs_of_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN pairs_of_mix z ON z.x = p.x AND z.y = p.y
-      LEFT JOIN (SELECT c.artist, list(o.artist ORDER BY o.n DESC, o.artist) AS siblings, sum(o.n) AS more FROM artists c JOIN artists o ON o.key = c.key AND o.artist <> c.artist WHERE len(c.parts) > 1 GROUP BY c.artist) g ON g.artist = p.x)""",
-        RESOLVE, "pairs_of AS (SELECT artist AS x, base AS y FROM resolved)", SHARED.format(name="pairs_of"), MIX.format(name="pairs_of")),
+      LEFT JOIN (SELECT c.artist, list(o.artist ORDER BY o.n DESC, o.artist) AS siblings, sum(o.n) AS more FROM artists c JOIN artists o ON o.key = c.key AND o.artist <> c.artist WHERE len(c.parts) > 1 GROUP BY c.artist) g ON g.artist = p.x LEFT JOIN pairs_of_items e ON e.id = p.x)""",
+        RESOLVE, "pairs_of AS (SELECT artist AS id, artist AS x, base AS y FROM resolved)", titles_of("pairs_of"), SHARED.format(name="pairs_of"), MIX.format(name="pairs_of")),
     "e_duplicate_artists": select(f"""
-SELECT CASE WHEN pairs > 1 THEN 'group' ELSE relation END AS subtype, string_agg(name, '  /  ' ORDER BY n DESC, name) AS current, target AS proposed, {points('points')} AS points, sum(n)::BIGINT AS impact, -sum(n)::BIGINT AS seen,
-  CASE WHEN count(*) = 1 THEN '“' || any_value(name) || '”' ELSE count(*) || ' forms of the same artist' END || ' → “' || target || '”' AS title, '' AS warning,
-  list({target('name')} ORDER BY n DESC, name) AS targets
-FROM (SELECT c.*, m.name, a.n FROM targets c JOIN members m USING (id) JOIN artists a ON a.artist = m.name) WHERE name <> target GROUP BY id, target, pairs, relation, points""",
+SELECT subtype, current, proposed, points, impact, seen, title, warning, targets, alternatives, coalesce(array_to_string(items, ' | '), '') AS evidence, greatest(coalesce(total, 0) - 14, 0)::BIGINT AS beyond,
+  array_to_string(list_append(sentences, CASE WHEN proposed <> canonical THEN '“' || canonical || '” itself joins several artists, so every form goes to “' || proposed || '”'
+    WHEN latest <> canonical THEN 'The latest play is under “' || latest || '” (' || {day('latest_ms')} || '), the most plays under “' || most || '” (' || {num('most_n')} || ')'
+    ELSE 'The latest play is under the form to keep, “' || canonical || '”' END), ' | ') AS signals
+FROM (SELECT id, canonical, CASE WHEN pairs > 1 THEN 'group' ELSE relation END AS subtype, string_agg(name, '  /  ' ORDER BY n DESC, name) AS current, target AS proposed, {points('points')} AS points, sum(n)::BIGINT AS impact, -sum(n)::BIGINT AS seen,
+    CASE WHEN count(*) = 1 THEN '“' || any_value(name) || '”' ELSE count(*) || ' forms of the same artist' END || ' → “' || target || '”' AS title, '' AS warning,
+    list({target('name')} ORDER BY n DESC, name) AS targets, string_agg(name, ' | ' ORDER BY n DESC, name) AS alternatives
+  FROM (SELECT c.*, m.name, a.n FROM targets c JOIN members m USING (id) JOIN artists a ON a.artist = m.name) WHERE name <> target GROUP BY id, canonical, target, pairs, relation, points)
+JOIN spoken USING (id) JOIN extremes USING (id) LEFT JOIN case_pairs_items USING (id)""",
         IDENTICAL, INSIDE, MERGE, COMPONENTS, RESOLVE, f"""
 at_label AS (SELECT s.*, coalesce(l.label, s.x) AS grp FROM scored s LEFT JOIN labels l ON l.node = s.x),
 counted AS (SELECT *, count(*) FILTER (WHERE strong) OVER (PARTITION BY grp) AS strongs FROM at_label),
@@ -296,45 +375,72 @@ cases AS (SELECT 'g:' || grp AS id, count(*) AS pairs, max(points) AS points, ma
 members AS (SELECT 'g:' || grp AS id, name, 0 AS place FROM grouped UNION ALL SELECT 'p:' || x || '|' || y, x, 0 FROM alone UNION ALL SELECT 'p:' || x || '|' || y, y, 1 FROM alone),
 ranked AS (SELECT m.*, a.n, a.last, max(a.last) OVER (PARTITION BY id) AS newest, min(a.last) OVER (PARTITION BY id) AS oldest FROM members m JOIN artists a ON a.artist = m.name),
 chosen AS (SELECT id, arg_max(name, ({ms_score('name', 'n', 'last', 'newest', 'oldest')}, -place, n, name)) AS canonical FROM ranked GROUP BY id),
+extremes AS (
+  SELECT id, arg_max(name, (coalesce(last, 0), n, name)) AS latest, arg_max(last, (coalesce(last, 0), n, name)) AS latest_ms, arg_max(name, (n, name)) AS most, max(n) AS most_n FROM ranked GROUP BY id),
+case_pairs AS (SELECT 'g:' || grp AS id, * FROM counted WHERE strongs > 1 UNION ALL SELECT 'p:' || x || '|' || y, * FROM alone),
+{titles_of('case_pairs')},
+pair_texts AS (
+  SELECT p.id, p.points, p.x, p.y, row_number() OVER (PARTITION BY p.id ORDER BY p.points DESC, p.x, p.y) AS place, list_filter([
+    CASE p.relation WHEN 'identical' THEN 'Only capitals, accents or punctuation tell “' || p.x || '” from “' || p.y || '”' ELSE '“' || p.y || '” has all words of “' || p.x || '”' END,
+    'They share ' || {num('p.shared')} || ' of ' || {num('p.min_tracks')} || ' track(s), ' || floor(p.shared / p.min_tracks * 100 + 0.5::DOUBLE)::BIGINT || '%',
+    CASE WHEN p.shared = p.min_tracks AND p.shared > 0 THEN CASE WHEN a.n_tracks <= b.n_tracks THEN 'Every track of “' || p.x || '” is also under “' || p.y || '”' ELSE 'Every track of “' || p.y || '” is also under “' || p.x || '”' END END,
+    CASE WHEN p.mix > 0 THEN {num('p.mix')} || ' play(s) of one fall within minutes of plays of the other' END,
+    CASE WHEN p.min_tracks < 3 THEN 'A small sample: “' || CASE WHEN a.n_tracks <= b.n_tracks THEN p.x ELSE p.y END || '” has ' || {num('p.min_tracks')} || ' track(s)' END,
+    CASE WHEN least(a.last, b.last) > greatest(a.first, b.first) AND a.first IS NOT NULL AND b.first IS NOT NULL
+      THEN 'Both were played between ' || {day('greatest(a.first, b.first)')} || ' and ' || {day('least(a.last, b.last)')} END], lambda v: v IS NOT NULL) AS texts
+  FROM case_pairs p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y),
+pair_text AS (SELECT id, t, min(100 * place + k) AS nth FROM (SELECT id, place, unnest(texts) AS t, generate_subscripts(texts, 1) AS k FROM pair_texts WHERE place <= 9) GROUP BY id, t),
+spoken AS (SELECT id, list(t ORDER BY nth)[1:9] AS sentences FROM pair_text GROUP BY id),
 targets AS (
-  SELECT c.*, CASE WHEN r.base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM members m WHERE m.id = h.id AND m.name = r.base) THEN r.base ELSE h.canonical END AS target
+  SELECT c.*, h.canonical, CASE WHEN r.base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM members m WHERE m.id = h.id AND m.name = r.base) THEN r.base ELSE h.canonical END AS target
   FROM cases c JOIN chosen h USING (id) LEFT JOIN resolved r ON r.artist = h.canonical)"""),
     "e_title_variants": select(f"""
-SELECT subtype, current, proposed, impact, seen, '“' || artist || '” — ' || k || ' forms of one title' AS title, targets,
+SELECT alternatives, evidence, greatest(k - 14, 0)::BIGINT AS beyond, CASE subtype WHEN 'featuring' THEN 'One form has the featuring credit, the other has not' WHEN 'case_only' THEN 'The forms differ in capitals only' WHEN 'qualifier_formatting' THEN 'The same qualifier, in brackets in one form and after a dash in the other' WHEN 'formatting' THEN 'Equal but for accents, quotes or spaces' WHEN 'version_marker' THEN 'One form says that it is another recording' WHEN 'one_qualified' THEN 'One form has a qualifier, the other has none' WHEN 'different_qualifiers' THEN 'The qualifiers differ' END AS signals, subtype, current, proposed, impact, seen, '“' || artist || '” — ' || k || ' forms of one title' AS title, targets,
   CASE WHEN subtype IN ('version_marker', 'different_qualifiers') THEN 'These may be different recordings: compare them before merging.' ELSE '' END AS warning,
   {points("CASE subtype WHEN 'featuring' THEN 55 WHEN 'case_only' THEN 44 WHEN 'qualifier_formatting' THEN 78 WHEN 'formatting' THEN 85 WHEN 'version_marker' THEN 40 WHEN 'one_qualified' THEN 52 ELSE 38 END + " + log_points('impact', 6, 8))} AS points
 FROM varied""", VARIANTS),
     "e_title_typos": select(f"""
-SELECT 'typo' AS subtype, rare AS current, common AS proposed, -n AS seen, 'Is “' || rare || '” really “' || common || '”?' AS title, '' AS warning, [{target('artist', 'rare')}] AS targets, {points("38 + CASE WHEN apart = 1 THEN 14 ELSE 7 END + CASE WHEN shared THEN 16 ELSE 0 END + CASE WHEN shared AND n = 1 THEN 6 ELSE 0 END")} AS points, n AS impact
-FROM (SELECT a.artist, a.n, a.title AS rare, b.title AS common, levenshtein(a.track_key, b.track_key) AS apart,
+SELECT {NO_MORE}, rare || ': ' || {num('n')} || ' play(s), the rarer form | ' || common || ': ' || {num('m')} || ' play(s), the proposed form' AS evidence,
+  {said(("true", "'The titles are ' || apart || ' character(s) apart'"), ("shared", "'Both are on the album “' || on_album || '”'"))} AS signals, 'typo' AS subtype, rare AS current, common AS proposed, -n AS seen, 'Is “' || rare || '” really “' || common || '”?' AS title, '' AS warning, [{target('artist', 'rare')}] AS targets, {points("38 + CASE WHEN apart = 1 THEN 14 ELSE 7 END + CASE WHEN shared THEN 16 ELSE 0 END + CASE WHEN shared AND n = 1 THEN 6 ELSE 0 END")} AS points, n AS impact
+FROM (SELECT a.artist, a.n, b.n AS m, (SELECT arg_min(p.album, p.seen) FROM track_albums p JOIN track_albums r ON r.artist = p.artist AND r.album = p.album WHERE p.artist = a.artist AND p.track_key = a.track_key AND r.track_key = b.track_key) AS on_album, a.title AS rare, b.title AS common, levenshtein(a.track_key, b.track_key) AS apart,
         EXISTS (SELECT 1 FROM track_albums p JOIN track_albums r ON r.artist = p.artist AND r.album = p.album WHERE p.artist = a.artist AND p.track_key = a.track_key AND r.track_key = b.track_key) AS shared
       FROM fit a JOIN fit b ON a.artist = b.artist AND left(a.track_key, 1) = left(b.track_key, 1) AND a.n < b.n AND a.n <= 3 AND a.track_key <> b.track_key AND a.stripped <> b.stripped
       WHERE levenshtein(a.track_key, b.track_key) <= 2) WHERE apart <= 1 OR shared""",
         f"fit AS (SELECT *, {STRIPPED_ROMAN} AS stripped FROM tracks WHERE length(track_key) >= 4 AND NOT versioned AND NOT {VERSION.format('track_key')})"),
     "e_platform_badges": select(f"""
-SELECT 'platform_badge' AS subtype, min(g.seen) AS seen, count(*) || ' video-page form(s) of “' || g.clean || '”' AS title, 'If the video was played on purpose, leave it.' AS warning,
+SELECT '' AS alternatives, greatest(count(*) + count(DISTINCT p.title) - 14, 0)::BIGINT AS beyond, 'The title carries a video page''s badge' AS signals,
+  array_to_string(list_concat(list(g.title || ': ' || {num('g.n')} || ' play(s), with a badge' ORDER BY g.n DESC, g.seen), CASE WHEN any_value(p.title) IS NULL THEN [] ELSE [g.clean || ': ' || {num('any_value(p.n)')} || ' play(s)'] END)[1:14], ' | ') AS evidence,
+  'platform_badge' AS subtype, min(g.seen) AS seen, count(*) || ' video-page form(s) of “' || g.clean || '”' AS title, 'If the video was played on purpose, leave it.' AS warning,
   list({target('g.artist', 'g.title')} ORDER BY g.n DESC, g.seen) AS targets, string_agg(g.title, '  /  ' ORDER BY g.n DESC, g.seen) AS current, g.clean AS proposed, sum(g.n)::BIGINT AS impact,
   {points(f"55 + {log_points('sum(g.n)', 9, 12)} + CASE WHEN bool_or(p.title IS NOT NULL) THEN 0 ELSE 6 END")} AS points
 FROM (SELECT t.*, {strip_badges('s.nt')} AS clean FROM titles t JOIN spelled s ON s.title = t.title JOIN after r ON r.artist = t.artist AND r.title = t.title WHERE r.rest IS NULL AND t.badge) g
 LEFT JOIN (SELECT t.* FROM titles t JOIN after r ON r.artist = t.artist AND r.title = t.title WHERE r.rest IS NULL AND NOT t.badge) p ON p.artist = g.artist AND p.track_key = g.track_key AND p.title = g.clean
 WHERE g.clean <> '' AND g.clean <> g.title GROUP BY g.artist, g.track_key, g.clean""", REPEATED),
     "e_artist_in_title": select(f"""
-SELECT '' AS subtype, seen, 'Title repeats the artist: “' || title || '”' AS title, '' AS warning, [{target('artist', 'title')}] AS targets, artist || ' — ' || title AS current, CASE WHEN stripped = '' THEN rest ELSE stripped END AS proposed, n AS impact, {points(f"62 + {log_points('n', 12, 20)} + CASE WHEN n > 5 THEN 6 ELSE 0 END")} AS points
+SELECT {NO_MORE}, title || ': ' || {num('n')} || ' play(s)' AS evidence,
+  {said(("true", "'The title begins with the artist''s name'"), ("CASE WHEN stripped = '' THEN rest ELSE stripped END <> rest", "'It also ends with a video page''s badge'"), ("true", num('n') + " || ' play(s) with this form'"))} AS signals,
+  '' AS subtype, seen, 'Title repeats the artist: “' || title || '”' AS title, '' AS warning, [{target('artist', 'title')}] AS targets, artist || ' — ' || title AS current, CASE WHEN stripped = '' THEN rest ELSE stripped END AS proposed, n AS impact, {points(f"62 + {log_points('n', 12, 20)} + CASE WHEN n > 5 THEN 6 ELSE 0 END")} AS points
 FROM (SELECT p.artist, p.title, r.rest, {strip_badges('r.rest')} AS stripped, count(*) AS n, min(p.i) AS seen FROM plays p JOIN after r ON r.artist = p.artist AND r.title = p.title WHERE r.rest IS NOT NULL GROUP BY ALL)""", REPEATED),
     "e_album_missing": select(f"""
-SELECT 'missing' AS subtype, seen, 'No album: “' || artist || ' — ' || title || '”' AS title,
+SELECT '' AS alternatives, greatest(albums + 1 - 14, 0)::BIGINT AS beyond, array_to_string(list_append(all_albums, '(no album): ' || {num('missing')} || ' play(s)')[1:14], ' | ') AS evidence,
+  {said(("true", num('missing') + " || ' play(s) of this track have no album'"), ("true", num('n - missing') + " || ' have one, most often “' || album || '”'"), ("after_title", "'The album is named after the track'"))} AS signals, 'missing' AS subtype, seen, 'No album: “' || artist || ' — ' || title || '”' AS title,
   CASE WHEN after_title THEN 'An album named after its track is often a wrong tag: check before filling it in.' ELSE '' END AS warning, [{target('artist', 'title')}] AS targets, title AS current, album AS proposed, missing AS impact,
   {points("CASE WHEN after_title THEN 52 ELSE 78 + CASE WHEN missing >= 3 THEN 8 ELSE 0 END + CASE WHEN album_n / (n - missing) >= 0.8::DOUBLE THEN 6 ELSE 0 END END")} AS points
 FROM on_albums WHERE missing > 0""", TRACKED),
     "e_album_clash": select(f"""
-SELECT 'clash' AS subtype, seen, 'Several albums: “' || artist || ' — ' || title || '”' AS title, '' AS warning, [{target('artist', 'title')}] AS targets, title AS current, album AS proposed, impact, {points(f"CASE WHEN after_title THEN least({{0}}, 44.0::DOUBLE) ELSE {{0}} END".format('(48 + ' + log_points('impact', 6, 10) + ')'))} AS points
+SELECT '' AS alternatives, greatest(albums - 14, 0)::BIGINT AS beyond, array_to_string(all_albums[1:14], ' | ') AS evidence,
+  {said(("true", "'The title is on ' || " + num('albums') + " || ' albums'"), ("true", "'The most frequent one is “' || album || '”'"))} AS signals,
+  'clash' AS subtype, seen, 'Several albums: “' || artist || ' — ' || title || '”' AS title, CASE WHEN after_title THEN 'An album named after its track is often a wrong tag: check which one is right.' ELSE '' END AS warning, [{target('artist', 'title')}] AS targets, title AS current, album AS proposed, impact, {points(f"CASE WHEN after_title THEN least({{0}}, 44.0::DOUBLE) ELSE {{0}} END".format('(48 + ' + log_points('impact', 6, 10) + ')'))} AS points
 FROM (SELECT *, n - album_n - missing AS impact FROM on_albums WHERE albums > 1) WHERE impact >= 3""", TRACKED),
     "e_album_name_variants": album_variants(),
-    "e_duplicate_plays": select(f"SELECT '' AS subtype, start AS seen, since, plays || ' times in a row: “' || artist || ' — ' || title || '”' AS finding_title, '' AS warning, [{target('artist', 'title')}] AS targets, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
+    "e_duplicate_plays": select(f"SELECT '' AS alternatives, greatest(plays - 14, 0)::BIGINT AS beyond, 'The closest two are ' || CASE WHEN gap_ms < 59500 THEN floor(gap_ms / 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT || ' sec' ELSE '1.0 min' END || ' apart' AS signals, (SELECT string_agg(replace(strftime(make_timestamp(p.ts_ms * 1000), '%d %b %Y, %H:%M'), ' Sep ', ' Sept ') || ': ' || CASE p.album WHEN '' THEN '(no album)' ELSE p.album END || CASE WHEN p.i = start THEN ', to keep' ELSE '' END, ' | ' ORDER BY p.i) FROM plays p WHERE p.i BETWEEN start AND start + least(runs.plays, 14) - 1) AS evidence, '' AS subtype, start AS seen, since, plays || ' times in a row: “' || artist || ' — ' || title || '”' AS finding_title, '' AS warning, [{target('artist', 'title')}] AS targets, plays || ' consecutive plays' AS current, 'keep 1' AS proposed, plays - 1 AS impact, CASE WHEN gap_ms <= 15000 THEN 92 ELSE 74 END::INTEGER AS points, artist, title FROM runs", RUNS),
     "e_longtail_typo": select(f"""
-SELECT 'possible_typo' AS subtype, x AS current, y AS proposed, n AS impact, -n AS seen, 'Is “' || x || '” really “' || y || '”?' AS title, '' AS warning, [{target('x')}] AS targets,
+SELECT {NO_MORE}, '“' || x || '”: ' || {num('n')} || ' play(s), ' || {days('x_first', 'x_last')} || ' | “' || y || '”: ' || {num('y_n')} || ' play(s), ' || {days('y_first', 'y_last')} || ' | Tracks in common: ' || {num('shared')} AS evidence,
+  {said(("inner_name", "'The name is part of “' || y || '”'"), ("NOT inner_name", "'It is ' || apart || ' character(s) from “' || y || '”'"), ("shared > 0", "'They share ' || " + num('shared') + " || ' track(s)'"),
+        ("mix > 0", num('mix') + " || ' play(s) fall within minutes of plays of the other'"), ("length(xk) <= 4 AND apart > 0 AND NOT inner_name", "'The name is very short'"), ("garbled", "'The name holds unusual characters'"), ("true", "'Only ' || " + num('n') + " || ' play(s)'"))} AS signals,
+  'possible_typo' AS subtype, x AS current, y AS proposed, n AS impact, -n AS seen, 'Is “' || x || '” really “' || y || '”?' AS title, '' AS warning, [{target('x')}] AS targets,
   {points("25 + CASE WHEN inner_name THEN 20 WHEN apart = 1 THEN 15 ELSE 8 END + CASE WHEN shared > 0 THEN 20 ELSE 0 END + CASE WHEN mix > 0 THEN 15 ELSE 0 END - CASE WHEN length(xk) <= 4 AND apart > 0 AND NOT inner_name THEN 10 ELSE 0 END + CASE WHEN garbled THEN 20 ELSE 0 END")} AS points
-FROM (SELECT p.x, p.y, p.apart, a.n, a.key AS xk, coalesce(s.shared, 0) AS shared, coalesce(z.mix, 0) AS mix, {contains('b.key', 'a.key')} AS inner_name, regexp_matches(p.x, '[^\\p{{L}}\\p{{N}}\\s''&.,\\-]') AS garbled
+FROM (SELECT p.x, p.y, p.apart, a.n, b.n AS y_n, a.first AS x_first, a.last AS x_last, b.first AS y_first, b.last AS y_last, a.key AS xk, coalesce(s.shared, 0) AS shared, coalesce(z.mix, 0) AS mix, {contains('b.key', 'a.key')} AS inner_name, regexp_matches(p.x, '[^\\p{{L}}\\p{{N}}\\s''&.,\\-]') AS garbled
       FROM nearest p JOIN artists a ON a.artist = p.x JOIN artists b ON b.artist = p.y LEFT JOIN nearest_shared s ON s.x = p.x AND s.y = p.y LEFT JOIN nearest_mix z ON z.x = p.x AND z.y = p.y)
 WHERE (apart <= 2 OR inner_name) AND (shared > 0 OR garbled)""", NEAREST, SHARED.format(name="nearest"), MIX.format(name="nearest")),
     "e_hygiene": select("SELECT problem, count(*) AS n FROM (" + " UNION ALL ".join(
@@ -346,6 +452,12 @@ WHERE (apart <= 2 OR inner_name) AND (shared > 0 OR garbled)""", NEAREST, SHARED
     "f_meta": select(f"SELECT count(*) AS plays, count(ts_ms) AS dated, min(ts_ms) AS from_ms, max(ts_ms) AS to_ms, (SELECT count(*) FROM artists) AS artists, (SELECT count(*) FROM (SELECT DISTINCT artist, track_key FROM plays)) AS tracks, (SELECT count(DISTINCT {key('album')}) FROM plays WHERE album <> '') AS albums FROM plays"),
 }
 
+UNTIDY = select("SELECT problem, sum(n)::BIGINT AS n, list(value ORDER BY seen, value)[1:8] AS examples FROM (SELECT problem, value, count(*) AS n, min(i) AS seen FROM (" + " UNION ALL ".join(
+        [f"SELECT i, '{name} the {f}' AS problem, {f} AS value FROM plays WHERE {f} <> '' AND {test.format(f)}" for f in ("artist", "title", "album") for name, test in (
+            ("leading or trailing spaces in", "{0} <> trim({0})"), ("double spaces in", "regexp_matches({0}, '\\s{{2,}}')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
+        + [f"SELECT i, 'scrobbles with no {f}', '(empty)' FROM plays WHERE {f} = ''" for f in ("artist", "title", "album")]) + ") GROUP BY problem, value) GROUP BY problem")
+EMPTY = select("SELECT artist, title, n, seen FROM (SELECT artist, title, count(*) AS n, min(i) AS seen FROM plays WHERE album = '' GROUP BY artist, title) ORDER BY n DESC, seen LIMIT 40")
+
 #: The detectors' SQL with all that the report shows, in the order in which equal findings are listed, and the type of each.
 KINDS = {
     "e_duplicate_artists": (1, "duplicate_artists"), "e_similar_names": (2, "duplicate_artists"), "e_combined_artists": (3, "combined_artists"),
@@ -359,16 +471,20 @@ ORACLES["e_duplicate_plays"] = f"SELECT subtype, current, proposed, points, impa
 
 def _report() -> str:
     """The report's findings from the detectors' SQL: what joined names cover is left out, as are weak ones and album spellings past the cap."""
-    columns = "subtype, current, proposed, points, impact, seen, title, warning, targets, {} AS since"
+    columns = "subtype, current, proposed, points, impact, seen, title, warning, targets, alternatives, signals, evidence, beyond, {} AS since"
     named = DETAILED | {"e_duplicate_plays": f"SELECT * EXCLUDE (title, finding_title), finding_title AS title FROM ({DETAILED['e_duplicate_plays']})"}
     named["e_album_name_variants"] = f"SELECT * FROM ({named['e_album_name_variants']}) ORDER BY impact DESC, seen LIMIT 60"
     parts = [f"SELECT {n} AS detector, '{kind}' AS type, {columns.format('since' if name == 'e_duplicate_plays' else 'NULL::BIGINT')} FROM ({named[name]})" for name, (n, kind) in KINDS.items()]
     messy, commas = "problem <> 'scrobbles with no album'", "format('{:,}', n)"
-    note = "SELECT {} AS detector, 'long_tail' AS type, '{}' AS subtype, {} AS current, {} AS proposed, {} AS points, {} AS impact, 0 AS seen, {} AS title, '' AS warning, [] AS targets, NULL::BIGINT AS since FROM ({}) WHERE n > 0"
+    note = "SELECT {} AS detector, 'long_tail' AS type, '{}' AS subtype, {} AS current, {} AS proposed, {} AS points, {} AS impact, 0 AS seen, {} AS title, '' AS warning, [] AS targets, '' AS alternatives, {} AS signals, {} AS evidence, 0::BIGINT AS beyond, NULL::BIGINT AS since FROM ({}) WHERE n > 0"
+    shown = f"array_to_string(list(problem || ': ' || {num('n')} || ': ' || array_to_string(list_transform(examples, lambda v: '“' || v || '”'), ', ') ORDER BY n DESC, problem), ' | ')"
     notes = [
-        note.format(12, "hygiene", "'various tags'", "'(normalise)'", 70, "n", f"'Untidy text: ' || {commas} || ' plays'", f"SELECT sum(n)::BIGINT AS n FROM ({ORACLES['e_hygiene']}) WHERE {messy}"),
-        note.format(13, "empty", f"{commas} || ' scrobbles with no album'", "'(only if you know which one)'", 45, 0, f"{commas} || ' scrobbles with no album'", f"SELECT n FROM ({ORACLES['e_hygiene']}) WHERE NOT {messy}"),
-        note.format(14, "rare_artists", f"{commas} || ' artists'", "'(review by hand)'", 0, 0, f"{commas} || ' artists with 2 scrobble(s) or fewer'", f"SELECT count(*) AS n FROM ({ORACLES['e_rare_artists']})"),
+        note.format(12, "hygiene", "'various tags'", "'(normalise)'", 70, "n", f"'Untidy text: ' || {commas} || ' plays'", "said", "shown",
+                    f"SELECT sum(n)::BIGINT AS n, {shown} AS shown, array_to_string(list({num('n')} || ' × ' || problem ORDER BY n DESC, problem)[1:6], ' | ') AS said FROM ({UNTIDY}) WHERE {messy}"),
+        note.format(13, "empty", f"{commas} || ' scrobbles with no album'", "'(only if you know which one)'", 45, 0, f"{commas} || ' scrobbles with no album'", "'A missing album need not be a mistake'",
+                    f"(SELECT string_agg(CASE WHEN artist = '' THEN ' — ' || title ELSE artist || ' — ' || title END || ': ' || {num('n')}, ' | ' ORDER BY n DESC, seen) FROM ({EMPTY}))", f"SELECT n FROM ({ORACLES['e_hygiene']}) WHERE NOT {messy}"),
+        note.format(14, "rare_artists", f"{commas} || ' artists'", "'(review by hand)'", 0, 0, f"{commas} || ' artists with 2 scrobble(s) or fewer'", "'Misspellings often hide here'",
+                    f"(SELECT string_agg(artist || ': ' || {num('n')}, ' | ' ORDER BY n DESC, artist) FROM (SELECT * FROM ({ORACLES['e_rare_artists']}) ORDER BY n DESC, artist LIMIT 400))", f"SELECT count(*) AS n FROM ({ORACLES['e_rare_artists']})"),
     ]
     order = ", ".join(f"'{t}'" for t in TYPES)
     return f"""
@@ -427,6 +543,11 @@ SELECT DISTINCT i FROM (
     WHERE a.detector = 8 AND CASE a.subtype WHEN 'missing' THEN l.album = '' ELSE l.album NOT IN ('', a.proposed) END
   UNION ALL SELECT l.i FROM aimed a JOIN (SELECT DISTINCT album, album_key FROM log) s ON s.album = a.album JOIN log l ON l.artist = a.artist AND l.album_key = s.album_key WHERE a.detector = 9
   UNION ALL SELECT unnest(generate_series(seen + 1, seen + impact)) FROM aimed WHERE detector = 10)""",
+    "g_actions_csv": _REPORT + f"""
+SELECT place, type, subtype, confidence, points::INTEGER AS points, CASE action {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items())} END AS action, CASE WHEN actionable THEN 'yes' ELSE 'no' END AS actionable, impact::BIGINT AS impact_scrobbles,
+  current AS current_value, proposed AS proposed_value, alternatives, signals, 'pending' AS decision, evidence FROM findings""",
+    "e_evidence": _REPORT + "SELECT place, type, subtype, current, proposed, evidence, beyond FROM findings",
+    "e_signals": _REPORT + "SELECT place, type, subtype, current, proposed, signals FROM findings",
     "g_profile_urls": _REPORT + f"""
 SELECT place, concat_ws(' — ', t.artist, coalesce(t.track, t.album)) AS label, CASE WHEN t.artist = '' THEN '' ELSE 'https://example.org/user/someone/library/music/' || {_ENCODED.format('t.artist')}
        || CASE WHEN t.track IS NOT NULL THEN '/_/' || {_ENCODED.format('t.track')} WHEN t.album IS NOT NULL THEN '/' || {_ENCODED.format('t.album')} ELSE '' END END AS url
@@ -437,10 +558,7 @@ SELECT subtype, proposed AS current, current AS proposed, other_n AS impact, CAS
   WHEN 'similar_with_tracks' THEN 'Change the artist of ' || format('{{:,}}', other_n) || ' play(s) from “' || proposed || '” to “' || current || '”; look at one of them first.'
   ELSE '“' || proposed || '” and “' || current || '” look alike but share no track: make sure before changing ' || format('{{:,}}', other_n) || ' play(s).' END AS how_to FROM own""",
     "c_canonical_rules": select("SELECT key, arg_max(artist, (coalesce(last, 0), n, artist)) AS recent, arg_max(artist, (n, artist)) AS frequent FROM artists GROUP BY key"),
-    "e_hygiene_examples": select("SELECT problem, sum(n)::BIGINT AS n, array_to_string(list(value ORDER BY seen, value)[1:8], ' | ') AS examples FROM (SELECT problem, value, count(*) AS n, min(i) AS seen FROM (" + " UNION ALL ".join(
-        [f"SELECT i, '{name} the {f}' AS problem, {f} AS value FROM plays WHERE {f} <> '' AND {test.format(f)}" for f in ("artist", "title", "album") for name, test in (
-            ("leading or trailing spaces in", "{0} <> trim({0})"), ("double spaces in", "regexp_matches({0}, '\\s{{2,}}')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
-        + [f"SELECT i, 'scrobbles with no {f}', '(empty)' FROM plays WHERE {f} = ''" for f in ("artist", "title", "album")]) + ") GROUP BY problem, value) GROUP BY problem"),
+    "e_hygiene_examples": f"SELECT problem, n, array_to_string(examples, ' | ') AS examples FROM ({UNTIDY})",
     "b_display": select("""
 SELECT i, format('{:,}', ts_ms) AS number, floor((i % 1000) / 1000.0::DOUBLE * 100 + 0.5::DOUBLE)::BIGINT || '%' AS percent, upper(left(title, 1)) || substr(title, 2) AS capitalised,
   replace(strftime(make_timestamp(ts_ms * 1000), '%d %b %Y'), ' Sep ', ' Sept ') AS day, replace(strftime(make_timestamp(ts_ms * 1000), '%d %b %Y, %H:%M'), ' Sep ', ' Sept ') AS minute,

@@ -151,6 +151,10 @@ def _trimmed(audit: Audit) -> DataFrame:
     return audit.index.plays.sparkSession.createDataFrame(list(audit.trimmed.items()), "counter string, n bigint")
 
 
+def _joined(column: str, *parts: str):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(": ", *(x[p] for p in parts))), " | ")
+
+
 def _report(make: Callable[[Audit], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(audit_of(spark, sf_dir))
 
@@ -200,6 +204,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e_hygiene_examples": _of_index(lambda ix: long_tail.untidy(ix).withColumn("examples", F.array_join("examples", " | "))),
         "e_empty_albums": _of_index(lambda ix: long_tail.empty_albums(ix).drop("seen")),
         "e_rare_artists": _of_index(lambda ix: long_tail.rare_artists(ix, RULES).select("artist", "n", F.col("first").alias("first_ms"), F.col("last").alias("last_ms"))),
+        "e_evidence": _report(lambda a: a.findings.select("place", "type", "subtype", "current", "proposed", _joined("evidence", "a", "b").alias("evidence"), "beyond")),
+        "e_signals": _report(lambda a: a.findings.select("place", "type", "subtype", "current", "proposed", _joined("signals", "text").alias("signals"))),
         "f_meta": _report(lambda a: a.meta),
         "f_findings": _report(lambda a: a.findings.select(*shown)),
         "f_summary_by_type": _report(lambda a: a.summary),

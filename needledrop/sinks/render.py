@@ -73,12 +73,12 @@ def blocks(audit: Audit, base: str | None = None, user: str | None = None) -> Da
     heading = F.when(F.col("place") == F.col("first"), F.concat(F.lit("## "), label_of(labels.TYPES, F.col("type")), F.lit("\n")))
     kinds = {f"{a}:{b}": v for (a, b), v in labels.SUBTYPES.items()}
     kind = F.concat(F.lit("*"), label_of(kinds, F.concat_ws(":", "type", "subtype")), F.lit("* · "), F.col("points").cast("string"), F.lit("/100 ("), "confidence", F.lit(") · "), F.format_number("impact", 0), F.lit(" play(s)\n"))
+    why = F.when(F.col("explanation") != "", F.concat(escaped(F.col("explanation")), F.lit("\n")))
     items = lambda c, of: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), escaped(of(x)))), "\n")
-    most = F.when(F.col("subtype").isin("empty", "rare_artists"), F.lit(audit.rules.table_rows)).otherwise(F.lit(audit.rules.evidence_items))
-    more = F.when(F.size("evidence") > most, F.concat(F.lit("- and "), F.format_number(F.size("evidence") - most, 0), F.lit(" more")))
+    more = F.when(F.col("beyond") > 0, F.concat(F.lit("- and "), F.format_number("beyond", 0), F.lit(" more")))
     parts = [
-        heading, F.concat(F.lit("### "), escaped(F.col("title")), F.lit("\n")), kind, items(F.col("signals"), lambda x: x["text"]),
-        items(F.slice("evidence", F.lit(1), most), lambda x: F.concat_ws(": ", x["a"], x["b"])), more,
+        heading, F.concat(F.lit("### "), escaped(F.col("title")), F.lit("\n")), kind, why, items(F.col("signals"), lambda x: x["text"]),
+        items(F.col("evidence"), lambda x: F.concat_ws(": ", x["a"], x["b"])), more,
         F.when(F.col("how_to") != "", F.concat(F.lit("- "), "how_to")), F.when(F.col("warning") != "", F.concat(F.lit("- "), "warning")),
         *([items(F.filter("urls", lambda u: u != ""), lambda u: F.concat(F.lit("<"), u, F.lit(">")))] if base and user else []),
     ]
