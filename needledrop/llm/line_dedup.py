@@ -2,9 +2,9 @@
 
 Lines are exploded with their positions; a line's key (stripped of white space, A-Z lower-cased) is hashed to 128 bits; for each
 hash the distinct documents are counted, and keys over the threshold lose their lines but for those of the largest id that holds
-them. A document is put together again from the runs of lines between the positions that go, so whole texts are never
-exploded again, and only hashes, ids and positions are shuffled by key; a key that many documents hold is counted from one row
-for each of them in two steps, and Spark splits it where it meets its lines.
+them. A document is put together again from its lines and the positions that go, so lines are never grouped again, and only
+hashes, ids and positions are shuffled by key. A key that many documents hold is counted from one row for each of them in two
+steps, and Spark splits it where it meets its lines.
 
 * A null text is empty, and an empty text is one empty line, which is too short to be dropped; a text of no other line keeps "".
 * A null id is one document, smaller than all others. Rows that share an id are one document for the counts and each keep or
@@ -37,7 +37,8 @@ def _hashes(name: str, *columns: Column) -> list[Column]:
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, doc_id, r1, r2, pos): every line that is long enough; h is its key's hash, r that of its row's id and text."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.select("doc_id", *_hashes("r", F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    own = own.select("doc_id", *_hashes("r", F.col("doc_id"), F.col("text")), F.split("text", "\n", -1).alias("lines"))
+    own = own.select("doc_id", "r1", "r2", F.posexplode("lines").alias("pos", "line"))  # a row is hashed before it is exploded
     own = own.withColumn("key", key_of(F.col("line"))).where(F.length("key") >= min_chars)
     return own.select(*_hashes("h", F.col("key")), "doc_id", "r1", "r2", "pos")
 
@@ -53,18 +54,20 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     lines = keyed_lines(docs, min_chars)
     repeated = written(repeated_keys(lines, min_docs), "repeated-lines")
     gone = lines.join(small(repeated), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return gone.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("drops"))  # a group: one document's lines
+    return gone.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("pos")).alias("drops"))  # a group: one document's lines
 
 
-def _kept(lines: Column, drops: Column) -> Column:
-    """The lines between the positions that go, in time that grows with their number."""
+def _without(lines: Column, drops: Column) -> Column:
+    """The lines that are not at one of the positions, joined; in time that grows with their number."""
 
-    def run(i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get(drops, i - 1) + 1)
-        end = F.when(i == F.size(drops), F.size(lines)).otherwise(F.get(drops, i))
-        return F.slice(lines, start + 1, end - start)
+    def upto(i: Column) -> Column:
+        """Flags from behind the position before the ``i``th to it: the last one says that a line goes."""
+        before = F.when(i == 0, -1).otherwise(F.get(drops, i - 1))
+        return F.concat(F.array_repeat(F.lit(False), F.get(drops, i) - before - 1), F.array(F.lit(True)))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), run))
+    gone = F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops) - 1), upto))
+    kept = F.zip_with(lines, gone, lambda line, out: F.when(~F.coalesce(out, F.lit(False)), line))
+    return F.array_join(kept, "\n")  # which leaves nulls out
 
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -73,13 +76,11 @@ def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), text.alias("text"), *_hashes("r", F.col("doc_id"), text))
     joined = rows.join(drops, ["r1", "r2"], "left")
-    # lines are bound once: within a lambda, an expression is evaluated for each element
-    whole = F.get(F.transform(F.array(F.struct(F.split("text", "\n", -1).alias("lines"), "drops")), lambda x: F.array_join(_kept(x["lines"], x["drops"]), "\n")), F.lit(0))
     return joined.select(
         "row",
         F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.when(F.col("drops").isNull(), F.col("text")).otherwise(whole).alias("kept"),
+        F.when(F.col("drops").isNull(), F.col("text")).otherwise(_without(F.split("text", "\n", -1), F.col("drops"))).alias("kept"),
     )
 
 
