@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from needledrop.functions import text
 from needledrop.operators.near import own_keys, probed_keys
 from needledrop.plans.index import Index
+from needledrop.plans.order import first_by
 from needledrop.plans.storage import small, written
 from needledrop.rules import Rules
 
@@ -173,8 +174,3 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if after.where("label <> was").isEmpty():
             return labels
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[Column], most: int = 1) -> DataFrame:
-    """The first rows of each group; each task keeps so many of a group before they are shuffled."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")

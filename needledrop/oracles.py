@@ -567,6 +567,8 @@ SELECT i, format('{:,}', ts_ms) AS number, floor((i % 1000) / 1000.0::DOUBLE * 1
        WHEN s < 864000 THEN ((s * 10 + 43200) // 86400 // 10) || '.' || ((s * 10 + 43200) // 86400 % 10) || ' days' WHEN s < 5184000 THEN ((s + 43200) // 86400) || ' days'
        ELSE floor(s / 86400.0::DOUBLE / 30.44::DOUBLE + 0.5::DOUBLE)::BIGINT || ' months' END AS duration
 FROM (SELECT *, i * 17 AS s FROM plays)"""),
+    "a_csv_folder": select(f"""
+SELECT {norm('artist')} AS artist, {norm('album')} AS album, {norm("title || CASE WHEN i % 9 = 0 THEN ' \"a; b, c\" 2' ELSE '' END")} AS title, ts_ms // 1000 * 1000 AS ts_ms FROM plays"""),
     "a_csv_plays": select(f"""
 SELECT {norm('artist')} AS artist, {norm('album')} AS album, 'id-' || i % 5 AS album_id, {norm("title || CASE WHEN i % 7 = 0 THEN ' \"take; 2\"' WHEN i % 11 = 0 THEN chr(10) || 'part' ELSE '' END")} AS title,
   CASE WHEN i % 10 = 3 THEN NULL WHEN i % 3 = 2 THEN ts_ms // 60000 * 60000 WHEN i % 3 = 0 THEN ts_ms // 1000 * 1000 ELSE ts_ms END AS ts_ms FROM plays"""),

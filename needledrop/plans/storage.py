@@ -55,8 +55,13 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         _run.reset(token)
         for at in [k for k in _known if k[1] == folder]:
             del _known[at]
-        path, fs = _path(spark, folder)
-        fs.delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file that this library has written."""
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
 
 
 def run_key(spark: SparkSession) -> tuple[str, str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,9 +133,31 @@ def _csv_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     export = orders_log(spark, sf_dir).select(
         dates.alias("Fecha"), F.col("artist").alias("Nombre del artista"), titles.alias("Título"), F.col("album").alias("Álbum"), F.concat(F.lit("id-"), (i % 5).cast("string")).alias("Album ID")
     )
-    path = f"{storage.shared_dir(spark)}/needledrop-export-{uuid.uuid4().hex}"
+    path = storage.new_path(spark, "export")
     export.write.csv(path, sep=";", header=True, quoteAll=True, quote='"', escape='"')
-    return read_csv(spark, path)[0].select("artist", "album", "album_id", "title", "ts_ms")
+    found = read_csv(spark, path)[0].select("artist", "album", "album_id", "title", "ts_ms")
+    storage.remove(spark, path)  # the plays have been written as they were numbered
+    return found
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as one folder of three programs' exports: Spanish with semicolons, English with commas in another order, and one
+    with tabs and without a header; quotes begin inside fields."""
+    i, log = F.col("i"), orders_log(spark, sf_dir)
+    seconds = F.floor(F.col("ts_ms") / 1000).cast("string")
+    path = storage.new_path(spark, "export")
+    broken = F.concat("title", F.when(i % 9 == 0, ' "a; b, c"\n2').otherwise(""))
+    inside = F.concat(F.substring("artist", 1, 3), F.lit('"'), F.replace(F.substr("artist", F.lit(4)), F.lit('"'), F.lit('""')), F.lit('"'))
+    whole = F.concat(F.lit('"'), F.replace(broken, F.lit('"'), F.lit('""')), F.lit('"'))
+    spanish = log.where(i % 3 == 0).select(broken.alias("Título"), F.col("artist").alias("Artista"), F.col("album").alias("Álbum"), seconds.alias("Fecha"))
+    english = log.where(i % 3 == 1).select(seconds.alias("Date"), broken.alias("Track Name"), F.col("artist").alias("Artist"), F.col("album").alias("Album"))
+    bare = log.where(i % 3 == 2).select(F.concat_ws("\t", inside, "album", F.lit("x"), whole, seconds).alias("value"))
+    spanish.write.csv(f"{path}/spanish", sep=";", header=True, quoteAll=True, escape='"')
+    english.write.csv(f"{path}/english", sep=",", header=True, escape='"', escapeQuotes=True, emptyValue="")
+    bare.write.text(f"{path}/bare")
+    found = read_csv(spark, path)[0].select("artist", "album", "title", "ts_ms")
+    storage.remove(spark, path)
+    return found
 
 
 def _choices(index: Index) -> DataFrame:
@@ -163,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     shown = ("place", "id", "type", "subtype", "title", "points", "confidence", "impact", "action", "actionable", "informational", "current", "proposed", "warning")
     return {
         "a_csv_plays": _csv_plays,
+        "a_csv_folder": _csv_folder,
         "b_display": _display,
         "b_normalise_text": _titles(normal=text.normalise),
         "b_key": _titles(key=text.key),
