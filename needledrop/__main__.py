@@ -10,7 +10,7 @@ from needledrop.plans.index import Index
 from needledrop.plans.report import Audit
 from needledrop.plans.storage import scratch, written
 from needledrop.rules import Rules
-from needledrop.sinks.render import head, write_markdown
+from needledrop.sinks.render import head, write_markdown, write_report_json
 from needledrop.sinks.tables import write_csv, write_json
 from needledrop.sources.plays import read_csv
 
@@ -29,6 +29,7 @@ def main(args: list[str] | None = None) -> None:
         write_json(audit.findings, f"{given.output}/findings")
         write_csv(audit.findings, f"{given.output}/actions")
         write_markdown(audit, f"{given.output}/report")
+        write_report_json(audit, f"{given.output}/json")
         print(head(audit), *(f"Warning: {w}" for w in warnings), sep="\n")
 
 

@@ -36,26 +36,49 @@ BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 BRACKETS, TAIL = r"[(\[{]([^)\]}]*)[)\]}]", r"\s+-\s+(.{2,})$"
 
 
-def _accents() -> tuple[str, str]:
-    """Letters with marks from U+0300 to U+036F, and the letters without them; the marks themselves come last."""
-    marks = [chr(c) for c in range(0x300, 0x370)]
-    pairs = []
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]):
-        bare = "".join(x for x in unicodedata.normalize("NFD", c) if x not in marks)
-        if bare != c and len(bare) == 1:
-            pairs.append((c, bare))
-    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+#: The jamo that Hangul syllables are made of: leads, vowels, and tails (which a syllable may lack).
+HANGUL = 0xAC00
+LEADS, VOWELS, TAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
 
-ACCENTED, BARE = _accents()
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """What is left of characters of all planes when they are decomposed and the marks from U+0300 to U+036F are dropped.
+
+    Characters that become one other; those; and what the rest become, Hangul syllables aside, which are arithmetic.
+    """
+    marks, one, several = [chr(c) for c in range(0x300, 0x370)], [], {}
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xE000, 0x110000)]):
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if x not in marks)
+            if bare != c and len(bare) == 1:
+                one.append((c, bare))
+            elif len(bare) > 1:
+                several[c] = bare
+    return "".join(a for a, _ in one) + "".join(marks), "".join(b for _, b in one), several
+
+
+ACCENTED, BARE, SEVERAL = _decompositions()
 
 
 def _replace(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def _decomposed(ch: Column) -> Column:
+    """What one character that becomes several, or a Hangul syllable, becomes; any other one stays."""
+    known = F.map_from_arrays(F.split(F.lit("|".join(SEVERAL)), r"\|"), F.split(F.lit("|".join(SEVERAL.values())), r"\|"))  # folded to a constant
+    code = F.ascii(ch) - HANGUL
+    pick = lambda letters, at: F.substr(F.lit(letters), (F.floor(at) + 1).cast("int"), F.lit(1))
+    tail = F.when(code % 28 > 0, pick(TAILS, code % 28 - 1)).otherwise("")
+    syllable = F.concat(pick(LEADS, code / 588), pick(VOWELS, code % 588 / 28), tail)
+    return F.when(ch.rlike("^[\uac00-\ud7a3]$"), syllable).otherwise(F.coalesce(F.element_at(known, ch), ch))
+
+
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, BARE)
+    """Canonical decomposition without the marks from U+0300 to U+036F; marks of other scripts stay, in the order they come in."""
+    split = F.array_join(F.transform(F.split(c, ""), _decomposed), "")
+    whole = F.when(c.rlike(f"[\uac00-\ud7a3{''.join(SEVERAL)}]"), split).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(whole, ACCENTED, BARE))
 
 
 def normalise(c: Column) -> Column:

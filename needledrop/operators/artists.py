@@ -183,10 +183,9 @@ def duplicate_artists(index: Index, rules: Rules, scored: DataFrame, resolved: D
     first = F.get("others", F.lit(0))["name"]
 
     def swap(f: Column) -> Column:
-        """All other forms become this one; of a group of many, the forms are named up to its size, so a swap is as long as the group."""
-        rest = F.filter("forms", lambda g: g["name"] != f["name"])
+        """All other forms become this one. They are not listed in each option, which would grow with the square of a group: ``current`` is null and stands for the finding's other variants."""
         reason = F.concat(number(f["n"]), F.lit(" plays, "), span(f["first"], f["last"]))
-        return F.struct(f["name"].alias("value"), reason.alias("reason"), F.array_join(F.transform(rest, lambda g: g["name"]), JOINED).alias("current"), f["name"].alias("proposed"), (F.col("total_n") - f["n"]).alias("impact"))
+        return F.struct(f["name"].alias("value"), reason.alias("reason"), F.lit(None).cast("string").alias("current"), f["name"].alias("proposed"), (F.col("total_n") - f["n"]).alias("impact"))
 
     latest, most, redirected = F.col("latest"), F.col("most"), F.col("target") != F.col("canonical")
     more = signals(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,9 +16,18 @@ from needledrop.rules import Rules
 GARBLED = r"[^\p{L}\p{N}\s'&.,\-]"
 #: Names that stand for no artist, and spaces and invisible characters that a tag shouldn't hold.
 GENERIC = r"(?i)^(?:unknown artist|unknown|various artists|artista desconocido|va|vv\.?aa\.?|desconocido)$"
+WHITE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 ODD_SPACES = "[\N{NO-BREAK SPACE}\N{EN QUAD}-\N{HAIR SPACE}\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}]"
 UNSEEN = "[\N{ZERO WIDTH SPACE}-\N{RIGHT-TO-LEFT MARK}\N{ZERO WIDTH NO-BREAK SPACE}]"
 EXAMPLES, EMPTY_ROWS, PARTS = 8, 40, 64
+#: Stands for white space that would not be seen.
+SEEN = "␣"
+
+
+def visible(c: Column) -> Column:
+    """A value as an example: white space other than single spaces inside it becomes a sign, one for a run at the ends."""
+    ends = F.regexp_replace(F.regexp_replace(c, f"^[{WHITE}]+", SEEN), f"[{WHITE}]+\\z", SEEN)
+    return F.regexp_replace(ends, f"[{WHITE}&&[^ ]]", SEEN)
 
 
 def artist_typos(index: Index, rules: Rules) -> DataFrame:
@@ -58,20 +67,23 @@ def artist_typos(index: Index, rules: Rules) -> DataFrame:
 
 
 def untidy(index: Index) -> DataFrame:
-    """(problem, n, examples): every check of every field, and missing fields; examples in order of appearance."""
+    """(problem, n, examples): every check of every field, and missing fields; examples in order of appearance.
+
+    White space is that of Unicode, and what can't be seen of it is marked in the examples.
+    """
     checks = []
     for f in ("artist", "title", "album"):
         v = F.col(f)
         tests = {
-            f"leading or trailing spaces in the {f}": v != F.trim(v),
-            f"double spaces in the {f}": v.rlike(r"\s{2,}"),
+            f"leading or trailing spaces in the {f}": v.rlike(f"^[{WHITE}]|[{WHITE}]\\z"),
+            f"double spaces in the {f}": v.rlike(f"[{WHITE}]{{2}}"),
             f"unusual (non-breaking) spaces in the {f}": v.rlike(ODD_SPACES),
             f"invisible characters in the {f}": v.rlike(UNSEEN),
             f"unreadable characters in the {f}": v.contains("\N{REPLACEMENT CHARACTER}"),
         }
         if f == "artist":
             tests["generic artist name"] = v.rlike(GENERIC)
-        checks += [F.when((v != "") & t, F.struct(F.lit(name).alias("problem"), v.alias("value"))) for name, t in tests.items()]
+        checks += [F.when((v != "") & t, F.struct(F.lit(name).alias("problem"), visible(v).alias("value"))) for name, t in tests.items()]
         checks.append(F.when(v == "", F.struct(F.lit(f"scrobbles with no {f}").alias("problem"), F.lit("(empty)").alias("value"))))
     found = F.filter(F.array(*checks), lambda x: x.isNotNull())
     each = index.cells.select(F.explode(found).alias("x"), "n", "seen").groupBy("x.problem", "x.value").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))

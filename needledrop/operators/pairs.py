@@ -136,26 +136,40 @@ def shared_titles(pairs: DataFrame, tracks: DataFrame, most: int, text: Callable
     return items.join(each.groupBy("id").agg(F.count("*").alias("total")), "id")
 
 
+#: Windows of nearness in a slot of time; plays this near to a slot's end are in the next slot as well.
+SLOT = 32
+
+
+def meetings(sides: DataFrame, plays: DataFrame, window_ms: int) -> DataFrame:
+    """(x, y, artist, t, u, slot): what meets in ``time_mix``, for pairs (x, y, few, many) and dated plays (artist, t).
+
+    The plays of ``few`` come once for each pair, under the other's name, with ``u`` null; those of ``many`` once each, and those
+    near the end of a slot in the next one as well. Of a star of pairs, the copies of the rarer names are no more than the plays
+    of the others.
+    """
+    slot = lambda c: F.floor(c / (SLOT * window_ms))
+    none = F.lit(None).cast("string")
+    left = plays.join(small(sides.withColumnRenamed("few", "artist")), "artist").select("x", "y", F.col("many").alias("artist"), "t", F.lit(None).cast("bigint").alias("u"), slot(F.col("t")).alias("slot"))
+    others = plays.join(small(sides.select(F.col("many").alias("artist")).distinct()), "artist", "left_semi")
+    slots = F.array_distinct(F.array(slot(F.col("t") - window_ms), slot(F.col("t")), slot(F.col("t") + window_ms)))
+    return left.unionByName(others.select(none.alias("x"), none.alias("y"), "artist", "t", F.col("t").alias("u"), F.explode(slots).alias("slot")))
+
+
 def time_mix(pairs: DataFrame, index: Index, window_ms: int) -> DataFrame:
     """``pairs`` (x, y, ...) with ``mix``: plays of the one with fewer dated plays (x on a tie) near one of the other.
 
-    Times are dealt into bins of the window's width; the other's times go into three bins each, so that one equi-join finds
-    all that are near.
+    An as-of semi-join: plays of both meet in one shuffle by the other's name and a slot of time, so a frequent name is many
+    groups. Within a slot, in order of time, each play has the last one of the other before it and the next one after it.
     """
     dated = index.artists.select("artist", "dated")
     p = pairs.select("x", "y").join(dated.toDF("x", "dx"), "x").join(dated.toDF("y", "dy"), "y")
     swap = F.col("dy") < F.col("dx")
-    p = p.select("x", "y", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("few"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("many"))
-    plays = index.plays.where("ts_ms is not null and (artist <> '' or title <> '')").select("artist", "ts_ms", "i")
-    names = p.select(F.explode(F.array("few", "many")).alias("artist")).distinct()
-    plays = plays.join(small(written(names, "pair-names")), "artist", "left_semi")
-    bin_of = F.floor(F.col("ts_ms") / window_ms)
-    left = p.join(plays.select(F.col("artist").alias("few"), F.col("ts_ms").alias("t"), "i", bin_of.alias("bin")), "few")
-    right = plays.select(F.col("artist").alias("many"), F.col("ts_ms").alias("u")).distinct()
-    right = right.withColumn("bin", F.explode(F.sequence(F.floor(F.col("u") / window_ms) - 1, F.floor(F.col("u") / window_ms) + 1)))
-    l, r = left.alias("l"), right.alias("r")
-    near = l.join(r, (F.col("l.many") == F.col("r.many")) & (F.col("l.bin") == F.col("r.bin")) & (F.abs(F.col("t") - F.col("u")) <= window_ms), "left_semi")
-    counts = near.groupBy("x", "y").agg(F.count("*").alias("mix"))
+    p = written(p.select("x", "y", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("few"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("many")), "pair-sides")
+    plays = index.plays.where("ts_ms is not null and (artist <> '' or title <> '')").select("artist", F.col("ts_ms").alias("t"))
+    upto = Window.partitionBy("artist", "slot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = meetings(p, plays, window_ms).withColumns({"last": F.max("u").over(upto.orderBy("t")), "next": F.min("u").over(upto.orderBy(F.col("t").desc()))})
+    near = (F.col("t") - F.col("last") <= window_ms) | (F.col("next") - F.col("t") <= window_ms)
+    counts = swept.where(F.col("u").isNull() & near).groupBy("x", "y").agg(F.count("*").alias("mix"))
     return pairs.join(counts, ["x", "y"], "left").withColumn("mix", F.coalesce("mix", F.lit(0)))
 
 

@@ -35,6 +35,7 @@ ACTIONS = {
     "delete_duplicate": "Delete duplicate", "review_artist": "Review artist name", "review_track": "Review track title", "review": "Review",
 }
 ODD_SPACES = "[" + "".join(map(chr, (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))) + "]"
+_WHITE = "".join(map(chr, (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 UNSEEN = "[" + "".join(map(chr, (*range(0x200B, 0x2010), 0xFEFF))) + "]"
 
 
@@ -303,7 +304,7 @@ ORACLES = {
     "b_ordinals": select(f"SELECT DISTINCT track_key, coalesce({STRIPPED_ROMAN}, '') AS stripped FROM spelled"),
     "b_artist_key": select("SELECT artist, key FROM split"),
     "b_split_artist": select("SELECT artist, CASE WHEN len(found) > 1 THEN coalesce(array_to_string(found, ' | '), '') ELSE '' END AS parts FROM split"),
-    "b_edit_distance": select("SELECT a.key AS a, b.key AS b, CASE WHEN levenshtein(a.key, b.key) > 2 THEN 3 ELSE levenshtein(a.key, b.key) END::INTEGER AS distance FROM (SELECT DISTINCT key FROM split) a JOIN (SELECT DISTINCT key FROM split) b ON left(a.key, 1) = left(b.key, 1) AND length(a.key) = length(b.key) AND a.key < b.key"),
+    "b_edit_distance": select("SELECT a.key AS a, b.key AS b, levenshtein(a.key, b.key)::INTEGER AS distance FROM (SELECT DISTINCT key FROM split) a JOIN (SELECT DISTINCT key FROM split) b ON left(a.key, 1) = left(b.key, 1) AND length(a.key) = length(b.key) AND a.key < b.key AND levenshtein(a.key, b.key) <= 2"),
     "c_artist_index": select("SELECT artist, n, first AS first_ms, last AS last_ms, key, n_tracks FROM artists"),
     "c_track_index": select("SELECT artist, track_key, n, title, versioned FROM tracks"),
     "c_album_index": select("SELECT artist, album, album_key, n, seen FROM albums"),
@@ -445,7 +446,7 @@ FROM (SELECT p.x, p.y, p.apart, a.n, b.n AS y_n, a.first AS x_first, a.last AS x
 WHERE (apart <= 2 OR inner_name) AND (shared > 0 OR garbled)""", NEAREST, SHARED.format(name="nearest"), MIX.format(name="nearest")),
     "e_hygiene": select("SELECT problem, count(*) AS n FROM (" + " UNION ALL ".join(
         [f"SELECT '{name} the {f}' AS problem FROM plays WHERE {f} <> '' AND {test.format(f)}" for f in ("artist", "title", "album") for name, test in (
-            ("leading or trailing spaces in", "{0} <> trim({0})"), ("double spaces in", "regexp_matches({0}, '\\s{{2,}}')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
+            ("leading or trailing spaces in", f"{{0}} <> trim({{0}}, '{_WHITE}')"), ("double spaces in", f"regexp_matches({{0}}, '[{_WHITE}][{_WHITE}]')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
         + [f"SELECT 'scrobbles with no {f}' FROM plays WHERE {f} = ''" for f in ("artist", "title", "album")]) + ") GROUP BY problem"),
     "e_empty_albums": select("SELECT artist, title, n FROM (SELECT artist, title, count(*) AS n, min(i) AS seen FROM plays WHERE album = '' GROUP BY artist, title) ORDER BY n DESC, seen LIMIT 40"),
     "e_rare_artists": select("SELECT artist, n, first AS first_ms, last AS last_ms FROM artists WHERE n <= 2"),
@@ -453,8 +454,8 @@ WHERE (apart <= 2 OR inner_name) AND (shared > 0 OR garbled)""", NEAREST, SHARED
 }
 
 UNTIDY = select("SELECT problem, sum(n)::BIGINT AS n, list(value ORDER BY seen, value)[1:8] AS examples FROM (SELECT problem, value, count(*) AS n, min(i) AS seen FROM (" + " UNION ALL ".join(
-        [f"SELECT i, '{name} the {f}' AS problem, {f} AS value FROM plays WHERE {f} <> '' AND {test.format(f)}" for f in ("artist", "title", "album") for name, test in (
-            ("leading or trailing spaces in", "{0} <> trim({0})"), ("double spaces in", "regexp_matches({0}, '\\s{{2,}}')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
+        [f"SELECT i, '{name} the {f}' AS problem, translate(regexp_replace(regexp_replace({f}, '^[{_WHITE}]+', '␣'), '[{_WHITE}]+$', '␣'), '{_WHITE.replace(' ', '')}', '{'␣' * (len(_WHITE) - 1)}') AS value FROM plays WHERE {f} <> '' AND {test.format(f)}" for f in ("artist", "title", "album") for name, test in (
+            ("leading or trailing spaces in", f"{{0}} <> trim({{0}}, '{_WHITE}')"), ("double spaces in", f"regexp_matches({{0}}, '[{_WHITE}][{_WHITE}]')"), ("unusual (non-breaking) spaces in", f"regexp_matches({{0}}, '{ODD_SPACES}')"), ("invisible characters in", f"regexp_matches({{0}}, '{UNSEEN}')"))]
         + [f"SELECT i, 'scrobbles with no {f}', '(empty)' FROM plays WHERE {f} = ''" for f in ("artist", "title", "album")]) + ") GROUP BY problem, value) GROUP BY problem")
 EMPTY = select("SELECT artist, title, n, seen FROM (SELECT artist, title, count(*) AS n, min(i) AS seen FROM plays WHERE album = '' GROUP BY artist, title) ORDER BY n DESC, seen LIMIT 40")
 

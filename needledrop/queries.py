@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from needledrop.functions import format as show
 from needledrop.functions import text
-from needledrop.operators import albums, artists, long_tail, pairs, repeats, titles
+from needledrop.operators import albums, artists, long_tail, near, pairs, repeats, titles
 from needledrop.operators.findings import canonical_score, preference
 from needledrop.plans import storage
 from needledrop.plans.index import Index
@@ -71,10 +71,12 @@ def _findings(make: Callable[[Index], DataFrame], *more) -> Callable[[SparkSessi
 
 
 def _edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artist keys of one initial and length within two edits: they meet under a segment that they share."""
     keys = orders_log(spark, sf_dir).select("artist").distinct().select(text.artist_key(F.col("artist")).alias("k")).distinct()
-    a, b = keys.toDF("a"), keys.toDF("b")
-    same = (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
-    return a.join(b, same).select("a", "b", text.bounded_distance(F.col("a"), F.col("b"), 2).alias("distance"))
+    own = keys.select(F.col("k").alias("a"), F.explode(near.own_keys(F.col("k"), 2)).alias("near"))
+    probing = keys.select(F.col("k").alias("b"), F.explode(near.probed_keys(F.col("k"), 2, 0, 0)).alias("near"))
+    met = own.join(probing, "near").where((F.col("a") < F.col("b")) & (F.substring("a", 1, 1) == F.substring("b", 1, 1))).select("a", "b").distinct()
+    return met.withColumn("distance", text.bounded_distance(F.col("a"), F.col("b"), 2)).where("distance <= 2")
 
 
 def _canonical(index: Index) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needledrop import labels
+from needledrop.plans.order import first_by
 from needledrop.plans.report import Audit
 from needledrop.sinks.tables import label_of, profile_url, with_choices
 
@@ -14,11 +18,10 @@ from needledrop.sinks.tables import label_of, profile_url, with_choices
 SHOWN = 60
 
 
-def _top(findings: DataFrame, order: list, most: int | None) -> list:
-    """The first findings of each type (all without ``most``) by ``order``, in the report's order of types."""
+def _top(findings: DataFrame, order: list, most: int) -> list:
+    """The first findings of each type by ``order``, in the report's order of types."""
     w = Window.partitionBy("type").orderBy(*order)
-    first = findings.withColumn("rank", F.row_number().over(w))
-    first = first if most is None else first.where(F.col("rank") <= most)
+    first = findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     columns = ["type", "rank", "subtype", "title", "points", "confidence", "impact", "current", "proposed", "how_to", "warning", "actionable"]
     more = [F.col("signals.text").alias("signals"), F.col("urls") if "urls" in first.columns else F.array().cast("array<string>").alias("urls")]
     types = list(labels.TYPES)
@@ -42,6 +45,7 @@ def head(audit: Audit) -> str:
     out += [f"- Artists: {meta['artists']:,}; tracks: {meta['tracks']:,}; albums: {meta['albums']:,}"]
     out += [f"- Plays touched by a finding: {audit.affected.count():,}", "", "| Section | Findings | Plays | High | Medium | Low | To do |", "|-|-|-|-|-|-|-|"]
     out += ["| " + " | ".join(str(r[c]) for c in ("label", "findings", "impact", "high", "medium", "low", "actionable")) + " |" for r in summary]
+    out += ["", "Rules: " + ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in asdict(audit.rules).items()) + "."]
     out += ["", "Left out: " + ", ".join(f"{k.replace('_', ' ')} {v:,}" for k, v in audit.trimmed.items()) + "."]
     return "\n".join(out) + "\n"
 
@@ -93,14 +97,56 @@ def write_markdown(audit: Audit, path: str, base: str | None = None, user: str |
     blocks(audit, base, user).orderBy("place").select("value").write.text(f"{path}/findings")
 
 
-def worklist(audit: Audit, decisions: DataFrame, choices: DataFrame | None = None, base: str | None = None, user: str | None = None, most: int | None = None) -> str:
-    """The accepted findings by type, those with most plays first; ``decisions`` has (id, decision).
+def report_lines(audit: Audit) -> DataFrame:
+    """(place, value): the whole report as the lines of one JSON document, a finding in each; read in order they are the document.
+
+    The head holds meta, rules, summary and what was left out; findings come in the report's order, each written where it is.
+    """
+    spark, f = audit.findings.sparkSession, with_choices(audit.findings)
+    n = f.count()
+    meta, summary = audit.meta.first().asDict(), [r.asDict() for r in audit.summary.collect()]  # one row, and one for each type
+    start = json.dumps({"meta": meta, "rules": asdict(audit.rules), "summary": summary, "trimmed": audit.trimmed}, ensure_ascii=False)
+    ends = spark.createDataFrame([(-1, start[:-1] + ', "findings": ['), (n, "]}")], "place bigint, value string")
+    names = {"typeLabel": label_of(labels.TYPES, F.col("type")), "actionLabel": label_of(labels.ACTIONS, F.col("action")), "howTo": F.col("how_to")}
+    kept = ["id", "type", "subtype", "title", "points", "confidence", "impact", "action", "actionable", "informational", "current", "proposed", "warning", "explanation"]
+    lists = ["signals", "alternatives", "variants", "targets", "evidence", "beyond"]
+    whole = F.to_json(F.struct(*kept, *(c.alias(k) for k, c in names.items()), *lists), {"ignoreNullFields": "false"})
+    return f.select("place", F.concat(whole, F.when(F.col("place") < n - 1, ",").otherwise("")).alias("value")).unionByName(ends)
+
+
+def write_report_json(audit: Audit, path: str) -> None:
+    """The whole report as one JSON document in the files of a folder, in order of their names; sorted and written by ranges."""
+    report_lines(audit).orderBy("place").select("value").write.text(path)
+
+
+def work_blocks(audit: Audit, decisions: DataFrame, choices: DataFrame | None = None, base: str | None = None, user: str | None = None) -> DataFrame:
+    """(type_place, less, place, value): a line for each accepted finding, by type, those with most plays first."""
+    accepted = audit.findings.join(decisions.where("decision = 'accept'").select("id"), "id", "left_semi")
+    f = _linked(with_choices(accepted, choices), base, user)
+    place = F.array_position(F.array(*map(F.lit, labels.TYPES)), F.col("type")).alias("type_place")
+    order = [F.col("impact").desc(), F.col("points").desc(), F.col("place")]
+    first = first_by(f.select("type", "impact", "points", "place"), ["type"], order).select("type", F.col("place").alias("first"))  # one row for each type
+    f = f.join(F.broadcast(first), "type")
+    heading = F.when(F.col("place") == F.col("first"), F.concat(F.lit("\n## "), label_of(labels.TYPES, F.col("type")), F.lit("\n\n"))).otherwise("")
+    links = F.array_join(F.transform(F.filter("urls", lambda u: u != ""), lambda u: F.concat(F.lit("\n  <"), u, F.lit(">"))), "") if base and user else F.lit("")
+    line = F.concat(heading, F.lit("- [ ] "), "current", F.lit(" → "), "proposed", F.lit(" ("), F.format_number("impact", 0), F.lit(" play(s)). "), "how_to", links)
+    return f.select(place, (-F.col("impact")).alias("less"), (-F.col("points")).alias("fewer"), "place", line.alias("value"))
+
+
+def write_worklist(audit: Audit, path: str, decisions: DataFrame, choices: DataFrame | None = None, base: str | None = None, user: str | None = None) -> None:
+    """The whole work list as Markdown in the files of a folder, in order of their names; nothing is gathered."""
+    rows = work_blocks(audit, decisions, choices, base, user)
+    rows.orderBy("type_place", "less", "fewer", "place").select("value").write.text(path)
+
+
+def worklist(audit: Audit, decisions: DataFrame, choices: DataFrame | None = None, base: str | None = None, user: str | None = None, most: int = SHOWN) -> str:
+    """A digest: the first ``most`` accepted findings of each type, those with most plays first, and how many there are beyond.
 
-    With ``most``, so many of each type, and how many there are beyond them.
+    ``decisions`` has (id, decision). ``write_worklist`` writes all of them.
     """
     accepted = audit.findings.join(decisions.where("decision = 'accept'").select("id"), "id", "left_semi")
     rows = _top(_linked(with_choices(accepted, choices), base, user), [F.col("impact").desc(), F.col("points").desc(), F.col("place")], most)
-    beyond = {r["type"]: r["count"] - most for r in accepted.groupBy("type").count().collect()} if most else {}
+    beyond = {r["type"]: r["count"] - most for r in accepted.groupBy("type").count().collect()}
     out, section = ["# Work list"], None
     for r in rows:
         if r["type"] != section:

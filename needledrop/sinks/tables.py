@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needledrop import labels
-from needledrop.operators.findings import MARKS  # noqa: F401
+from needledrop.operators.findings import JOINED
 
 COLUMNS = (
     "type;subtype;confidence;points;action;actionable;impact_scrobbles;current_value;proposed_value;alternatives;signals;decision;evidence".split(";")
@@ -45,7 +45,10 @@ def with_choices(findings: DataFrame, choices: DataFrame | None = None) -> DataF
     else:
         own = choices.select("id", F.col("value").alias("chosen"))
         joined = findings.join(own, "id", "left").withColumn("option", F.get(F.filter("alternatives", lambda a: a["value"] == F.col("chosen")), F.lit(0))).drop("chosen")
-    swapped = {c: F.coalesce(F.col(f"option.{c}"), F.col(c)) for c in ("current", "proposed", "impact")}
+    # an option without a current value stands for all other variants; only the chosen one is written out
+    rest = F.array_join(F.transform(F.filter("variants", lambda v: v["value"] != F.col("option.proposed")), lambda v: v["value"]), JOINED)
+    swapped = {"current": F.coalesce(F.when(F.col("option").isNotNull(), F.coalesce(F.col("option.current"), rest)), F.col("current"))}
+    swapped |= {c: F.coalesce(F.col(f"option.{c}"), F.col(c)) for c in ("proposed", "impact")}
     out = joined.withColumns(swapped).drop("option")
     return out.withColumn("how_to", how_to(F.col("action"), F.col("current"), F.col("proposed"), F.col("impact")))
 

@@ -88,7 +88,8 @@ def test_duplicate_artists(found):
     jana = of(found, "duplicate_artists", "identical", "Burceska")
     assert [(f["proposed"], f["impact"]) for f in jana] == [("Jana Bur\u010deska", 5)]
     assert [a["value"] for a in jana[0]["alternatives"]] == ["Jana Burceska"]
-    assert (jana[0]["alternatives"][0]["current"], jana[0]["alternatives"][0]["impact"]) == ("Jana Bur\u010deska", 2)
+    assert (jana[0]["alternatives"][0]["current"], jana[0]["alternatives"][0]["impact"]) == (None, 2)
+    assert [(v["value"], v["canonical"]) for v in jana[0]["variants"]] == [("Jana Burceska", False), ("Jana Bur\u010deska", True)]
     assert [t["artist"] for t in jana[0]["targets"]] == ["Jana Burceska"]
     assert len(of(found, "duplicate_artists", "identical", "Guns N")) == 1
     lora = of(found, "duplicate_artists", "similar_with_tracks", "Cris")
@@ -173,6 +174,13 @@ def test_choices_and_tables(spark, audit, found):
     assert other["value"] in text and text.count("- [ ]") == 1
 
 
+def test_an_option_stands_for_the_other_variants(spark, audit, found):
+    jana = of(found, "duplicate_artists", "identical", "Burceska")[0]
+    choices = spark.createDataFrame([(jana["id"], "Jana Burceska")], "id string, value string")
+    chosen = tables.with_choices(audit.findings, choices).where(F.col("id") == jana["id"]).first()
+    assert (chosen["current"], chosen["proposed"], chosen["impact"]) == ("Jana Bur\u010deska", "Jana Burceska", 2)
+
+
 def test_markdown(audit):
     text = render.markdown(audit)
     assert "## Duplicate artists" in text and "http" not in text
@@ -214,6 +222,34 @@ def test_json(spark, audit, found, tmp_path):
     assert {(r["place"], r["id"], r["proposed"]) for r in back.collect()} == {(f["place"], f["id"], f["proposed"]) for f in found}
 
 
+def test_one_json_document(spark, audit, found, tmp_path):
+    """The files, one after the other, are one document, with all parts and every finding in order."""
+    import json
+    from dataclasses import asdict
+
+    render.write_report_json(audit, str(tmp_path / "j"))
+    text = "".join(open(f).read() for f in sorted(str(p) for p in (tmp_path / "j").glob("part-*.txt")))
+    report = json.loads(text)
+    assert report["meta"] == audit.meta.first().asDict() and report["rules"] == asdict(audit.rules) and report["trimmed"] == audit.trimmed
+    assert report["summary"] == [r.asDict() for r in audit.summary.collect()]
+    want = sorted(found, key=lambda f: f["place"])
+    for key in ("id", "title", "points", "impact", "current", "proposed", "warning", "explanation", "confidence", "beyond"):
+        assert [f[key] for f in report["findings"]] == [f[key] for f in want]
+    assert [[e["a"] for e in f["evidence"]] for f in report["findings"]] == [[e["a"] for e in f["evidence"]] for f in want]
+    assert all(f["typeLabel"] == labels.TYPES[f["type"]] and f["actionLabel"] == labels.ACTIONS[f["action"]] for f in report["findings"])
+
+
+def test_the_whole_work_list(spark, audit, found, tmp_path):
+    chosen = [f for f in found if not f["informational"]][::2]
+    decisions = spark.createDataFrame([(f["id"], "accept") for f in chosen], "id string, decision string")
+    render.write_worklist(audit, str(tmp_path / "w"), decisions)
+    text = "".join(open(f).read() for f in sorted(str(p) for p in (tmp_path / "w").glob("part-*.txt")))
+    types = list(labels.TYPES)
+    want = sorted(chosen, key=lambda f: (types.index(f["type"]), -f["impact"], -f["points"], f["place"]))
+    assert [x.split(" (")[0] for x in text.split("\n") if x.startswith("- [ ]")] == [f"- [ ] {f['current']} → {f['proposed']}".split(" (")[0] for f in want]
+    assert [x[3:] for x in text.split("\n") if x.startswith("## ")] == [labels.TYPES[t] for t in types if any(f["type"] == t for f in chosen)]
+
+
 def test_trimmed(audit):
     strict = Audit(audit.index, Rules())
     weak = audit.findings.where("not informational and points < 40").count()
@@ -233,5 +269,5 @@ def test_command_line_leaves_nothing_behind(spark, tmp_path):
     root = tmp_path.__class__(folder.removeprefix("file://")).parent
     there = {p.name for p in root.iterdir()} if root.exists() else set()
     main([str(log), str(tmp_path / "out")])
-    assert {p.name for p in (tmp_path / "out").iterdir()} == {"findings", "actions", "report"}
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"findings", "actions", "report", "json"}
     assert {p.name for p in root.iterdir()} == there and set(storage._known) == before

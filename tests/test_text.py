@@ -84,3 +84,18 @@ def test_bounded_distance(spark, values):
     df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, a string, b string")
     got = [r[0] for r in df.orderBy("i").select(text.bounded_distance(F.col("a"), F.col("b"), 2)).collect()]
     assert got == [min(3, plain_distance(a, b)) for a, b in values]
+
+
+def test_every_code_point_decomposes(spark):
+    """All planes at once: each character by itself, and between others."""
+    import unicodedata
+
+    marks = {chr(c) for c in range(0x300, 0x370)}
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and c != 0xFDD0]
+    whole = spark.createDataFrame([(k, "".join(map(chr, points[k : k + 64]))) for k in range(0, len(points), 64)], "k int, s string")
+    alone = [c for c in points if unicodedata.decomposition(chr(c)) or 0xAC00 <= c <= 0xD7A3]
+    bare = lambda s: "".join(y for x in s for y in unicodedata.normalize("NFD", x) if y not in marks)
+    rows = whole.select("k", "s", text.strip_accents(F.col("s")).alias("t")).collect()
+    assert [r["k"] for r in rows if r["t"] != bare(r["s"])] == []
+    one = spark.createDataFrame([(c, chr(c)) for c in alone], "c int, s string")
+    assert [r["c"] for r in one.select("c", "s", text.strip_accents(F.col("s")).alias("t")).collect() if r["t"] != bare(r["s"])] == []
