@@ -60,26 +60,25 @@ class Audit:
     def _all(self) -> tuple[DataFrame, dict[str, int]]:
         ix, rules = self.index, self.rules
         ix.prepare()
-        (names, trimmed), (clashes, small), spellings, *others = together(
+        # each detector's findings are planned and written on their own, side by side: one plan of all is slow to optimise
+        done = lambda make: lambda: written(make(ix, rules), "detected")
+        detectors = (
+            titles.title_variants, titles.platform_badges, titles.title_typos, titles.artist_in_title, albums.missing_albums,
+            lambda index, rules: repeats.repeated_plays(index.plays, rules), long_tail.artist_typos, long_tail.notes,
+        )
+        (names, trimmed), (clashes, few), spellings, *others = together(
             self._spark,
             lambda: self._names,
             lambda: albums.album_clashes(ix, rules),
             lambda: written(albums.album_names(ix, rules), "album-names"),
-            lambda: titles.title_variants(ix, rules),
-            lambda: titles.platform_badges(ix, rules),
-            lambda: titles.title_typos(ix, rules),
-            lambda: titles.artist_in_title(ix, rules),
-            lambda: albums.missing_albums(ix, rules),
-            lambda: repeats.repeated_plays(ix.plays, rules),
-            lambda: long_tail.artist_typos(ix, rules),
-            lambda: long_tail.notes(ix, rules),
+            *map(done, detectors),
         )
         parts = [names, clashes, albums.listed(spellings, rules), *others]
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)
         found = written(found.withColumn("confidence", confidence(F.col("points"), self.rules)).withColumn("actionable", actionable(F.col("action"))), "found")
-        more = {"album_clashes_below_threshold": small.count(), "album_name_variants_beyond_cap": max(0, spellings.count() - self.rules.album_variants_listed)}
+        more = {"album_clashes_below_threshold": few.count(), "album_name_variants_beyond_cap": max(0, spellings.count() - self.rules.album_variants_listed)}
         return found, trimmed | more
 
     @cached_property

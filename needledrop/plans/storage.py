@@ -19,7 +19,7 @@ _run: ContextVar[str | None] = ContextVar("run", default=None)
 #: Rows that a counted side may have to be broadcast.
 BROADCAST_ROWS = 100_000
 #: Steps that run at the same time; their jobs share the executors.
-SIDE_BY_SIDE = 4
+SIDE_BY_SIDE = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
