@@ -24,8 +24,11 @@ from pyspark.sql.window import Window
 from needledrop.llm.common import map_rows, written
 from needledrop.plans.storage import BROADCAST_ROWS, small
 
-#: Postings of a term in all tiers down to each; the last tier takes the rest.
-TIERS = (2_000, 32_000)
+#: Postings of a term in all tiers down to each: so many at least, else a share of the term's; the last tier takes the rest.
+TIERS = ((64, 1 / 64), (512, 1 / 8))
+#: What the terms that are not read further may add, as a share of the k-th best score: the less, the more postings are read and
+#: the fewer candidates are left to be scored. Below 1 every result is exact.
+MARGIN = 0.7
 #: Impacts are compared by steps of this much where postings are dealt to tiers.
 STEP = 4096
 #: Every ASCII character that is no letter or digit separates terms; only A-Z are lower-cased.
@@ -83,7 +86,7 @@ def _impacts(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     return each.select("row", "doc_id", "term", F.expr(f"(1000000000L * tf) div (1000L * tf + 20L * {m})").alias("impact"))
 
 
-def build(docs: DataFrame, wanted: DataFrame | None = None, tiers: tuple[int, ...] = TIERS) -> TieredIndex:
+def build(docs: DataFrame, wanted: DataFrame | None = None, tiers: tuple[tuple[int, float], ...] = TIERS) -> TieredIndex:
     """The index of ``docs`` (doc_id, text): of all terms, or of those in ``wanted`` (term), which a batch of items asks for.
 
     Counts of documents and terms are over all rows in either case. Terms to look for go along to the readers if they are few
@@ -103,10 +106,11 @@ def build(docs: DataFrame, wanted: DataFrame | None = None, tiers: tuple[int, ..
     if wanted is not None:
         steps = steps.join(wanted, "term", "left_semi")
     down = Window.partitionBy("term").orderBy(F.col("step").desc())
-    steps = steps.withColumn("above", F.sum("k").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = F.sum("k").over(Window.partitionBy("term"))
+    steps = steps.withColumns({"above": F.sum("k").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "of": whole})
     tier = F.lit(len(tiers))
-    for t in reversed(range(len(tiers))):
-        tier = F.when(F.col("above") <= tiers[t], t).otherwise(tier)
+    for t, (least, share) in reversed(list(enumerate(tiers))):
+        tier = F.when(F.col("above") <= F.greatest(F.lit(least), F.col("of") * share), t).otherwise(tier)
     steps = steps.withColumn("tier", tier)
     n = len(tiers) + 1
     terms = steps.groupBy("term").agg(
@@ -146,34 +150,75 @@ def _best(scores: DataFrame, k: int, *order: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _exact(index: TieredIndex, can: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item, row, doc_id, score): the whole scores of some pairs (item, row), from the documents' own terms.
+
+    A document comes once, with the items that it may be in. The items' terms go along to the readers if they are few (they are
+    counted); else they meet the documents' terms in a join.
+    """
+    asked = asked.select("item", "term", "w")
+    wanted = can.groupBy("row").agg(F.collect_list("item").alias("items"))  # at most all items for a row
+    docs = index.docs.join(small(written(wanted, "candidate-rows")), "row")
+    if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        each = _impacts(docs, index.n_docs, index.n_terms).join(small(can), "row").join(asked, ["item", "term"])
+        return each.groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).alias("score"))
+    weights: dict[int, list[tuple[bytes, int]]] = {}
+    for r in asked.collect():  # counted
+        weights.setdefault(r["item"], []).append((bytes(r["term"]), r["w"]))
+    n_docs, n_terms = index.n_docs, max(1, index.n_terms)
+
+    def make():
+        def run(rows, ids, lengths, terms, tfs, items):
+            out = [], [], [], []
+            for row, doc_id, n, own, counts, wanted in zip(rows, ids, lengths, terms, tfs, items, strict=True):
+                m = 50 + (50 * n * n_docs) // n_terms
+                impact = {t: (1_000_000_000 * tf) // (1000 * tf + 20 * m) for t, tf in zip(own, counts, strict=True)}
+                for item in wanted:
+                    score = sum(w * impact[t] for t, w in weights[item] if t in impact)
+                    for column, value in zip(out, (item, row, doc_id, score), strict=True):
+                        column.append(value)
+            return out
+
+        return run
+
+    kind = index.docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(docs.select("row", "doc_id", "n", "terms", "tfs", "items"), make, f"item bigint, row bigint, doc_id {kind}, score bigint")
+
+
 def search(index: TieredIndex, items: DataFrame, k: int = 50) -> DataFrame:
-    """(item_id, rank, doc_id, score): each item's ``k`` highest scores above 0."""
-    asked = written(asked_terms(items).join(index.terms.select("term", "w", "rests"), "term"), "asked")
-    pairs = asked.select("item", "term", "w", "rests", F.lit(-1).alias("read"), F.lit(0).cast("bigint").alias("rest"), F.lit(0).cast("bigint").alias("least"), F.lit(True).alias("open"))
+    """(item_id, rank, doc_id, score): each item's ``k`` highest scores above 0.
+
+    A round reads one more tier for the (item, term) pairs that are open. What is best so far is scored exactly, which gives a
+    lower bound of the ``k``-th best score; the bounds of all that is unread are held against it.
+    """
+    asked = asked_terms(items).join(index.terms.select("term", "w", "rests"), "term")
+    asked = written(asked.withColumn("pair", F.monotonically_increasing_id()), "asked")
+    zero = F.lit(0).cast("bigint")
+    pairs = asked.select("pair", "item", "term", "w", "rests", F.lit(-1).alias("read"), zero.alias("rest"), zero.alias("least"), F.lit(True).alias("open"))
     found = None
     for tier in range(index.n_tiers):
-        now = small(written(pairs.where("open").select("item", "term", "w", "read"), "open-terms"))
+        now = small(written(pairs.where("open").select("pair", "term", "w", "read"), "open-terms"))
         hits = index.postings.where(F.col("tier") <= tier).join(now, "term").where("tier > read")
-        hits = written(hits.select("item", "term", "row", (F.col("w") * F.col("impact")).alias("score")), "hits")
+        hits = written(hits.select("pair", "row", (F.col("w") * F.col("impact")).alias("score")), "hits")
         found = hits if found is None else found.unionByName(hits)
-        best = _best(found.groupBy("item", "row").agg(F.sum("score").alias("score")), k, F.col("score").desc())
-        least = best.groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("found_least"))
-        pairs = pairs.join(least, "item", "left").withColumns({"read": F.when(F.col("open"), tier).otherwise(F.col("read")), "least": F.coalesce("found_least", F.lit(0))})
-        pairs = pairs.withColumn("rest", F.col("w") * F.element_at("rests", F.col("read") + 1)).drop("found_least")
-        # the terms with the least bounds that together stay below the k-th best score can't bring in a new document
+        pairs = pairs.withColumn("read", F.when(F.col("open"), tier).otherwise(F.col("read"))).withColumn("rest", F.col("w") * F.element_at("rests", F.col("read") + 1))
+        if tier < index.n_tiers - 1:
+            sums = found.join(small(asked.select("pair", "item")), "pair").groupBy("item", "row").agg(F.sum("score").alias("score"))
+            best = written(_best(sums, k, F.col("score").desc(), F.col("row")).select("item", "row"), "best")
+            least = _exact(index, best, asked).groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("found_least"))
+            pairs = pairs.join(least, "item", "left").withColumn("least", F.greatest(F.coalesce("found_least", F.lit(0)), "least")).drop("found_least")
+        # the terms with the least bounds, which together stay below the k-th best score, can't bring in a new document;
+        # after the last tier nothing is left of the terms that were open
         up = Window.partitionBy("item").orderBy("rest", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        pairs = written(pairs.withColumn("open", (F.col("rest") > 0) & (F.sum("rest").over(up) >= F.col("least"))), "asked")
+        pairs = written(pairs.withColumn("open", (F.col("rest") > 0) & (F.sum("rest").over(up) >= MARGIN * F.col("least"))), "asked")
         if pairs.where("open").isEmpty():
             break
-    sums = pairs.groupBy("item").agg(F.sum("rest").alias("all_rest"), F.first("least").alias("least"))
-    bounds = found.join(pairs.select("item", "term", "rest"), ["item", "term"]).groupBy("item", "row").agg(F.sum("score").alias("score"), F.sum("rest").alias("seen_rest"))
-    can = bounds.join(sums, "item").where("score + all_rest - seen_rest >= least")
-    can = written(can.select("item", "row"), "candidates")
-    docs = index.docs.join(small(written(can.select("row").distinct(), "candidate-rows")), "row", "left_semi")
-    each = _impacts(docs, index.n_docs, index.n_terms).join(small(can), "row").join(small(asked.select("item", "term", "w")), ["item", "term"])
-    scores = each.groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).alias("score"))
+    total = pairs.groupBy("item").agg((F.sum("rest") - F.first("least")).alias("lacks"))
+    bounds = found.join(small(pairs.select("pair", "item", "rest")), "pair").groupBy("item", "row").agg(F.sum(F.col("score") - F.col("rest")).alias("bound"))
+    can = bounds.join(small(written(total, "lacks")), "item").where("bound + lacks >= 0")  # score + all_rest - seen_rest >= least
+    scores = _exact(index, written(can.select("item", "row"), "candidates"), asked)
     best = _best(scores.where("score > 0"), k, F.col("score").desc(), F.col("doc_id"), F.col("row"))
-    return best.join(asked.select("item", "item_id").distinct(), "item").select("item_id", F.col("rank").cast("int"), "doc_id", "score")
+    return best.join(small(written(asked.select("item", "item_id").distinct(), "items")), "item").select("item_id", F.col("rank").cast("int"), "doc_id", "score")
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
