@@ -71,7 +71,7 @@ def untidy(index: Index) -> DataFrame:
 
     White space is that of Unicode, and what can't be seen of it is marked in the examples.
     """
-    checks = []
+    checks = []  # fixed values: the names of the problems
     for f in ("artist", "title", "album"):
         v = F.col(f)
         tests = {
