@@ -143,3 +143,73 @@ def test_document_counts_cover_all_documents(spark):
         for h in {h for w in toxicity.WORD.findall((t or "").lower()) for h in toxicity.hashes(w)} & own:
             want[places[h]] += 1
     assert (toxicity.document_counts(docs, places) == want).all()
+
+
+def test_the_risk_covers_all_rows(spark):
+    """The sums equal numpy's over dense vectors and are the same to the last bit however rows are partitioned."""
+    docs = frame(spark, clash=True)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    places = {h: i for i, h in enumerate(sorted({h for t in texts[:30] for w in toxicity.WORD.findall((t or "").lower()) for h in toxicity.hashes(w)}))}
+    rows = toxicity.vectors(docs, places, ["doc_id"])
+    own = np.random.default_rng(6)
+    w, b = own.normal(0, 0.5, len(places) + 1), -0.3
+    n, loss, gradient = toxicity.sums_over(rows, w, b)
+    x = np.zeros((len(texts), len(w)))
+    for i, t in enumerate(texts):
+        found = toxicity.WORD.findall((t or "").lower())
+        for word in found:
+            for h in toxicity.hashes(word):
+                if h in places:
+                    x[i, places[h]] += 1
+        x[i] = np.log1p(x[i]) * 3 / (len(found) + 20) ** 0.25
+        x[i, -1] = np.log(len(found) + 10) / 10
+    z = x @ w + b
+    p = 1 / (1 + np.exp(-z))
+    assert n == len(texts) and np.isclose(loss, np.log1p(np.exp(z)).sum(), rtol=1e-4)
+    assert np.allclose(gradient, [*(p @ x), p.sum()], rtol=1e-3, atol=1e-2)
+    for parts in (1, 7):
+        again = toxicity.sums_over(rows.repartition(parts), w, b)
+        assert again[:2] == (n, loss) and (again[2] == gradient).all()
+    scores = [r["score"] for r in toxicity.score(docs, toxicity.Model(places, w, b)).collect()]
+    assert np.allclose(scores, p)
+    assert toxicity.sums_over(rows.limit(0), w, b)[:2] == (0, 0)
+
+
+def test_steps_over_all_rows_from_a_sample():
+    """From a start on few unlabelled rows, the risk over all of them comes to its least, and its bracket isn't negative."""
+    r = np.random.default_rng(5)
+    for seen in (40, 400):
+        positive = r.normal(1, 1, (800, 3))
+        unlabelled = np.concatenate([r.normal(1, 1, (1000, 3)), r.normal(-0.5, 1, (3000, 3))])
+        sample = r.permutation(unlabelled)[:seen]
+
+        def sums(w, b, unlabelled=unlabelled):
+            z = unlabelled @ w + b
+            p = toxicity.sigmoid(z)
+            return len(z), np.logaddexp(0, z).sum(), np.append(p @ unlabelled, p.sum())
+
+        start = toxicity.fit(positive, sample, 0.25)
+        w, b = toxicity.refined(*start, sums, positive, sample, 0.25)
+        zp, zu = positive @ w + b, unlabelled @ w + b
+        assert np.logaddexp(0, zu).mean() - 0.25 * np.logaddexp(0, zp).mean() >= 0
+        least = risk(w, b, positive, unlabelled, 0.25)
+        assert least <= risk(*start, positive, unlabelled, 0.25) + 1e-9
+        for _ in range(300):
+            assert risk(w + r.normal(0, 0.3, 3), b + r.normal(0, 0.3), positive, unlabelled, 0.25) > least - 2e-3
+
+
+def test_a_negative_bracket_is_led_back():
+    """A prior far above the share of hidden positives: the start's bracket is negative, and the steps bring it back."""
+    r = np.random.default_rng(8)
+    positive, unlabelled = r.normal(2, 1, (300, 4)), r.normal(-1, 1, (3000, 4))
+
+    def sums(w, b):
+        z = unlabelled @ w + b
+        return len(z), np.logaddexp(0, z).sum(), np.append(toxicity.sigmoid(z) @ unlabelled, toxicity.sigmoid(z).sum())
+
+    def bracket(w, b):
+        return np.logaddexp(0, unlabelled @ w + b).mean() - 0.5 * np.logaddexp(0, positive @ w + b).mean()
+
+    assert bracket(np.full(4, 0.7), 0.0) < 0
+    found = toxicity.refined(np.full(4, 0.7), 0.0, sums, positive, unlabelled[:500], 0.5)
+    assert bracket(*found) >= 0 and (positive @ found[0] + found[1] > 0).mean() > 0.9 > 0.1 > (unlabelled @ found[0] + found[1] > 0).mean()
