@@ -42,6 +42,8 @@ POSITIVES, UNLABELLED, FEATURES = 4_000, 8_000, 256
 #: Documents with a feature among the positives, at least.
 LEAST_DOCS = 3
 HASHES, BEGINNINGS = 1 << 18, (4, 5, 6, 7)
+#: The checksum of "=", which marks a whole word.
+EQUALS = zlib.crc32(b"=")
 STEPS, RATE, L2 = 300, 0.05, 1e-4
 #: Steps over all rows at most, each shortened so often at most; the fall of the risk that is worth another; what is added to the curvature.
 FULL_STEPS, TRIES, FALL, DAMPING = 12, 4, 1e-3, 1e-3
@@ -52,8 +54,11 @@ WORD, CACHE_WORDS = re.compile(r"[^\W\d_]+"), 300_000
 
 def hashes(word: str) -> tuple[int, ...]:
     """The features of a word: itself and its beginnings."""
-    parts = ["=" + word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
-    return tuple(zlib.crc32(p.encode()) % HASHES for p in parts)
+    b = word.encode()
+    own = zlib.crc32(b, EQUALS) % HASHES
+    if len(b) == len(word):  # bytes are characters
+        return own, *[zlib.crc32(b[:n]) % HASHES for n in BEGINNINGS if len(b) >= n]
+    return own, *[zlib.crc32(word[:n].encode()) % HASHES for n in BEGINNINGS if len(word) >= n]
 
 
 class Words:
@@ -250,12 +255,20 @@ def document_counts(docs: DataFrame, places: dict[int, int], text: str = "text")
     """In how many of all documents each feature occurs: counted within tasks, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(places), np.zeros(len(places), np.int64)
+        known, total = {}, np.zeros(len(places), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
+                found: list[int] = []
                 for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    found = words.of(t)[1]
-                    total[list({p for w in found for p in words.with_features[w]})] += 1
+                    own = set(WORD.findall((t or "").lower()))
+                    if new := own.difference(known):
+                        if len(known) > CACHE_WORDS:
+                            known.clear()
+                            new = own
+                        for word in new:
+                            known[word] = tuple(places[h] for h in hashes(word) if h in places)
+                    found += set().union(*map(known.__getitem__, own))
+                total += np.bincount(np.array(found, np.int64), minlength=len(places))
         at = np.flatnonzero(total)
         yield pa.record_batch({"place": at.astype(np.int32), "n": total[at]})
 
