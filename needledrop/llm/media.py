@@ -276,12 +276,17 @@ def payload(data, t: Track) -> bytes:
 
 
 def feature(t: Track) -> str:
-    """Codec, duration in ms, samples, keyframes, and the byte ranges of the first and last keyframe."""
+    """Codec, duration in ms, samples, keyframes, and the byte ranges of the first and last keyframe; ``spans`` has those of all."""
     ranges = t.key_ranges()
     shown = [f"{a}-{b}" for a, b in (ranges[:1] + ranges[-1:])]
     return f"{t.codec.strip()}:{round(1000 * t.seconds)}ms:{len(t.sizes)}:{len(ranges)}:{','.join(shown)}"
 
 
+def spans(t: Track) -> str:
+    """The byte ranges of all keyframes, in their order."""
+    return ",".join(f"{a}-{b}" for a, b in t.key_ranges())
+
+
 def stored(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, media binary) of every row: the text's UTF-8 bytes, padded, as a container."""
     make = lambda: lambda k, texts: [k, [container(padded((t or "").encode("utf-8", "replace"))) for t in texts]]
@@ -311,7 +316,7 @@ def described(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataF
 
 
 def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The contract's columns: each text is stored, probed, read back and digested."""
+    """The contract's columns and every keyframe's byte range: each text is stored, probed, read back and digested."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     def one(text):
@@ -322,11 +327,11 @@ def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         sha = hashlib.sha256
         return (
             *(len(data), len(back), sha(back).hexdigest(), zlib.crc32(back[-16:])),
-            *(len(media), sha(media).hexdigest(), feature(t)),
+            *(len(media), sha(media).hexdigest(), feature(t), spans(t)),
         )
 
     names = {"n_bytes": LongType, "payload_bytes": LongType, "payload_sha256": StringType, "tail_crc32": LongType}
-    names |= {"media_bytes": LongType, "media_sha256": StringType, "feature": StringType}
-    make = lambda: lambda k, texts: [k, *([list(x) for x in zip(*map(one, texts))] or [[]] * 7)]
+    names |= {"media_bytes": LongType, "media_sha256": StringType, "feature": StringType, "key_ranges": StringType}
+    make = lambda: lambda k, texts: [k, *([list(x) for x in zip(*map(one, texts))] or [[]] * 8)]
     schema = StructType([df.schema[key], *(StructField(n, t()) for n, t in names.items())])
     return map_rows(df.select(F.col(key), F.col(text)), make, schema)
