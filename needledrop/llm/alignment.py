@@ -16,9 +16,9 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,97 @@ from needledrop.plans.storage import shared_dir
 
 #: Fixed value: how the byte-level tokenizer cuts a text before it merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text that are aligned at a time, pairs that a task counts at a time, and words whose tokens a task remembers.
-SLICE_BYTES, BLOCK_PAIRS, WORDS = 2_000_000, 4_000_000, 200_000
-SHIFT = 32
+#: Fixed value: what a piece model encodes on its own, a run of spaces and what follows it.
+WORDS = " +[^ ]*"
+#: Bytes of text that are aligned at a time, and pairs that a task counts at a time.
+SLICE_BYTES, BLOCK_PAIRS = 2_000_000, 4_000_000
+SHIFT, SPACE = 32, 0x20
+#: A model that normalises texts doesn't give this one back.
+PROBE = "\ufb01 \u2460  A\u030a\u212b \uff21\t\n x  "
+
+
+def id_type(table: list[bytes]) -> type:
+    return np.uint16 if len(table) <= 1 << 16 else np.uint32
+
+
+@lru_cache(maxsize=4)
+def _byte_level(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    """Ids by bytes and bytes by id of a tokenizer's JSON file, read once by each process."""
+    import json
+
+    model = json.load(open(path, encoding="utf-8"))["model"]
+    # printable bytes stand for themselves in the file, the others for the characters from U+0100 on, in order
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    ids = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in byte for c in piece)}
+    merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"])
+    if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(model["merges"]))):
+        raise ValueError(f"{path}: tokens are not numbered in the order of their merges")
+    ids = {k: i for k, i in ids.items() if i < 256 + len(model["merges"])}
+    table = [b""] * (max(model["vocab"].values()) + 1)
+    for k, i in ids.items():
+        table[i] = k
+    return ids, table
+
+
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> tuple:
+    """A sentencepiece model and the bytes of its pieces, read once by each process."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    of = lambda i: bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
+    return m, [of(i) for i in range(m.vocab_size())]
+
+
+@lru_cache(maxsize=4)
+def _piece_ranks(path: str) -> tuple[dict[bytes, int], list[list[int]]] | None:
+    """A piece model as byte-level ranks, and each rank's ids; none for a model whose results those would not give.
+
+    Where a piece's score is its place among the merges, the model joins the two neighbours whose piece scores highest, the
+    leftmost first, and so does byte-level BPE by ranks. That starts from bytes instead of characters, so the bytes of a
+    character are joined first, in order, by ranks below all pieces; what no piece holds in the end is its bytes' own pieces.
+    Pieces of several spaces have no rank: they come last, with one score for all, where the leftmost of equals is joined.
+    """
+    m, table = _pieces(path)
+    ids = range(m.vocab_size())
+    raw = {table[i]: i for i in ids if m.is_byte(i)}
+    pieces = {i: table[i].decode() for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
+    runs = {i for i, p in pieces.items() if len(p) > 1 and not p.strip(" ")}
+    merged = sorted((i for i, p in pieces.items() if len(p) > 1 and i not in runs), key=lambda i: -m.get_score(i))
+    scores = [m.get_score(i) for i in merged]
+    words = [i for i in merged if pieces[i][0] == " "]
+    if not (
+        len(raw) == 256
+        and len(set(pieces.values())) == len(pieces)
+        and not any(m.is_unused(i) for i in pieces)
+        and not any(re.search("[^ ] |  [^ ]", p) for p in pieces.values())  # a space only begins a piece, and two make it a run
+        and len(set(scores)) == len(scores)
+        and all(m.get_score(i) < scores[-1] for i in runs)
+        and all(x == int(x) for x in scores)
+        and b"".join(table[i] for i in m.encode(PROBE)) == b" " + PROBE.encode()
+        and m.encode([pieces[i][1:] for i in words], num_threads=1) == [[i] for i in words]
+    ):
+        return None
+    ranks = {bytes([k]): k for k in range(256)}
+    letters = sorted({c.encode() for p in pieces.values() for c in p if c > "\x7f"})
+    for n in (2, 3, 4):
+        for c in letters:
+            if len(c) >= n:
+                ranks.setdefault(c[:n], len(ranks))
+    for i in merged:
+        ranks.setdefault(table[i], len(ranks))
+    own = {table[i]: i for i in pieces if i not in runs}
+    return ranks, [[own[x]] if x in own else [raw[bytes([k])] for k in x] for x in ranks]
+
+
+@lru_cache(maxsize=4)
+def _encoding(path: str):
+    import tiktoken
+
+    if path.endswith(".json"):
+        return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=_byte_level(path)[0], special_tokens={})
+    return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=_piece_ranks(path)[0], special_tokens={})
 
 
 @dataclass(frozen=True)
@@ -44,77 +132,70 @@ class ByteLevel:
 
     path: str
 
-    @cached_property
-    def _vocabulary(self) -> tuple[dict[bytes, int], list[bytes]]:
-        import json
-
-        model = json.load(open(self.path, encoding="utf-8"))["model"]
-        # printable bytes stand for themselves in the file, the others for the characters from U+0100 on, in order
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        ids = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in byte for c in piece)}
-        merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"])
-        if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(model["merges"]))):
-            raise ValueError(f"{self.path}: tokens are not numbered in the order of their merges")
-        ids = {k: i for k, i in ids.items() if i < 256 + len(model["merges"])}
-        table = [b""] * (max(model["vocab"].values()) + 1)
-        for k, i in ids.items():
-            table[i] = k
-        return ids, table
-
     @property
     def table(self) -> list[bytes]:
-        return self._vocabulary[1]
+        return _byte_level(self.path)[1]
 
-    def encoder(self):
-        import tiktoken
+    def arrays(self) -> Callable[[str], np.ndarray]:
+        encode, kind = _encoding(self.path).encode_ordinary, id_type(self.table)
+        return lambda text: np.array(encode(" " + text), kind)
 
-        encoding = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=self._vocabulary[0], special_tokens={})
-        return lambda text: encoding.encode_ordinary(" " + text)
+    def encoder(self) -> Callable[[str], list[int]]:
+        of = self.arrays()
+        return lambda text: of(text).tolist()
 
 
 @dataclass(frozen=True)
 class Pieces:
     """A sentencepiece model with byte fallback, which adds the first space itself.
 
-    No piece has a space behind another character, so a run of spaces and what follows is encoded on its own, once for each
-    task if it comes again.
+    No piece has a space behind another character, so a run of spaces and what follows is encoded on its own, by ranks of
+    bytes (``_piece_ranks``); the library encodes texts that hold its own mark for a space, and all texts for other models.
     """
 
     path: str
 
-    @cached_property
-    def _model(self):
-        import sentencepiece
-
-        return sentencepiece.SentencePieceProcessor(model_file=self.path)
-
-    @cached_property
+    @property
     def table(self) -> list[bytes]:
-        m = self._model
-        of = lambda i: bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode()
-        return [of(i) for i in range(m.vocab_size())]
-
-    def encoder(self):
-        model, known = self._model, {}
-        if any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.vocab_size())):
-            return model.encode
-        words, space = re.compile(" +[^ ]*").findall, [model.piece_to_id("▁")]
-
-        def encode(text: str) -> list[int]:
-            found, out = words(" " + text), []
-            for w in found:
-                ids = known.get(w)
-                if ids is None:
-                    ids = model.encode(w[1:]) if len(w) > 1 else space
-                    if len(w) < 100:
-                        if len(known) >= WORDS:
-                            known.clear()
-                        known[w] = ids
-                out += ids
-            return out
-
-        return encode
+        return _pieces(self.path)[1]
+
+    def arrays(self) -> Callable[[str], np.ndarray]:
+        plain, kind, found = _pieces(self.path)[0].encode, id_type(self.table), _piece_ranks(self.path)
+        if found is None:
+            return lambda text: np.array(plain(text), kind)
+        ids, encode = found[1], _encoding(self.path).encode_ordinary
+        one = np.array([x[0] for x in ids], kind)
+        several = np.array([len(x) > 1 for x in ids])
+        run = lru_cache(maxsize=256)(lambda n: plain(" " * (n - 1)) if n > 1 else ids[SPACE])
+
+        def spread(ranks: list[int]) -> Iterator[int]:
+            """The ids of ranks; spaces side by side, which no word took, are encoded together."""
+            spaces = 0
+            for r in ranks:
+                if r == SPACE:
+                    spaces += 1
+                    continue
+                if spaces:
+                    yield from run(spaces)
+                    spaces = 0
+                yield from ids[r]
+            if spaces:
+                yield from run(spaces)
+
+        def of(text: str) -> np.ndarray:
+            if "▁" in text:
+                return np.array(plain(text), kind)
+            text = " " + text
+            ranks = np.array(encode(text), np.uint32)
+            if "  " in text or several[ranks].any():
+                return np.array(list(spread(ranks.tolist())), kind)
+            return one[ranks]
+
+        return of
+
+    def encoder(self) -> Callable[[str], list[int]]:
+        of = self.arrays()
+        return lambda text: of(text).tolist()
 
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
@@ -159,8 +240,13 @@ def _upto(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
-def _id_type(table: list[bytes]) -> type:
-    return np.uint16 if len(table) <= 1 << 16 else np.uint32
+def _taken(values: pa.Array, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The values at some places, joined, and where each begins, with the end."""
+    found = values.take(pa.array(at))
+    if not len(found):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, data = found.buffers()
+    return data.to_pybytes(), np.frombuffer(offsets, np.int64, len(found) + 1)
 
 
 ENCODED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, ids_a binary, ids_b binary"
@@ -175,24 +261,22 @@ def encoded(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> Da
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [(t.encoder(), t.table, np.array([len(x) for x in t.table], np.int64), _id_type(t.table)) for t in (a, b)]
+        sides = [(t.arrays(), pa.array(t.table, pa.large_binary()), np.array([len(x) for x in t.table], np.int64), id_type(t.table)) for t in (a, b)]
         wide = max(len(a.table), len(b.table))
-        shown = [f"{i}{sep}" for sep in ",|;" for i in range(wide)]
-
-        def one(text: str | None) -> tuple[bytes, bytes]:
-            if not text:
-                return b"", b""
-            data, out = b" " + text.encode(), []
-            for encode, table, _, kind in sides:
-                ids = encode(text)
-                if b"".join([table[i] for i in ids]) != data:
-                    return b"", b""
-                out.append(np.array(ids, kind).tobytes())
-            return out[0], out[1]
+        shown = pa.array([f"{i}{sep}" for sep in ",|;" for i in range(wide)], pa.large_string())
+
+        def side(texts: list[str | None], encode, table: pa.Array, _, kind: type) -> tuple[list[bytes], list[bool]]:
+            """The ids of each text, and whether their bytes, joined, are the text behind a space."""
+            each = [encode(t).tobytes() if t else b"" for t in texts]
+            ids, n = _joined(each, kind)
+            data, starts = _taken(table, ids)
+            bounds = starts[_upto(n)].tolist()
+            return each, [bool(t) and data[i:j] == b" " + t.encode() for t, i, j in zip(texts, bounds, bounds[1:], strict=False)]
 
         def of(texts: list[str | None]) -> list:
-            pairs = [one(t) for t in texts]
-            each_a, each_b = [p[0] for p in pairs], [p[1] for p in pairs]
+            (each_a, whole_a), (each_b, whole_b) = (side(texts, *s) for s in sides)
+            whole = [x and y for x, y in zip(whole_a, whole_b, strict=True)]
+            each_a, each_b = ([x if ok else b"" for x, ok in zip(each, whole, strict=True)] for each in (each_a, each_b))
             (ids_a, n_a), (ids_b, n_b) = _joined(each_a, sides[0][3]), _joined(each_b, sides[1][3])
             if not len(ids_a):
                 none = [0] * len(texts)
@@ -210,11 +294,9 @@ def encoded(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> Da
             codes = np.empty(len(ids_a) + len(ids_b), np.int64)
             codes[np.arange(len(ids_a)) + _upto(in_b)[group_a]] = ids_a + np.where(both[at_a], wide, 0)
             codes[np.arange(len(ids_b)) + _upto(in_a)[group_b + 1]] = ids_b + np.where(both[at_b], 2 * wide, 0)
-            bounds = (from_a + from_b).tolist()
-            digests = []
-            for i, j in zip(bounds, bounds[1:], strict=False):
-                line = "".join([shown[c] for c in codes[i:j].tolist()])[:-1]
-                digests.append(hashlib.sha256(line.encode()).hexdigest() if line else "")
+            lines, starts = _taken(shown, codes)
+            bounds = starts[from_a + from_b].tolist()
+            digests = [hashlib.sha256(lines[i : j - 1]).hexdigest() if i < j else "" for i, j in zip(bounds, bounds[1:], strict=False)]
             return [n_a, n_b, n_groups, n_links, digests, each_a, each_b]
 
         for batch in batches:
@@ -244,7 +326,7 @@ def _keys(tables: tuple, ids_a: pa.Array, ids_b: pa.Array) -> Iterator[tuple[int
 
 
 def _tables(a, b) -> tuple:
-    return tuple((np.array([len(x) for x in t.table], np.int64), _id_type(t.table)) for t in (a, b))
+    return tuple((np.array([len(x) for x in t.table], np.int64), id_type(t.table)) for t in (a, b))
 
 
 COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
@@ -379,8 +461,11 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         tables, lookup = _tables(a, b), Lookup(folder, files)
         for batch in batches:
             for i, j, keys, n_links in _keys(tables, batch.column("ids_a"), batch.column("ids_b")):
-                own, back = np.unique(keys, return_inverse=True)
-                counts = lookup.counts(own) if len(own) else own
+                distinct = pa.array(keys).dictionary_encode()
+                own, back = distinct.dictionary.to_numpy(), distinct.indices.to_numpy()
+                order, counts = np.argsort(own), np.zeros(len(own), np.int64)
+                if len(own):
+                    counts[order] = lookup.counts(own[order])
                 top = counts == best[own >> SHIFT]
                 upto = _upto(n_links)
                 n_best, sums = _upto(top[back])[upto], _upto(counts[back])[upto]

@@ -144,3 +144,46 @@ def test_shards_hold_sums_over_blocks_and_batches(spark, tmp_path):
         for b, n in zip(r["b"], r["most"], strict=True):
             most[b] = max(most[b], n)
     assert most == {b: max(n for k, n in want.items() if k >> 32 == b) for b in {k >> 32 for k in want}}
+
+
+def test_files_are_read_once_by_each_process():
+    assert alignment.ByteLevel(A).table is alignment.ByteLevel(A).table
+    assert alignment.Pieces(B).table is alignment.Pieces(B).table
+
+
+def test_pieces_cost_no_more_than_byte_level_tokens(spark):
+    """What a task hasn't seen before costs as little as on the other side: the CPU budget was missed by it."""
+    import time
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").select("text").limit(1500).collect()
+    spent = []
+    for side in (alignment.ByteLevel(A), alignment.Pieces(B)):
+        encode = side.encoder()
+        encode("warm")
+        start = time.process_time()
+        for r in rows:
+            encode(r["text"])
+        spent.append(time.process_time() - start)
+    assert spent[1] < 1.5 * spent[0]
+
+
+def test_pieces_by_ranks_equal_the_library(libraries):
+    """Runs of spaces, whose pieces share one score; characters of no piece, whole or in part; very long words."""
+    import random
+
+    encode, own = alignment.Pieces(B).encoder(), alignment._piece_ranks(B)
+    assert own is not None
+    random.seed(7)
+    texts = [" " * i + end for i in range(1, 140) for end in ("", "x", "\n", "中", "the end ")]
+    texts += [chr(c) + " a" + chr(c) + chr(c + 1) + "b" for c in range(0x80, 0x30000, 37) if not 0xD7FF <= c <= 0xDFFF and "▁" not in (chr(c), chr(c + 1))]
+    texts += ["ab" * 5000, "中" * 3000, "é" * 777 + " " * 333, "\n" * 500, "<s><0x0A></s><unk>"]
+    texts += ["".join(random.choices("aeinst中文日é\u4e03\U0001f600\u0c15 \n.,'10<>_-", k=60)) for _ in range(3000)]
+    texts += [libraries[1].id_to_piece(i).replace("▁", " ") for i in range(libraries[1].vocab_size())]
+    assert [t for t in texts if encode(t) != libraries[1].encode(t)] == []
+    # some characters share their first bytes with a piece's character, but are in none
+    assert any(len(x) > 1 for x in own[1])
+
+
+def test_texts_with_the_mark_of_a_space_have_no_tokens_and_others_beside_them_keep_theirs(spark, libraries):
+    rows = [(i, t) for i, t in enumerate(["a▁b", "plain text", "", "▁", "é▁ x", None, "more  of it\n"])]
+    assert found(spark, rows) == model(libraries, rows)
